@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from cohortlens.config import ReportConfig
 from cohortlens.functions.weeks import spine_weeks_col
 from cohortlens.operators import balance, funnel, orders, subscriptions
-from cohortlens.operators.segments import Segment, build_segment
+from cohortlens.operators.segments import EMPLOYER_COLS, Segment, build_segment
+from cohortlens.session import materialize
 from cohortlens.sources.fixtures import Sources
 
 KEYS = ("cohort_week", "activity_week")
@@ -46,14 +47,25 @@ def assemble(seg: Segment, metrics: list[DataFrame], columns: list[tuple[str, st
     return out.select("cohort_week", "activity_week", "weeks_after", *sel).orderBy(*order)
 
 
+def shared_segment(src: Sources, cfg: ReportConfig) -> Segment:
+    """The segment, written once: every metric of a report joins against it."""
+    seg = build_segment(src, cfg)
+    if not cfg.segment.subscriptions:
+        emp = materialize(seg.employers, "segment")
+        return Segment(rows=emp, employers=emp, cfg=cfg)
+    rows = materialize(seg.rows, "segment")
+    return Segment(rows=rows, employers=rows.select(*EMPLOYER_COLS).dropDuplicates(["employer_id"]), cfg=cfg)
+
+
 def _on_grid(df: DataFrame, week_col: str = "chat_week") -> DataFrame:
     return df.withColumnRenamed(week_col, "activity_week")
 
 
 def _funnel_metrics(src: Sources, seg: Segment, cumulative: bool):
     cfg = seg.cfg
-    ev = funnel.chat_events(src, seg)
-    pairs = funnel.chat_pair_weeks(ev)
+    # the chat fact is the largest input: reduce it to pair-weeks once and
+    # derive sessions, messages and (cumulative) chatting employers from that
+    pairs = materialize(funnel.chat_pair_weeks(funnel.chat_events(src, seg)), "chat_pairs")
     out = [funnel.published(src, seg), funnel.publ_who_chat(pairs, cfg),
            _on_grid(funnel.chat_week_summary(pairs))]
     if cumulative:
@@ -63,7 +75,7 @@ def _funnel_metrics(src: Sources, seg: Segment, cumulative: bool):
 
 def report_free(src: Sources, cfg: ReportConfig, sent_name: str = "ep_chats_sent") -> DataFrame:
     """Free-user report (9 columns)."""
-    seg = build_segment(src, cfg)
+    seg = shared_segment(src, cfg)
     cols = [("registrations", "registrations"), ("published_eps", "published_ep"), ("listings", "listings"),
             ("publ_eps_who_chat", "publ_ep_who_chat"), ("ep_chat_sessions", "ep_chat_sessions"),
             (sent_name, "ep_chats_sent")]
@@ -72,9 +84,9 @@ def report_free(src: Sources, cfg: ReportConfig, sent_name: str = "ep_chats_sent
 
 def report_paid(src: Sources, cfg: ReportConfig, orders_name: str = "orders") -> DataFrame:
     """Paid-chat report (21 columns)."""
-    seg = build_segment(src, cfg)
-    pay = orders.family_payments(src, seg)
-    flagged = orders.flag_first(pay, cfg)
+    seg = shared_segment(src, cfg)
+    flagged = materialize(orders.flag_first(orders.family_payments(src, seg), cfg), "payments")
+    pay = flagged
     zero = balance.zero_credit_rows(src, seg)
     metrics = _funnel_metrics(src, seg, cumulative=True) + [
         balance.cum_zero_credit(zero, cfg),
@@ -97,8 +109,8 @@ def report_paid(src: Sources, cfg: ReportConfig, orders_name: str = "orders") ->
 
 def report_premium(src: Sources, cfg: ReportConfig) -> DataFrame:
     """Premium report (19 columns)."""
-    seg = build_segment(src, cfg)
-    ev = subscriptions.paid_tier_events(seg)
+    seg = shared_segment(src, cfg)
+    ev = materialize(subscriptions.paid_tier_events(seg), "subscriptions")
     metrics = _funnel_metrics(src, seg, cumulative=False) + [
         subscriptions.sub_totals(ev, cfg),
         subscriptions.sub_first_purchasers(ev, cfg),

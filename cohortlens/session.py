@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,14 +62,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: cut lineage into the shared checkpoint folder.
+def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` once as Parquet under the shared checkpoint folder and read it back.
 
-    Used where one intermediate result feeds two branches that must see
-    identical rows (the range-partitioned scan).  Survives executor loss.
+    Cuts lineage (the rows survive executor loss) and is computed exactly
+    once, unlike an RDD checkpoint of an unpersisted plan.  Used where one
+    intermediate result feeds several branches: the segment and the chat,
+    payment and ledger intermediates of a report, and the two branches of
+    the range-partitioned scan, which must see identical partitions.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = os.path.join(ensure_checkpoint_dir(spark), "cohortlens", f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("error").parquet(path)
+    return spark.read.parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

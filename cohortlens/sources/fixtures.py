@@ -112,8 +112,23 @@ class Sources:
                    purchases=v["purchases"], arms=v["experiment_arms"])
 
 
+_CACHE: dict[tuple, Sources] = {}
+
+
 def load_sources(spark: SparkSession, sf_dir: str) -> Sources:
-    """Fixture views over ``sf_dir`` (lazy: nothing runs until an action)."""
+    """Fixture views over ``sf_dir`` (lazy: nothing runs until an action).
+
+    The DataFrame definitions (not their data) are kept per session and
+    folder, so repeated queries skip re-parsing the views and re-listing
+    the Parquet files.
+    """
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir)
+    if key not in _CACHE:
+        _CACHE[key] = _build_sources(spark, sf_dir)
+    return _CACHE[key]
+
+
+def _build_sources(spark: SparkSession, sf_dir: str) -> Sources:
     base = read_tables(spark, sf_dir, _BASE_NAMES)
     views = {}
     for name, sql in VIEW_SQL.items():
