@@ -22,12 +22,19 @@ def con():
     return c
 
 
+def _value(v):
+    if v is None or (not isinstance(v, (str, bytes)) and pd.isna(v)):
+        return None
+    if hasattr(v, "hour") and hasattr(v, "date"):
+        v = v.date()
+    if isinstance(v, float) and v.is_integer():
+        v = int(v)
+    return str(v)
+
+
 def _norm(df: pd.DataFrame) -> list:
-    df = df[sorted(df.columns)]
-    rows = []
-    for r in df.itertuples(index=False):
-        rows.append(tuple(None if (v is None or (isinstance(v, float) and pd.isna(v))) else
-                          str(v.date() if hasattr(v, "hour") else v) for v in r))
+    df = df[sorted(df.columns)].astype(object)
+    rows = [tuple(_value(v) for v in r) for r in df.itertuples(index=False)]
     return sorted(rows, key=lambda t: tuple("" if x is None else x for x in t))
 
 
