@@ -5,9 +5,11 @@ a user holding a third of the ledger becomes a single straggler.  This
 operator range-partitions on (key, order...) instead, which splits a hot
 key across many tasks, and scans each sorted partition with pandas:
 
+0. RANGE running sums first aggregate the deltas per (key, order value)
+   (map-side combined, so even one hot timestamp collapses early); the
+   scan then runs over unique (key, order) rows and the totals are
+   joined back, so peers share their value without ever being buffered.
 1. ``repartitionByRange(n, key, *order)`` + ``sortWithinPartitions``.
-   Rows with equal (key, order) always land in the same partition, so
-   RANGE-frame peers are never split.
 2. ``mapInPandas`` numbers / sums each key run inside the partition and
    appends one summary row per partition: first key, last key and the
    local total of the last run.
@@ -51,11 +53,8 @@ def _scan_fn(key: str, order: list[str], mode: str, value: str | None, out_names
             run = new_run.cumsum()
             if mode == "row_number":
                 local = pdf.groupby(run.to_numpy()).cumcount().astype("int64") + 1
-            else:
-                v = pdf[value].fillna(0).astype("int64")
-                csum = v.groupby(run.to_numpy()).cumsum()
-                grp = [run.to_numpy()] + [pdf[o].to_numpy() for o in order]
-                local = csum.groupby(grp, dropna=False).transform("last").astype("int64")
+            else:  # running sum over rows unique per (key, order)
+                local = pdf[value].fillna(0).astype("int64").groupby(run.to_numpy()).cumsum()
             local = local.to_numpy().copy()
             k0, k0_na = k.iloc[0], bool(na.iloc[0])
             if same_key(k0, k0_na):
@@ -74,30 +73,9 @@ def _scan_fn(key: str, order: list[str], mode: str, value: str | None, out_names
             out[_SUMMARY] = False
             return out[out_names]
 
-        pending = None
         for pdf in batches:
-            if pending is not None and len(pending):
-                pdf = pd.concat([pending, pdf], ignore_index=True)
-                pending = None
-            if pdf.empty:
-                continue
-            pdf = pdf.reset_index(drop=True)
-            if mode == "range":
-                # hold back the trailing peer group: its value depends on rows
-                # that may arrive in the next Arrow batch
-                last = pdf.iloc[-1]
-                tail = pdf[key].isna() if pd.isna(last[key]) else (pdf[key] == last[key])
-                for o in order:
-                    tail &= pdf[o].isna() if pd.isna(last[o]) else (pdf[o] == last[o])
-                # peers are contiguous at the end because rows are sorted
-                cut = len(pdf) - int(tail[::-1].astype("int64").cumprod().sum())
-                pending = pdf.iloc[cut:]
-                pdf = pdf.iloc[:cut]
-                if pdf.empty:
-                    continue
-            yield emit(pdf.reset_index(drop=True))
-        if pending is not None and len(pending):
-            yield emit(pending.reset_index(drop=True))
+            if not pdf.empty:
+                yield emit(pdf.reset_index(drop=True))
         if st["any"]:
             row = {c: [None] for c in out_names}
             row[_PID] = [pid]
@@ -117,9 +95,27 @@ def keyed_scan(df: DataFrame, key: str, order: list[str], out: str, mode: str =
     For ``row_number`` the order must be total (add a unique tie-breaker);
     for ``range`` equal order values share one running total, as SQL's
     default frame does.  Values are summed as integers; NULL counts as 0.
+    Both stay exact for any key skew: no group is ever held by one task.
     """
     if mode not in ("row_number", "range"):
         raise ValueError(mode)
+    if mode == "range":
+        return _range_sum(df, key, list(order), out, value, num_partitions)
+    return _scan(df, key, list(order), out, "row_number", None, num_partitions)
+
+
+def _range_sum(df: DataFrame, key: str, order: list[str], out: str, value: str,
+               num_partitions: int | None) -> DataFrame:
+    """SUM(value) OVER (PARTITION BY key ORDER BY order), default RANGE frame."""
+    deltas = df.groupBy(key, *order).agg(F.sum(F.coalesce(F.col(value).cast("long"), F.lit(0))).alias("_d"))
+    totals = _scan(deltas, key, order, "_total", "sum", "_d", num_partitions).drop("_d")
+    renamed = totals.select(*[F.col(c).alias(f"_t_{c}") for c in [key] + order], "_total")
+    cond = [df[c].eqNullSafe(renamed[f"_t_{c}"]) for c in [key] + order]
+    return df.join(renamed, cond, "left").select(*df.columns, F.col("_total").cast("bigint").alias(out))
+
+
+def _scan(df: DataFrame, key: str, order: list[str], out: str, mode: str, value: str | None,
+          num_partitions: int | None) -> DataFrame:
     spark = df.sparkSession
     n = num_partitions or shuffle_partitions(spark)
     key_type = df.schema[key].dataType
@@ -130,7 +126,8 @@ def keyed_scan(df: DataFrame, key: str, order: list[str], out: str, mode: str =
         T.StructField(_LASTV, T.LongType()), T.StructField(_SUMMARY, T.BooleanType())])
     sort_cols = [key] + list(order)
     ranged = df.repartitionByRange(n, *sort_cols).sortWithinPartitions(*sort_cols)
-    local = materialize(ranged.mapInPandas(_scan_fn(key, list(order), mode, value, schema.names), schema))
+    local = materialize(ranged.mapInPandas(_scan_fn(key, list(order), mode, value, schema.names), schema),
+                        "scan")
 
     summ = local.where(F.col(_SUMMARY)).select(_PID, _FIRST, _LAST, _LASTV)
     contrib = summ.select(F.col(_LAST).alias("_k"), _PID, F.col(_LASTV).alias("_v"), F.lit(1).alias("_o"))
