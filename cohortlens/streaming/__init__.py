@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The workload being reproduced is a set of batch reports over warehouse
+tables; it has no stream source, watermark, event-time window or state.
+Nothing is built here (see README, "Not built").
+"""
