@@ -5,16 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A lookup side is broadcast only after its row count is checked.
+# A lookup side is broadcast only when its size is bounded.
 BROADCAST_MAX_ROWS = 1_000_000
+BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Hint a broadcast when ``df`` has at most ``max_rows`` rows.
+def _plan_size_bound(df: DataFrame) -> int | None:
+    """Catalyst's size estimate of the optimised plan, in bytes.
 
-    The check reads at most ``max_rows + 1`` rows.  Beyond the bound the
-    side is returned unhinted and AQE chooses (sort-merge join, with
-    skew splitting) from the runtime shuffle sizes.
+    For scans, filters and projections (the lookup tables used here)
+    the estimate is the input size scaled by row width, an upper bound
+    on the real size.  ``None`` when unavailable.
     """
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # noqa: BLE001  (e.g. Spark Connect: no plan access)
+        return None
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
+                       max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Hint a broadcast only for a side proven small.
+
+    First the plan's size upper bound is checked (no job).  Failing that,
+    at most ``max_rows + 1`` rows are counted.  Beyond both bounds the side
+    is returned unhinted and AQE chooses from runtime shuffle sizes
+    (sort-merge join with skew splitting, or a broadcast if it turns out
+    small).
+    """
+    size = _plan_size_bound(df)
+    if size is not None and size <= max_bytes:
+        return F.broadcast(df)
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.config import ReportConfig
 from cohortlens.functions.weeks import spine_weeks_col
+from cohortlens.operators.cumulative import weekly_distinct
 from cohortlens.operators import balance, funnel, orders, subscriptions
 from cohortlens.operators.segments import EMPLOYER_COLS, Segment, build_segment
 from cohortlens.session import materialize
@@ -44,7 +45,9 @@ def assemble(seg: Segment, metrics: list[DataFrame], columns: list[tuple[str, st
               .where(F.col("_grid")))
     out = folded.join(funnel.weeks_after_table(seg), list(KEYS), "left")
     sel = [F.col(src).alias(name) for name, src in columns]
-    return out.select("cohort_week", "activity_week", "weeks_after", *sel).orderBy(*order)
+    # the report has at most cohorts x weeks (x2, Q1) rows, a bound fixed by
+    # the configuration: one sorted partition, no range-sampling job
+    return out.select("cohort_week", "activity_week", "weeks_after", *sel).repartition(1).sortWithinPartitions(*order)
 
 
 def shared_segment(src: Sources, cfg: ReportConfig) -> Segment:
@@ -66,8 +69,10 @@ def _funnel_metrics(src: Sources, seg: Segment, cumulative: bool):
     # the chat fact is the largest input: reduce it to pair-weeks once and
     # derive sessions, messages and (cumulative) chatting employers from that
     pairs = materialize(funnel.chat_pair_weeks(funnel.chat_events(src, seg)), "chat_pairs")
-    out = [funnel.published(src, seg), funnel.publ_who_chat(pairs, cfg),
-           _on_grid(funnel.chat_week_summary(pairs))]
+    # M12, M14 and M15 restricted to the grid, in one aggregation
+    weekly = weekly_distinct(pairs, "chat_week", "employer_id", cfg, "publ_ep_who_chat", extra={
+        "ep_chat_sessions": F.count(F.lit(1)).cast("bigint"), "ep_chats_sent": F.sum("_msgs").cast("bigint")})
+    out = [funnel.published(src, seg), weekly]
     if cumulative:
         out.append(funnel.cum_publ_who_chat(pairs, cfg))
     return out
@@ -86,13 +91,16 @@ def report_paid(src: Sources, cfg: ReportConfig, orders_name: str = "orders") ->
     """Paid-chat report (21 columns)."""
     seg = shared_segment(src, cfg)
     flagged = materialize(orders.flag_first(orders.family_payments(src, seg), cfg), "payments")
-    pay = flagged
     zero = balance.zero_credit_rows(src, seg)
     metrics = _funnel_metrics(src, seg, cumulative=True) + [
         balance.cum_zero_credit(zero, cfg),
-        orders.orders_weekly(pay, cfg),
-        orders.first_purchasers(flagged, cfg),
-        orders.pack_orders_pivot(pay, cfg),
+        # M17 + M22 in one aggregation
+        weekly_distinct(flagged, "pay_week", "user_id", cfg, "purchasing_eps", extra={
+            "total_orders": F.count_distinct("id").cast("bigint"),
+            # no first purchase that week: NULL, as an unmatched outer join gives
+            "unique_purchasing_eps": F.nullif(F.count_distinct(F.when(F.col("is_first"), F.col("user_id"))),
+                                              F.lit(0)).cast("bigint")}),
+        orders.pack_orders_pivot(flagged, cfg),
         orders.first_orders_pivot(flagged, cfg),
         orders.cum_repeat_purchasers(flagged, cfg),
     ]
@@ -112,8 +120,11 @@ def report_premium(src: Sources, cfg: ReportConfig) -> DataFrame:
     seg = shared_segment(src, cfg)
     ev = materialize(subscriptions.paid_tier_events(seg), "subscriptions")
     metrics = _funnel_metrics(src, seg, cumulative=False) + [
-        subscriptions.sub_totals(ev, cfg),
-        subscriptions.sub_first_purchasers(ev, cfg),
+        # M34 + M37 in one aggregation
+        weekly_distinct(ev, "sub_week", "employer_id", cfg, "purchasing_eps", extra={
+            "total_orders": F.count_distinct("subscription_id").cast("bigint"),
+            "unique_purchasing_eps": F.nullif(F.count_distinct(
+                F.when(F.col("is_first"), F.col("employer_id"))), F.lit(0)).cast("bigint")}),
         subscriptions.sub_order_pivot(ev, cfg),
         subscriptions.sub_first_orders_pivot(ev, cfg),
         subscriptions.sub_cum_repeat_purchasers(ev, cfg),

@@ -150,3 +150,15 @@ def test_rank_modes_differ_within_a_week(spark):
     assert ts == {20: 1, 10: 2}
     fl = {r.id: r.is_first for r in orders.flag_first(orders.family_payments(src, b), ts_cfg).collect()}
     assert fl == {20: True, 10: False}
+
+
+def test_week_without_first_purchase_is_null_not_zero(spark):
+    emps = [employer(1, D(2016, 12, 5))]
+    pays = [(10, 1, 0, D(2016, 12, 6)), (11, 1, 2, D(2016, 12, 20))]
+    src = make_sources(spark, employers_dim=emps, user_balance=[(1,)], payment=pays)
+    rows = {r.activity_week: r for r in report.report_paid(src, CFG).collect()}
+    assert rows[D(2016, 12, 5)].unique_purchasing_eps == 1
+    r = rows[D(2016, 12, 19)]
+    assert (r.purchasing_eps, r.orders, r.unique_purchasing_eps) == (1, 1, None)
+    assert r.cum_unique_rep_purchasers == 1 and r.pack_2_orders == 1 and r.pack_1_orders is None
+    assert rows[D(2016, 12, 12)].purchasing_eps is None
