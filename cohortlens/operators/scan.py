@@ -33,6 +33,20 @@ _PID, _LOCAL, _FIRST, _LAST, _LASTV, _SUMMARY = ("_scan_pid", "_scan_local", "_s
                                                   "_scan_last", "_scan_lastv", "_scan_summary")
 
 
+def scan_partitions(df: DataFrame) -> int:
+    """Range partitions for a scan: input size bound / advisory partition size,
+    at least 1 and at most ``spark.sql.shuffle.partitions``."""
+    from cohortlens.plans.joins import _plan_size_bound
+
+    cap = shuffle_partitions(df.sparkSession)
+    size = _plan_size_bound(df)
+    if size is None:
+        return cap
+    target = int(df.sparkSession.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "67108864")
+                 .lower().replace("b", "").replace("m", "000000") or 67108864)
+    return max(1, min(cap, -(-size // max(target, 1))))
+
+
 def _scan_fn(key: str, order: list[str], mode: str, value: str | None, out_names: list[str]):
     def scan(batches):
         import pandas as pd
@@ -117,7 +131,7 @@ def _range_sum(df: DataFrame, key: str, order: list[str], out: str, value: str,
 def _scan(df: DataFrame, key: str, order: list[str], out: str, mode: str, value: str | None,
           num_partitions: int | None) -> DataFrame:
     spark = df.sparkSession
-    n = num_partitions or shuffle_partitions(spark)
+    n = num_partitions or scan_partitions(df)
     key_type = df.schema[key].dataType
     cols = df.columns
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields] + [

@@ -18,7 +18,7 @@ def _plan_size_bound(df: DataFrame) -> int | None:
     on the real size.  ``None`` when unavailable.
     """
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except Exception:  # noqa: BLE001  (e.g. Spark Connect: no plan access)
         return None
 
