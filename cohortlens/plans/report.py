@@ -50,9 +50,16 @@ def assemble(seg: Segment, metrics: list[DataFrame], columns: list[tuple[str, st
     return out.select("cohort_week", "activity_week", "weeks_after", *sel).repartition(1).sortWithinPartitions(*order)
 
 
-def shared_segment(src: Sources, cfg: ReportConfig) -> Segment:
+def _keep(df: DataFrame, name: str, reuse: bool) -> DataFrame:
+    """Write a shared intermediate once (``reuse``), or leave it inlined in every branch."""
+    return materialize(df, name) if reuse else df
+
+
+def shared_segment(src: Sources, cfg: ReportConfig, reuse: bool = True) -> Segment:
     """The segment, written once: every metric of a report joins against it."""
     seg = build_segment(src, cfg)
+    if not reuse:
+        return seg
     if not cfg.segment.subscriptions:
         emp = materialize(seg.employers, "segment")
         return Segment(rows=emp, employers=emp, cfg=cfg)
@@ -64,11 +71,11 @@ def _on_grid(df: DataFrame, week_col: str = "chat_week") -> DataFrame:
     return df.withColumnRenamed(week_col, "activity_week")
 
 
-def _funnel_metrics(src: Sources, seg: Segment, cumulative: bool):
+def _funnel_metrics(src: Sources, seg: Segment, cumulative: bool, reuse: bool = True):
     cfg = seg.cfg
     # the chat fact is the largest input: reduce it to pair-weeks once and
     # derive sessions, messages and (cumulative) chatting employers from that
-    pairs = materialize(funnel.chat_pair_weeks(funnel.chat_events(src, seg)), "chat_pairs")
+    pairs = _keep(funnel.chat_pair_weeks(funnel.chat_events(src, seg)), "chat_pairs", reuse)
     # M12, M14 and M15 restricted to the grid, in one aggregation
     weekly = weekly_distinct(pairs, "chat_week", "employer_id", cfg, "publ_ep_who_chat", extra={
         "ep_chat_sessions": F.count(F.lit(1)).cast("bigint"), "ep_chats_sent": F.sum("_msgs").cast("bigint")})
@@ -78,21 +85,22 @@ def _funnel_metrics(src: Sources, seg: Segment, cumulative: bool):
     return out
 
 
-def report_free(src: Sources, cfg: ReportConfig, sent_name: str = "ep_chats_sent") -> DataFrame:
+def report_free(src: Sources, cfg: ReportConfig, sent_name: str = "ep_chats_sent",
+                reuse: bool = True) -> DataFrame:
     """Free-user report (9 columns)."""
-    seg = shared_segment(src, cfg)
+    seg = shared_segment(src, cfg, reuse)
     cols = [("registrations", "registrations"), ("published_eps", "published_ep"), ("listings", "listings"),
             ("publ_eps_who_chat", "publ_ep_who_chat"), ("ep_chat_sessions", "ep_chat_sessions"),
             (sent_name, "ep_chats_sent")]
-    return assemble(seg, _funnel_metrics(src, seg, cumulative=False), cols)
+    return assemble(seg, _funnel_metrics(src, seg, cumulative=False, reuse=reuse), cols)
 
 
-def report_paid(src: Sources, cfg: ReportConfig, orders_name: str = "orders") -> DataFrame:
+def report_paid(src: Sources, cfg: ReportConfig, orders_name: str = "orders", reuse: bool = True) -> DataFrame:
     """Paid-chat report (21 columns)."""
-    seg = shared_segment(src, cfg)
-    flagged = materialize(orders.flag_first(orders.family_payments(src, seg), cfg), "payments")
+    seg = shared_segment(src, cfg, reuse)
+    flagged = _keep(orders.flag_first(orders.family_payments(src, seg), cfg), "payments", reuse)
     zero = balance.zero_credit_rows(src, seg)
-    metrics = _funnel_metrics(src, seg, cumulative=True) + [
+    metrics = _funnel_metrics(src, seg, cumulative=True, reuse=reuse) + [
         balance.cum_zero_credit(zero, cfg),
         # M17 + M22 in one aggregation
         weekly_distinct(flagged, "pay_week", "user_id", cfg, "purchasing_eps", extra={
@@ -115,11 +123,11 @@ def report_paid(src: Sources, cfg: ReportConfig, orders_name: str = "orders") ->
     return assemble(seg, metrics, cols, order=("cohort_week", "activity_week", "weeks_after"))
 
 
-def report_premium(src: Sources, cfg: ReportConfig) -> DataFrame:
+def report_premium(src: Sources, cfg: ReportConfig, reuse: bool = True) -> DataFrame:
     """Premium report (19 columns)."""
-    seg = shared_segment(src, cfg)
-    ev = materialize(subscriptions.paid_tier_events(seg), "subscriptions")
-    metrics = _funnel_metrics(src, seg, cumulative=False) + [
+    seg = shared_segment(src, cfg, reuse)
+    ev = _keep(subscriptions.paid_tier_events(seg), "subscriptions", reuse)
+    metrics = _funnel_metrics(src, seg, cumulative=False, reuse=reuse) + [
         # M34 + M37 in one aggregation
         weekly_distinct(ev, "sub_week", "employer_id", cfg, "purchasing_eps", extra={
             "total_orders": F.count_distinct("subscription_id").cast("bigint"),
