@@ -33,11 +33,18 @@ _PID, _LOCAL, _FIRST, _LAST, _LASTV, _SUMMARY = ("_scan_pid", "_scan_local", "_s
                                                   "_scan_last", "_scan_lastv", "_scan_summary")
 
 
+SCAN_PARTITIONS_CONF = "spark.cohortlens.scan.partitions"
+
+
 def scan_partitions(df: DataFrame) -> int:
     """Range partitions for a scan: input size bound / advisory partition size,
-    at least 1 and at most ``spark.sql.shuffle.partitions``."""
+    at least 1 and at most ``spark.sql.shuffle.partitions``; the session
+    setting ``spark.cohortlens.scan.partitions`` overrides it."""
     from cohortlens.plans.joins import _plan_size_bound
 
+    forced = df.sparkSession.conf.get(SCAN_PARTITIONS_CONF, None)
+    if forced:
+        return int(forced)
     cap = shuffle_partitions(df.sparkSession)
     size = _plan_size_bound(df)
     if size is None:

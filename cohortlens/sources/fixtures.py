@@ -76,11 +76,20 @@ VIEW_SQL: dict[str, str] = {
 _BASE_NAMES = ("customer", "nation", "orders", "lineitem")
 
 
-def duckdb_prefix() -> str:
-    """The fixture views as a ``WITH`` list for DuckDB (bare base-table names)."""
+def duckdb_prefix(wrap: dict[str, str] | None = None) -> str:
+    """The fixture views as a ``WITH`` list for DuckDB (bare base-table names).
+
+    ``wrap`` optionally rewrites views: view name -> SQL over ``{src}`` (the
+    original view), applied identically by ``load_sources``.
+    """
     names = {n: n for n in _BASE_NAMES}
-    body = ",\n".join(f"{v} as ({sql.format(**names)}\n)" for v, sql in VIEW_SQL.items())
-    return "with " + body
+    parts = []
+    for v, sql in VIEW_SQL.items():
+        text = sql.format(**names)
+        if wrap and v in wrap:
+            text = wrap[v].format(src=f"({text}) as _orig")
+        parts.append(f"{v} as ({text}\n)")
+    return "with " + ",\n".join(parts)
 
 
 @dataclass
@@ -115,23 +124,25 @@ class Sources:
 _CACHE: dict[tuple, Sources] = {}
 
 
-def load_sources(spark: SparkSession, sf_dir: str) -> Sources:
+def load_sources(spark: SparkSession, sf_dir: str, wrap: dict[str, str] | None = None) -> Sources:
     """Fixture views over ``sf_dir`` (lazy: nothing runs until an action).
 
     The DataFrame definitions (not their data) are kept per session and
     folder, so repeated queries skip re-parsing the views and re-listing
     the Parquet files.
     """
-    key = (spark.sparkContext.applicationId, id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir, tuple(sorted((wrap or {}).items())))
     if key not in _CACHE:
-        _CACHE[key] = _build_sources(spark, sf_dir)
+        _CACHE[key] = _build_sources(spark, sf_dir, wrap)
     return _CACHE[key]
 
 
-def _build_sources(spark: SparkSession, sf_dir: str) -> Sources:
+def _build_sources(spark: SparkSession, sf_dir: str, wrap: dict[str, str] | None = None) -> Sources:
     base = read_tables(spark, sf_dir, _BASE_NAMES)
     views = {}
     for name, sql in VIEW_SQL.items():
         used = {n: base[n] for n in _BASE_NAMES if "{" + n + "}" in sql}
         views[name] = spark.sql(sql, **used) if used else spark.sql(sql)
+        if wrap and name in wrap:
+            views[name] = spark.sql(wrap[name], src=views[name])
     return Sources._from_views(views)
