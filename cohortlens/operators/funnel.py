@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.config import ReportConfig
-from cohortlens.functions.weeks import spine_weeks_col, week_of, weeks_after
+from cohortlens.functions.weeks import spine_weeks_col, week_of
 from cohortlens.operators.cumulative import cumulative_distinct, first_event_weeks, weekly_distinct
 from cohortlens.operators.segments import Segment
 from cohortlens.sources.fixtures import Sources

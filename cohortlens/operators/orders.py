@@ -10,8 +10,6 @@ row-level rankings use the skew-safe keyed scan.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -163,7 +161,3 @@ def cum_repeat_purchasers(flagged: DataFrame, cfg: ReportConfig) -> DataFrame:
     repeats = flagged.where(~F.col("is_first"))
     return cumulative_distinct(first_event_weeks(repeats, "pay_week", "user_id"), cfg,
                                "cum_unique_rep_purchasers")
-
-
-def _any(preds):
-    return reduce(lambda a, b: a | b, preds)

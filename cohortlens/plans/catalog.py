@@ -10,7 +10,6 @@ import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cohortlens import config as C
 from cohortlens.operators import adhoc, balance, funnel, orders, subscriptions
