@@ -61,11 +61,14 @@ def gated_employers(src: Sources, seg: Segment) -> DataFrame:
 
     The reference joins every listing with every chat row of the employer
     and de-duplicates afterwards; only existence matters, so this is a
-    semi join on employer_id with the week condition.
+    semi join on employer_id with the week condition.  Listings are
+    first cut to segment employers (the segment is the broadcast side),
+    and the result is a semi join *of the segment*, so its size bound is
+    the segment's and the chat fact can be joined to it by broadcast.
     """
-    jobs = src.jobs.where(F.col("good_job") == 1).select(
-        F.col("employer_id").alias("_jemp"), week_of("job_posted_date").alias("_jweek"))
     emp = seg.employers.select("employer_id", "cohort_week")
+    jobs = (src.jobs.where(F.col("good_job") == 1).join(emp.select("employer_id"), "employer_id", "left_semi")
+            .select(F.col("employer_id").alias("_jemp"), week_of("job_posted_date").alias("_jweek")))
     return emp.join(jobs, (emp["employer_id"] == jobs["_jemp"]) & (emp["cohort_week"] == jobs["_jweek"]),
                     "left_semi")
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from cohortlens.config import ReportConfig, SegmentRules
 from cohortlens.functions.predicates import like_all_not, organic_group
 from cohortlens.functions.weeks import week_of
+from cohortlens.plans.joins import broadcast_if_small
+from cohortlens.session import materialize
 from cohortlens.sources.fixtures import Sources
 
 EMPLOYER_COLS = ("employer_id", "registration_date", "cohort_week")
@@ -78,7 +80,18 @@ def exclude_holders(df: DataFrame, holders: DataFrame, key: str = "employer_id")
                       & (F.col(key).isNotNull() | any_probe.scalar().isNull()))
 
 
-def build_segment(src: Sources, cfg: ReportConfig) -> Segment:
+def build_segment(src: Sources, cfg: ReportConfig, materialized: bool = True) -> Segment:
+    """Segment rows and employers.
+
+    ``materialized`` writes the (small, filtered) segment once under the
+    checkpoint folder.  Besides computing it once for every metric, this
+    gives Catalyst its exact size: joins of the large fact tables
+    (chats, jobs, payments, ledger) against the segment are then planned
+    as broadcast joins from the start, instead of shuffling the fact by
+    employer id before AQE sees that the segment is small.  The broadcast
+    is hinted only when the written size is within the bound of
+    ``broadcast_if_small``; beyond it AQE picks the join.
+    """
     rules = cfg.segment
     emp = (src.employers.where(employer_filter(rules) & cohort_bounds(cfg))
            .select("employer_id", "registration_date"))
@@ -90,17 +103,22 @@ def build_segment(src: Sources, cfg: ReportConfig) -> Segment:
                        "left_semi")
     if rules.holders == "exclude":
         emp = exclude_holders(emp, src.holders)
-    emp = emp.withColumn("cohort_week", week_of("registration_date"))
+    emp = emp.withColumn("cohort_week", week_of("registration_date")).select(*EMPLOYER_COLS)
+    if materialized:
+        emp = broadcast_if_small(materialize(emp, "segment"))
 
     if not rules.subscriptions:
-        emp = emp.select(*EMPLOYER_COLS)
         return Segment(rows=emp, employers=emp, cfg=cfg)
 
     subs = src.subscriptions.where(~F.col("name").like(rules.excluded_tier))
     if rules.arms:
         subs = subs.where(F.col("test_id").isin(list(rules.arms)))
-    rows = emp.join(subs.withColumnRenamed("user_id", "employer_id"), "employer_id", "inner")
+    rows = subs.withColumnRenamed("user_id", "employer_id").join(emp, "employer_id", "inner")
     rows = rows.select(*EMPLOYER_COLS, *SUBSCRIPTION_COLS)
-    # one row per employer; registration_date is an employer attribute
-    employers = rows.select(*EMPLOYER_COLS).dropDuplicates(["employer_id"])
+    if materialized:
+        rows = materialize(rows, "segment_rows")
+    # one row per employer that has a qualifying subscription event
+    employers = emp.join(rows.select("employer_id"), "employer_id", "left_semi")
+    if materialized:
+        employers = broadcast_if_small(employers)
     return Segment(rows=rows, employers=employers, cfg=cfg)

@@ -20,7 +20,7 @@ from cohortlens.config import ReportConfig
 from cohortlens.functions.weeks import spine_weeks_col
 from cohortlens.operators.cumulative import weekly_distinct
 from cohortlens.operators import balance, funnel, orders, subscriptions
-from cohortlens.operators.segments import EMPLOYER_COLS, Segment, build_segment
+from cohortlens.operators.segments import Segment, build_segment
 from cohortlens.session import materialize
 from cohortlens.sources.fixtures import Sources
 
@@ -56,15 +56,8 @@ def _keep(df: DataFrame, name: str, reuse: bool) -> DataFrame:
 
 
 def shared_segment(src: Sources, cfg: ReportConfig, reuse: bool = True) -> Segment:
-    """The segment, written once: every metric of a report joins against it."""
-    seg = build_segment(src, cfg)
-    if not reuse:
-        return seg
-    if not cfg.segment.subscriptions:
-        emp = materialize(seg.employers, "segment")
-        return Segment(rows=emp, employers=emp, cfg=cfg)
-    rows = materialize(seg.rows, "segment")
-    return Segment(rows=rows, employers=rows.select(*EMPLOYER_COLS).dropDuplicates(["employer_id"]), cfg=cfg)
+    """The segment, written once (``reuse``): every metric of a report joins against it."""
+    return build_segment(src, cfg, materialized=reuse)
 
 
 def _on_grid(df: DataFrame, week_col: str = "chat_week") -> DataFrame:

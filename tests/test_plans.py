@@ -37,7 +37,7 @@ def test_cohort_bound_reaches_parquet(spark, tmp_path):
     path = str(tmp_path / "employers")
     src.employers.write.parquet(path)
     src.employers = spark.read.parquet(path)
-    seg = build_segment(src, C.FREE_A)
+    seg = build_segment(src, C.FREE_A, materialized=False)
     plan = seg.employers.sparkSession._jvm.PythonSQLUtils.explainString(
         seg.employers._jdf.queryExecution(), "formatted")
     assert "GreaterThanOrEqual(registration_date,2016-12-05)" in plan
@@ -46,6 +46,14 @@ def test_cohort_bound_reaches_parquet(spark, tmp_path):
     assert [r.employer_id for r in seg.employers.collect()] == [1]
 
 
+def test_fact_joins_are_broadcast_against_the_segment(spark):
+    """With the segment written first, the chat fact is joined by broadcast and not shuffled by employer."""
+    df = E.queries()["chat_messages"](spark, SF0001)
+    plan = _plan(df)
+    assert "SortMergeJoin" not in plan
+    assert "BroadcastHashJoin" in plan
+
+
 def test_report_reads_chat_fact_once(spark):
     """The report reduces the chat fact to pair-weeks once (materialized)."""
     from cohortlens.plans import report
