@@ -17,7 +17,7 @@ from cohortlens.functions.predicates import like_all_not, like_any, organic_grou
 from cohortlens.functions.weeks import week_of
 from cohortlens.operators.balance import running_balance
 from cohortlens.operators.scan import keyed_scan
-from cohortlens.operators.segments import exclude_holders
+from cohortlens.operators.segments import exclude_holders, small_side
 from cohortlens.plans.joins import broadcast_if_small
 from cohortlens.sources.fixtures import Sources
 
@@ -44,10 +44,10 @@ def cohort_size(src: Sources, cohort_week: dt.date | None = None) -> DataFrame:
     if cohort_week is not None:
         emp = emp.where((F.col("registration_date") >= F.lit(cohort_week))
                         & (F.col("registration_date") < F.lit(cohort_week + dt.timedelta(days=7))))
-    emp = exclude_holders(emp.select("employer_id", "registration_date"), src.holders)
+    emp = small_side(exclude_holders(emp.select("employer_id", "registration_date"), src.holders), "t1")
     subs = src.subscriptions.where(~F.col("name").like(C.FREE_TIER)).select(
         F.col("user_id").alias("employer_id"))
-    seg = emp.join(subs, "employer_id")
+    seg = subs.join(emp, "employer_id")
     return seg.groupBy(week_of("registration_date").alias("cohort_week")).agg(
         F.count_distinct("employer_id").cast("bigint").alias("cohort_size"))
 
@@ -68,8 +68,8 @@ def internal_payments(src: Sources) -> DataFrame:
     """Credit payments of internal accounts, numbered per user by (created, id)."""
     cat = broadcast_if_small(src.purchases.where(F.col("sku").like(C.SKU_FAMILY)).select(
         F.col("id").alias("purchase_id"), "sku"))
-    emp = src.employers.where(F.col("email").like(C.INTERNAL_EMAIL_PATTERNS[0])).select(
-        F.col("employer_id").alias("user_id"), "email")
+    emp = small_side(src.employers.where(F.col("email").like(C.INTERNAL_EMAIL_PATTERNS[0])).select(
+        F.col("employer_id").alias("user_id"), "email"), "t3")
     pay = src.payments.select("id", "user_id", "purchase_id", "created").join(cat, "purchase_id").join(emp, "user_id")
     return keyed_scan(pay, "user_id", ["created", "id"], "pur_order")
 
@@ -87,11 +87,13 @@ def chat_ratio(src: Sources, week: dt.date | None = None) -> DataFrame:
     emp = emp.select("employer_id", week_of("registration_date").alias("week"))
     jobs = src.jobs.where(F.col("good_job") == 1).select(
         F.col("employer_id").alias("_je"), week_of("job_posted_date").alias("_jw"))
-    pub = emp.join(jobs, (emp["employer_id"] == jobs["_je"]) & (emp["week"] == jobs["_jw"]), "left_semi")
+    pub = small_side(emp.join(jobs, (emp["employer_id"] == jobs["_je"]) & (emp["week"] == jobs["_jw"]),
+                              "left_semi"), "t4")
+    # the chat fact joins the small published set by broadcast, then de-duplicates
     chats = src.chats.where(F.col("employer_messages") > 0).select(
-        F.col("employer_id").alias("_ce"), week_of("message_date").alias("_cw"))
-    chatting = pub.join(chats, (pub["employer_id"] == chats["_ce"]) & (pub["week"] == chats["_cw"]), "left_semi")
-    flagged = pub.join(chatting.select("employer_id", F.lit(True).alias("_chat")), "employer_id", "left")
+        "employer_id", week_of("message_date").alias("week"))
+    chatting = chats.join(pub, ["employer_id", "week"]).select("employer_id", "week").distinct()
+    flagged = pub.join(chatting.withColumn("_chat", F.lit(True)), ["employer_id", "week"], "left")
     return flagged.groupBy("week").agg(
         F.count_distinct("employer_id").cast("bigint").alias("published_eps"),
         F.count_distinct(F.when(F.col("_chat"), F.col("employer_id"))).cast("bigint").alias("chatting_eps"))

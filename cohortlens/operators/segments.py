@@ -33,6 +33,16 @@ class Segment:
     cfg: ReportConfig
 
 
+def small_side(df: DataFrame, name: str) -> DataFrame:
+    """Write a filtered employer set once; hint a broadcast if its written size is within bound.
+
+    Catalyst estimates a filtered dimension at its full size; once written,
+    the Parquet size is exact, so fact tables are joined to it by broadcast
+    (no shuffle of the fact) whenever it is small.
+    """
+    return broadcast_if_small(materialize(df, name))
+
+
 def cohort_bounds(cfg: ReportConfig):
     """Cohort window as a bound on the raw registration date.
 
@@ -105,7 +115,7 @@ def build_segment(src: Sources, cfg: ReportConfig, materialized: bool = True) ->
         emp = exclude_holders(emp, src.holders)
     emp = emp.withColumn("cohort_week", week_of("registration_date")).select(*EMPLOYER_COLS)
     if materialized:
-        emp = broadcast_if_small(materialize(emp, "segment"))
+        emp = small_side(emp, "segment")
 
     if not rules.subscriptions:
         return Segment(rows=emp, employers=emp, cfg=cfg)
