@@ -63,13 +63,17 @@ def _seg(cfg: ReportConfig) -> str:
             f"  from employers_dim e {' '.join(joins)}\n  where " + "\n    and ".join(where) + ")")
 
 
-def ctes(cfg: ReportConfig, wrap: dict[str, str] | None = None) -> str:
-    """Shared CTEs for one configuration (unreferenced ones cost nothing)."""
+def ctes(cfg: ReportConfig, wrap: dict[str, str] | None = None, fixture: bool = True) -> str:
+    """Shared CTEs for one configuration (unreferenced ones cost nothing).
+
+    ``fixture=False`` expects the marketplace tables (employers_dim, ...)
+    to exist under their own names instead of deriving them.
+    """
     fam = q(cfg.sku_family)
     rank_order = "pay_week, id" if cfg.rank_mode == "week" else "created, id"
     tiers = ", ".join(q(t) for t in cfg.tiers)
     return ",\n".join([
-        duckdb_prefix(wrap),
+        duckdb_prefix(wrap) if fixture else "with _none as (select 1)",
         f"spine as (select cast(generate_series as date) as activity_week from generate_series("
         f"cast({d(cfg.spine_start)} as timestamp), cast({d(cfg.spine_end)} as timestamp), interval 7 day))",
         _seg(cfg),
@@ -178,7 +182,8 @@ def cum_zero_purchasers_sql() -> str:
 
 # ---- reports: employer-grain assembly, as the reference does it -------------
 
-def report_sql(cfg: ReportConfig, kind: str, names: dict, wrap: dict[str, str] | None = None) -> str:
+def report_sql(cfg: ReportConfig, kind: str, names: dict, wrap: dict[str, str] | None = None,
+               fixture: bool = True) -> str:
     m = {
         "wa": weeks_after_sql(),
         "regs": registrations_sql(),
@@ -233,4 +238,4 @@ def report_sql(cfg: ReportConfig, kind: str, names: dict, wrap: dict[str, str] |
     metric_ctes = ",\n".join(f"{k} as ({v})" for k, v in m.items())
     body = (f"select distinct s.cohort_week, w.activity_week, {', '.join(cols)}\nfrom seg s cross join spine w\n"
             + "\n".join(joins) + "\nwhere w.activity_week >= s.cohort_week")
-    return ctes(cfg, wrap) + ",\n" + metric_ctes + "\n" + body
+    return ctes(cfg, wrap, fixture) + ",\n" + metric_ctes + "\n" + body

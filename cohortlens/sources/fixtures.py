@@ -131,7 +131,11 @@ def load_sources(spark: SparkSession, sf_dir: str, wrap: dict[str, str] | None =
     folder, so repeated queries skip re-parsing the views and re-listing
     the Parquet files.
     """
-    key = (spark.sparkContext.applicationId, id(spark), sf_dir, tuple(sorted((wrap or {}).items())))
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001  (Spark Connect)
+        app = None
+    key = (app, id(spark), sf_dir, tuple(sorted((wrap or {}).items())))
     if key not in _CACHE:
         _CACHE[key] = _build_sources(spark, sf_dir, wrap)
     return _CACHE[key]
