@@ -109,7 +109,8 @@ def pack_buyers(src: Sources, cohort_from: dt.date) -> DataFrame:
     emp = src.employers.where(
         F.col("country").like(C.COUNTRY_B) & like_all_not("email", C.INTERNAL_EMAIL_PATTERNS)
         & (F.col("registration_date") >= F.lit(cohort_from))).select("employer_id")
-    emp = emp.join(src.holders.select(F.col("user_id").alias("employer_id")), "employer_id", "left_semi")
+    emp = small_side(emp.join(src.holders.select(F.col("user_id").alias("employer_id")), "employer_id",
+                              "left_semi"), "t6")
     cat = broadcast_if_small(src.purchases.where(
         F.col("sku").like(C.SKU_FAMILY) & like_any("sku", C.ADHOC_PACK_DIGITS)).select(
         F.col("id").alias("purchase_id"), "sku"))
