@@ -44,6 +44,32 @@ def _order_key(cfg: ReportConfig) -> list[str]:
     return ["pay_week", "id"] if cfg.rank_mode == "week" else ["created", "id"]
 
 
+def first_payments(pay: DataFrame, cfg: ReportConfig) -> DataFrame:
+    """Order number 1 of every user: one row per user, by a map-side-combined ``min``."""
+    k = _order_key(cfg)
+    m = F.min(F.struct(*k, *[c for c in ("id", "sku", "pay_week", "cohort_week") if c not in k])).alias("_m")
+    return pay.groupBy("user_id").agg(m).select(
+        "user_id", *[F.col(f"_m.{c}").alias(c) for c in ("id", "sku", "pay_week", "cohort_week")])
+
+
+def repeat_weeks(pay: DataFrame) -> DataFrame:
+    """Week of each user's first repeat payment (order number 2), without ranking rows.
+
+    Under both ranking rules order number 1 lies in the user's earliest
+    payment week w1, so the earliest week among the other payments is w1
+    when w1 holds two or more payments, else the user's second distinct
+    week.  Computed from per-(user, week) counts, whose size per user is
+    bounded by the number of calendar weeks, not by the payment volume.
+    """
+    per_week = pay.groupBy("cohort_week", "user_id", "pay_week").agg(F.count(F.lit(1)).alias("_n"))
+    per_user = per_week.groupBy("cohort_week", "user_id").agg(
+        F.min("pay_week").alias("_w1"),
+        F.min_by("_n", "pay_week").alias("_n1"),
+        F.array_sort(F.collect_list("pay_week")).alias("_weeks"))
+    week = F.when(F.col("_n1") >= 2, F.col("_w1")).otherwise(F.try_element_at("_weeks", F.lit(2)))
+    return per_user.select("cohort_week", "user_id", week.alias("first_week")).where(F.col("first_week").isNotNull())
+
+
 def flag_first(pay: DataFrame, cfg: ReportConfig) -> DataFrame:
     """Add ``is_first``: the payment ranked 1 for its user (order number = 1)."""
     k = _order_key(cfg)
@@ -111,9 +137,9 @@ def pack_orders_pivot(pay: DataFrame, cfg: ReportConfig) -> DataFrame:
     return _sum_columns(pack_orders_raw(pay, cfg), PACK_NAMES)
 
 
-def first_purchasers(flagged: DataFrame, cfg: ReportConfig) -> DataFrame:
+def first_purchasers(pay: DataFrame, cfg: ReportConfig) -> DataFrame:
     """Users whose first payment falls in the activity week."""
-    return weekly_distinct(flagged.where("is_first"), "pay_week", "user_id", cfg, "unique_purchasing_eps")
+    return weekly_distinct(first_payments(pay, cfg), "pay_week", "user_id", cfg, "unique_purchasing_eps")
 
 
 def cum_purchasers(pay: DataFrame, cfg: ReportConfig) -> DataFrame:
@@ -133,9 +159,18 @@ def first_orders_raw(flagged: DataFrame, cfg: ReportConfig) -> DataFrame:
     return _pattern_columns(counts, "sku", cfg.packs, FIRST_NAMES, gate=F.col("is_first"))
 
 
-def first_orders_pivot(flagged: DataFrame, cfg: ReportConfig) -> DataFrame:
-    """M25."""
-    return _sum_columns(first_orders_raw(flagged, cfg), FIRST_NAMES)
+def first_orders_pivot(pay: DataFrame, cfg: ReportConfig) -> DataFrame:
+    """Sum of M24.
+
+    Only first payments carry values (grouped by hidden SKU, then
+    de-duplicated); every other (cohort, week) with a payment keeps its
+    row with NULL sums, as the grouping over all payments does.
+    """
+    counts = _weekly(first_payments(pay, cfg), cfg).groupBy("cohort_week", "activity_week", "sku").agg(
+        F.count_distinct("id").alias("_n"))
+    weeks = _weekly(pay, cfg).select("cohort_week", "activity_week").distinct()
+    raw = _pattern_columns(counts, "sku", cfg.packs, FIRST_NAMES).unionByName(weeks, allowMissingColumns=True)
+    return _sum_columns(raw, FIRST_NAMES)
 
 
 def repeat_orders_pivot(ranked_pay: DataFrame, cfg: ReportConfig) -> DataFrame:
@@ -156,8 +191,6 @@ def ranked_family_payments(pay: DataFrame, cfg: ReportConfig) -> DataFrame:
     return keyed_scan(pay, "user_id", order, "pur_order")
 
 
-def cum_repeat_purchasers(flagged: DataFrame, cfg: ReportConfig) -> DataFrame:
+def cum_repeat_purchasers(pay: DataFrame, cfg: ReportConfig) -> DataFrame:
     """Users with a repeat payment (order number > 1) in a week <= the activity week."""
-    repeats = flagged.where(~F.col("is_first"))
-    return cumulative_distinct(first_event_weeks(repeats, "pay_week", "user_id"), cfg,
-                               "cum_unique_rep_purchasers")
+    return cumulative_distinct(repeat_weeks(pay), cfg, "cum_unique_rep_purchasers")

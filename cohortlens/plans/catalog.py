@@ -185,7 +185,7 @@ def _ranked_ts(src):
 @register("first_purchasers", lambda: O.with_(C.PAID_A, O.weekly("ranked_pay", "pay_week", "user_id",
           "unique_purchasing_eps", where="x.pur_order = 1")))
 def _first_purchasers(src):
-    return orders.first_purchasers(orders.flag_first(_pay(src), C.PAID_A), C.PAID_A)
+    return orders.first_purchasers(_pay(src), C.PAID_A)
 
 
 @register("cum_purchasers", lambda: O.with_(C.PAID_A, O.cumulative("pay_rows", "pay_week", "user_id",
@@ -201,7 +201,7 @@ def _first_orders_raw(src):
 
 @register("first_orders_pivot", lambda: O.with_(C.PAID_A, O.summed(O.FIRST_RAW(C.PAID_A), orders.FIRST_NAMES)))
 def _first_orders_pivot(src):
-    return orders.first_orders_pivot(orders.flag_first(_pay(src), C.PAID_A), C.PAID_A)
+    return orders.first_orders_pivot(_pay(src), C.PAID_A)
 
 
 @register("repeat_orders_pivot", lambda: O.with_(C.PAID_A, O.summed(O.REPEAT_RAW(C.PAID_A), orders.REPEAT_NAMES)))
@@ -212,7 +212,7 @@ def _repeat_orders_pivot(src):
 @register("cum_repeat_purchasers", lambda: O.with_(C.PAID_A, O.cumulative("ranked_pay", "pay_week", "user_id",
           "cum_unique_rep_purchasers", where="x.pur_order > 1")))
 def _cum_repeat(src):
-    return orders.cum_repeat_purchasers(orders.flag_first(_pay(src), C.PAID_A), C.PAID_A)
+    return orders.cum_repeat_purchasers(_pay(src), C.PAID_A)
 
 
 # ---------------------------------------------------------------- B4 balance

@@ -91,19 +91,15 @@ def report_free(src: Sources, cfg: ReportConfig, sent_name: str = "ep_chats_sent
 def report_paid(src: Sources, cfg: ReportConfig, orders_name: str = "orders", reuse: bool = True) -> DataFrame:
     """Paid-chat report (21 columns)."""
     seg = shared_segment(src, cfg, reuse)
-    flagged = _keep(orders.flag_first(orders.family_payments(src, seg), cfg), "payments", reuse)
+    pay = _keep(orders.family_payments(src, seg), "payments", reuse)
     zero = balance.zero_credit_rows(src, seg)
     metrics = _funnel_metrics(src, seg, cumulative=True, reuse=reuse) + [
         balance.cum_zero_credit(zero, cfg),
-        # M17 + M22 in one aggregation
-        weekly_distinct(flagged, "pay_week", "user_id", cfg, "purchasing_eps", extra={
-            "total_orders": F.count_distinct("id").cast("bigint"),
-            # no first purchase that week: NULL, as an unmatched outer join gives
-            "unique_purchasing_eps": F.nullif(F.count_distinct(F.when(F.col("is_first"), F.col("user_id"))),
-                                              F.lit(0)).cast("bigint")}),
-        orders.pack_orders_pivot(flagged, cfg),
-        orders.first_orders_pivot(flagged, cfg),
-        orders.cum_repeat_purchasers(flagged, cfg),
+        orders.orders_weekly(pay, cfg),
+        orders.first_purchasers(pay, cfg),
+        orders.pack_orders_pivot(pay, cfg),
+        orders.first_orders_pivot(pay, cfg),
+        orders.cum_repeat_purchasers(pay, cfg),
     ]
     cols = [("registrations", "registrations"), ("published_ep", "published_ep"), ("listings", "listings"),
             ("publ_ep_who_chat", "publ_ep_who_chat"), ("cum_publ_ep_who_chat", "cum_publ_ep_who_chat"),

@@ -162,3 +162,20 @@ def test_week_without_first_purchase_is_null_not_zero(spark):
     assert (r.purchasing_eps, r.orders, r.unique_purchasing_eps) == (1, 1, None)
     assert r.cum_unique_rep_purchasers == 1 and r.pack_2_orders == 1 and r.pack_1_orders is None
     assert rows[D(2016, 12, 12)].purchasing_eps is None
+
+
+def test_repeat_week_from_week_counts(spark):
+    """First repeat payment week: the first week if it holds 2+ payments, else the second week."""
+    emps = [employer(e, D(2016, 12, 5)) for e in (1, 2, 3)]
+    pays = [(10, 1, 0, D(2016, 12, 6)), (11, 1, 2, D(2016, 12, 8)), (12, 1, 2, D(2017, 1, 3)),  # 2 in week 1
+            (20, 2, 0, D(2016, 12, 6)), (21, 2, 4, D(2016, 12, 27)), (22, 2, 4, D(2017, 1, 10)),  # 1 in week 1
+            (30, 3, 0, D(2016, 12, 7))]                                                          # no repeat
+    src = make_sources(spark, employers_dim=emps, user_balance=[(1,), (2,), (3,)], payment=pays)
+    seg = build_segment(src, CFG)
+    got = {r.user_id: r.first_week for r in orders.repeat_weeks(orders.family_payments(src, seg)).collect()}
+    assert got == {1: D(2016, 12, 5), 2: D(2016, 12, 26)}
+    ranked = orders.ranked_family_payments(orders.family_payments(src, seg), CFG)
+    exp = {}
+    for r in ranked.where("pur_order > 1").collect():
+        exp[r.user_id] = min(exp.get(r.user_id, r.pay_week), r.pay_week)
+    assert got == exp
