@@ -52,7 +52,7 @@ def first_payments(pay: DataFrame, cfg: ReportConfig) -> DataFrame:
         "user_id", *[F.col(f"_m.{c}").alias(c) for c in ("id", "sku", "pay_week", "cohort_week")])
 
 
-def repeat_weeks(pay: DataFrame) -> DataFrame:
+def repeat_weeks(pay: DataFrame, entity: str = "user_id", week: str = "pay_week") -> DataFrame:
     """Week of each user's first repeat payment (order number 2), without ranking rows.
 
     Under both ranking rules order number 1 lies in the user's earliest
@@ -61,13 +61,13 @@ def repeat_weeks(pay: DataFrame) -> DataFrame:
     week.  Computed from per-(user, week) counts, whose size per user is
     bounded by the number of calendar weeks, not by the payment volume.
     """
-    per_week = pay.groupBy("cohort_week", "user_id", "pay_week").agg(F.count(F.lit(1)).alias("_n"))
-    per_user = per_week.groupBy("cohort_week", "user_id").agg(
-        F.min("pay_week").alias("_w1"),
-        F.min_by("_n", "pay_week").alias("_n1"),
-        F.array_sort(F.collect_list("pay_week")).alias("_weeks"))
-    week = F.when(F.col("_n1") >= 2, F.col("_w1")).otherwise(F.try_element_at("_weeks", F.lit(2)))
-    return per_user.select("cohort_week", "user_id", week.alias("first_week")).where(F.col("first_week").isNotNull())
+    per_week = pay.groupBy("cohort_week", entity, week).agg(F.count(F.lit(1)).alias("_n"))
+    per_user = per_week.groupBy("cohort_week", entity).agg(
+        F.min(week).alias("_w1"),
+        F.min_by("_n", week).alias("_n1"),
+        F.array_sort(F.collect_list(week)).alias("_weeks"))
+    rep = F.when(F.col("_n1") >= 2, F.col("_w1")).otherwise(F.try_element_at("_weeks", F.lit(2)))
+    return per_user.select("cohort_week", entity, rep.alias("first_week")).where(F.col("first_week").isNotNull())
 
 
 def flag_first(pay: DataFrame, cfg: ReportConfig) -> DataFrame:

@@ -1,9 +1,11 @@
 """Subscription tiers of the premium arm.
 
 The premium segment has one row per subscription event; events of the
-paid tiers are numbered per user by (created, subscription_id).  The
-first event is found with a per-user ``min`` and flagged by a join on
-the event key; the row-level ranking uses the skew-safe scan.
+paid tiers are numbered per user by (created, subscription_id).  Metrics
+that need order number 1 take the first event with a per-user ``min``;
+"order number > 1 in week w" is decided from per-(user, week) event
+counts and the user's first week.  Only ``sub_ranked`` numbers rows, with
+the skew-safe scan.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from cohortlens.config import ReportConfig
 from cohortlens.functions.weeks import week_of
 from cohortlens.operators.cumulative import cumulative_distinct, first_event_weeks, weekly_distinct
-from cohortlens.operators.orders import _pattern_columns, _sum_columns
+from cohortlens.operators.orders import _pattern_columns, _sum_columns, repeat_weeks
 from cohortlens.operators.scan import keyed_scan
 from cohortlens.operators.segments import Segment
 
@@ -23,15 +25,32 @@ FIRST_TIER_NAMES = ("small_premium_first_orders", "medium_premium_first_orders",
 
 
 def paid_tier_events(seg: Segment) -> DataFrame:
-    """Segment rows of the paid tiers, with the event week, flagged ``is_first``."""
-    ev = (seg.rows.where(F.col("name").isin(list(seg.cfg.tiers)))
-          .select("employer_id", "cohort_week", "subscription_id", "name", "created",
-                  week_of("created").alias("sub_week")))
-    first = ev.groupBy("employer_id").agg(F.min(F.struct("created", "subscription_id")).alias("_m")).select(
-        "employer_id", F.col("_m.created").alias("created"), F.col("_m.subscription_id").alias("subscription_id"),
-        F.lit(True).alias("is_first"))
-    return (ev.join(first, ["employer_id", "subscription_id", "created"], "left")
-            .withColumn("is_first", F.coalesce("is_first", F.lit(False))))
+    """Segment rows of the paid tiers, with the event week."""
+    return (seg.rows.where(F.col("name").isin(list(seg.cfg.tiers)))
+            .select("employer_id", "cohort_week", "subscription_id", "name", "created",
+                    week_of("created").alias("sub_week")))
+
+
+def first_events(ev: DataFrame) -> DataFrame:
+    """Order number 1 of every employer (one row each, map-side-combined ``min``)."""
+    m = F.min(F.struct("created", "subscription_id", "name", "sub_week", "cohort_week")).alias("_m")
+    return ev.groupBy("employer_id").agg(m).select(
+        "employer_id", *[F.col(f"_m.{c}").alias(c) for c in ("created", "subscription_id", "name", "sub_week",
+                                                                "cohort_week")])
+
+
+def repeat_event_weeks(ev: DataFrame) -> DataFrame:
+    """(cohort, employer, week) where the employer has an event with order number > 1.
+
+    Order number 1 lies in the employer's first week w1, so week w holds a
+    repeat when it has 2+ events, or 1+ events and w != w1.  Both inputs
+    are aggregates: per (employer, week) counts and one row per employer.
+    """
+    per_week = ev.groupBy("cohort_week", "employer_id", "sub_week").agg(F.count(F.lit(1)).alias("_n"))
+    w1 = first_events(ev).select("employer_id", F.col("sub_week").alias("_w1"))
+    return (per_week.join(w1, "employer_id")
+            .where((F.col("_n") >= 2) | (F.col("sub_week") != F.col("_w1")))
+            .select("cohort_week", "employer_id", "sub_week"))
 
 
 def sub_ranked(seg: Segment) -> DataFrame:
@@ -67,26 +86,33 @@ def sub_order_pivot(ev: DataFrame, cfg: ReportConfig) -> DataFrame:
 
 def sub_first_purchasers(ev: DataFrame, cfg: ReportConfig) -> DataFrame:
     """Employers whose first paid subscription falls in the week."""
-    return weekly_distinct(ev.where("is_first"), "sub_week", "employer_id", cfg, "unique_purchasing_eps")
+    return weekly_distinct(first_events(ev), "sub_week", "employer_id", cfg, "unique_purchasing_eps")
 
 
 def sub_cum_purchasers(ev: DataFrame, cfg: ReportConfig) -> DataFrame:
-    """Employers with a first paid subscription in a week <= the activity week."""
-    return cumulative_distinct(first_event_weeks(ev.where("is_first"), "sub_week", "employer_id"), cfg,
+    """Employers with a first paid subscription in a week <= the activity week
+    (the first event's week is the employer's earliest event week)."""
+    return cumulative_distinct(first_event_weeks(ev, "sub_week", "employer_id"), cfg,
                                "cum_unique_purchasing_eps")
 
 
 def sub_repeat_purchasers(ev: DataFrame, cfg: ReportConfig) -> DataFrame:
     """Employers with a repeat subscription event in the week."""
-    return weekly_distinct(ev.where(~F.col("is_first")), "sub_week", "employer_id", cfg,
-                           "repeat_purchasing_eps")
+    return weekly_distinct(repeat_event_weeks(ev), "sub_week", "employer_id", cfg, "repeat_purchasing_eps")
 
 
 def sub_first_orders_raw(ev: DataFrame, cfg: ReportConfig) -> DataFrame:
-    """First subscriptions per tier (grouped by tier and first flag), de-duplicated."""
-    counts = _weekly(ev, cfg).groupBy("cohort_week", "activity_week", "name", "is_first").agg(
+    """First subscriptions per tier, de-duplicated.
+
+    The reference groups by (tier, order number): order-1 groups give the
+    tier counts; every (cohort, week) with an order > 1 event adds one
+    all-NULL row after the DISTINCT.
+    """
+    counts = _weekly(first_events(ev), cfg).groupBy("cohort_week", "activity_week", "name").agg(
         F.count_distinct("subscription_id").alias("_n"))
-    return _pattern_columns(counts, "name", cfg.tiers, FIRST_TIER_NAMES, gate=F.col("is_first"))
+    firsts = _pattern_columns(counts, "name", cfg.tiers, FIRST_TIER_NAMES)
+    nulls = _weekly(repeat_event_weeks(ev), cfg).select("cohort_week", "activity_week").distinct()
+    return firsts.unionByName(nulls, allowMissingColumns=True).distinct()
 
 
 def sub_first_orders_pivot(ev: DataFrame, cfg: ReportConfig) -> DataFrame:
@@ -96,5 +122,4 @@ def sub_first_orders_pivot(ev: DataFrame, cfg: ReportConfig) -> DataFrame:
 
 def sub_cum_repeat_purchasers(ev: DataFrame, cfg: ReportConfig) -> DataFrame:
     """Employers with a repeat subscription event in a week <= the activity week."""
-    return cumulative_distinct(first_event_weeks(ev.where(~F.col("is_first")), "sub_week", "employer_id"),
-                               cfg, "cum_unique_rep_purchasers")
+    return cumulative_distinct(repeat_weeks(ev, "employer_id", "sub_week"), cfg, "cum_unique_rep_purchasers")
