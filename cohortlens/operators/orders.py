@@ -2,10 +2,10 @@
 
 Ranking rules (Q5): market A numbers a user's payments by payment week
 (ties inside a week broken by payment id); market B by creation time
-(ties broken by id).  Metrics that only need the first payment take it
-with a per-user ``min`` - a map-side-combined aggregate - and flag it by
-joining on the payment id, so no window over a hot user is needed.  The
-row-level rankings use the skew-safe keyed scan.
+(ties broken by id).  Metrics that only need order number 1 or "order
+number > 1" take them from aggregates (a per-user ``min``; per-(user,
+week) counts), so no window over a hot user and no join of the payment
+rows is needed.  The row-level rankings use the skew-safe keyed scan.
 """
 
 from __future__ import annotations
@@ -70,12 +70,18 @@ def repeat_weeks(pay: DataFrame, entity: str = "user_id", week: str = "pay_week"
     return per_user.select("cohort_week", entity, rep.alias("first_week")).where(F.col("first_week").isNotNull())
 
 
-def flag_first(pay: DataFrame, cfg: ReportConfig) -> DataFrame:
-    """Add ``is_first``: the payment ranked 1 for its user (order number = 1)."""
-    k = _order_key(cfg)
-    first = pay.groupBy("user_id").agg(F.min(F.struct(*k)).alias("_m")).select(
-        F.col("_m.id").alias("id"), F.lit(True).alias("is_first"))
-    return pay.join(first, "id", "left").withColumn("is_first", F.coalesce("is_first", F.lit(False)))
+def repeat_event_weeks(events: DataFrame, entity: str = "user_id", week: str = "pay_week") -> DataFrame:
+    """(cohort, entity, week) where the entity has an event with order number > 1.
+
+    Order number 1 lies in the entity's earliest week w1, so week w holds a
+    repeat when it has 2+ events, or 1+ events and w != w1.  Built from
+    per-(entity, week) counts (at most one row per calendar week per
+    entity) and their per-entity minimum.
+    """
+    per_week = events.groupBy("cohort_week", entity, week).agg(F.count(F.lit(1)).alias("_n"))
+    w1 = per_week.groupBy(entity).agg(F.min(week).alias("_w1"))
+    return (per_week.join(w1, entity).where((F.col("_n") >= 2) | (F.col(week) != F.col("_w1")))
+            .select("cohort_week", entity, week))
 
 
 def ranked_payments(pay: DataFrame, cfg: ReportConfig) -> DataFrame:
@@ -147,16 +153,18 @@ def cum_purchasers(pay: DataFrame, cfg: ReportConfig) -> DataFrame:
     return cumulative_distinct(first_event_weeks(pay, "pay_week", "user_id"), cfg, "cum_unique_purchasing_eps")
 
 
-def first_orders_raw(flagged: DataFrame, cfg: ReportConfig) -> DataFrame:
+def first_orders_raw(pay: DataFrame, cfg: ReportConfig) -> DataFrame:
     """First orders per pack, grouped by hidden SKU and order number, de-duplicated.
 
-    Grouping by ``is_first`` instead of the order number yields the same
-    rows: every group with order number > 1 produces an all-NULL row and
-    the DISTINCT keeps one of those either way.
+    Order-1 groups are the first payments grouped by SKU; every group with
+    order number > 1 yields an all-NULL row, and the DISTINCT keeps one per
+    (cohort, week) that has a repeat payment.
     """
-    counts = _weekly(flagged, cfg).groupBy("cohort_week", "activity_week", "sku", "is_first").agg(
+    counts = _weekly(first_payments(pay, cfg), cfg).groupBy("cohort_week", "activity_week", "sku").agg(
         F.count_distinct("id").alias("_n"))
-    return _pattern_columns(counts, "sku", cfg.packs, FIRST_NAMES, gate=F.col("is_first"))
+    firsts = _pattern_columns(counts, "sku", cfg.packs, FIRST_NAMES)
+    nulls = _weekly(repeat_event_weeks(pay), cfg).select("cohort_week", "activity_week").distinct()
+    return firsts.unionByName(nulls, allowMissingColumns=True).distinct()
 
 
 def first_orders_pivot(pay: DataFrame, cfg: ReportConfig) -> DataFrame:

@@ -17,6 +17,7 @@ from cohortlens.config import ReportConfig
 from cohortlens.functions.weeks import week_of
 from cohortlens.operators.cumulative import cumulative_distinct, first_event_weeks, weekly_distinct
 from cohortlens.operators.orders import _pattern_columns, _sum_columns, repeat_weeks
+from cohortlens.operators.orders import repeat_event_weeks as _repeat_event_weeks
 from cohortlens.operators.scan import keyed_scan
 from cohortlens.operators.segments import Segment
 
@@ -40,17 +41,8 @@ def first_events(ev: DataFrame) -> DataFrame:
 
 
 def repeat_event_weeks(ev: DataFrame) -> DataFrame:
-    """(cohort, employer, week) where the employer has an event with order number > 1.
-
-    Order number 1 lies in the employer's first week w1, so week w holds a
-    repeat when it has 2+ events, or 1+ events and w != w1.  Both inputs
-    are aggregates: per (employer, week) counts and one row per employer.
-    """
-    per_week = ev.groupBy("cohort_week", "employer_id", "sub_week").agg(F.count(F.lit(1)).alias("_n"))
-    w1 = first_events(ev).select("employer_id", F.col("sub_week").alias("_w1"))
-    return (per_week.join(w1, "employer_id")
-            .where((F.col("_n") >= 2) | (F.col("sub_week") != F.col("_w1")))
-            .select("cohort_week", "employer_id", "sub_week"))
+    """(cohort, employer, week) where the employer has a paid-tier event with order number > 1."""
+    return _repeat_event_weeks(ev, "employer_id", "sub_week")
 
 
 def sub_ranked(seg: Segment) -> DataFrame:

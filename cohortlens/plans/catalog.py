@@ -196,7 +196,7 @@ def _cum_purchasers(src):
 
 @register("first_orders_raw", lambda: O.with_(C.PAID_B, O.FIRST_RAW(C.PAID_B)))
 def _first_orders_raw(src):
-    return orders.first_orders_raw(orders.flag_first(_pay(src, C.PAID_B), C.PAID_B), C.PAID_B)
+    return orders.first_orders_raw(_pay(src, C.PAID_B), C.PAID_B)
 
 
 @register("first_orders_pivot", lambda: O.with_(C.PAID_A, O.summed(O.FIRST_RAW(C.PAID_A), orders.FIRST_NAMES)))

@@ -148,8 +148,8 @@ def test_rank_modes_differ_within_a_week(spark):
     b = build_segment(src, ts_cfg)
     ts = {r.id: r.pur_order for r in orders.ranked_payments(orders.family_payments(src, b), ts_cfg).collect()}
     assert ts == {20: 1, 10: 2}
-    fl = {r.id: r.is_first for r in orders.flag_first(orders.family_payments(src, b), ts_cfg).collect()}
-    assert fl == {20: True, 10: False}
+    assert [r.id for r in orders.first_payments(orders.family_payments(src, b), ts_cfg).collect()] == [20]
+    assert [r.id for r in orders.first_payments(orders.family_payments(src, a), C.PAID_A).collect()] == [10]
 
 
 def test_week_without_first_purchase_is_null_not_zero(spark):
