@@ -60,10 +60,6 @@ def shared_segment(src: Sources, cfg: ReportConfig, reuse: bool = True) -> Segme
     return build_segment(src, cfg, materialized=reuse)
 
 
-def _on_grid(df: DataFrame, week_col: str = "chat_week") -> DataFrame:
-    return df.withColumnRenamed(week_col, "activity_week")
-
-
 def _funnel_metrics(src: Sources, seg: Segment, cumulative: bool, reuse: bool = True):
     cfg = seg.cfg
     # the chat fact is the largest input: reduce it to pair-weeks once and
