@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.session import materialize, shuffle_partitions
+from cohortlens.session import materialize
 
 _PID, _LOCAL, _FIRST, _LAST, _LASTV, _SUMMARY = ("_scan_pid", "_scan_local", "_scan_first",
                                                   "_scan_last", "_scan_lastv", "_scan_summary")
@@ -36,22 +36,10 @@ _PID, _LOCAL, _FIRST, _LAST, _LASTV, _SUMMARY = ("_scan_pid", "_scan_local", "_s
 SCAN_PARTITIONS_CONF = "spark.cohortlens.scan.partitions"
 
 
-def scan_partitions(df: DataFrame) -> int:
-    """Range partitions for a scan: input size bound / advisory partition size,
-    at least 1 and at most ``spark.sql.shuffle.partitions``; the session
-    setting ``spark.cohortlens.scan.partitions`` overrides it."""
-    from cohortlens.plans.joins import _plan_size_bound
-
-    forced = df.sparkSession.conf.get(SCAN_PARTITIONS_CONF, None)
-    if forced:
-        return int(forced)
-    cap = shuffle_partitions(df.sparkSession)
-    size = _plan_size_bound(df)
-    if size is None:
-        return cap
-    target = int(df.sparkSession.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "67108864")
-                 .lower().replace("b", "").replace("m", "000000") or 67108864)
-    return max(1, min(cap, -(-size // max(target, 1))))
+def _forced_partitions(df: DataFrame) -> int | None:
+    """Partition count set by ``spark.cohortlens.scan.partitions`` (tests), else None."""
+    v = df.sparkSession.conf.get(SCAN_PARTITIONS_CONF, None)
+    return int(v) if v else None
 
 
 def _scan_fn(key: str, order: list[str], mode: str, value: str | None, out_names: list[str]):
@@ -137,8 +125,7 @@ def _range_sum(df: DataFrame, key: str, order: list[str], out: str, value: str,
 
 def _scan(df: DataFrame, key: str, order: list[str], out: str, mode: str, value: str | None,
           num_partitions: int | None) -> DataFrame:
-    spark = df.sparkSession
-    n = num_partitions or scan_partitions(df)
+    n = num_partitions or _forced_partitions(df)
     key_type = df.schema[key].dataType
     cols = df.columns
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields] + [
@@ -146,7 +133,11 @@ def _scan(df: DataFrame, key: str, order: list[str], out: str, mode: str, value:
         T.StructField(_FIRST, key_type), T.StructField(_LAST, key_type),
         T.StructField(_LASTV, T.LongType()), T.StructField(_SUMMARY, T.BooleanType())])
     sort_cols = [key] + list(order)
-    ranged = df.repartitionByRange(n, *sort_cols).sortWithinPartitions(*sort_cols)
+    # Without an explicit count the range shuffle starts at
+    # spark.sql.shuffle.partitions and AQE merges adjacent ranges to the
+    # advisory size from runtime statistics (order across partitions kept).
+    ranged = (df.repartitionByRange(n, *sort_cols) if n else df.repartitionByRange(*sort_cols))
+    ranged = ranged.sortWithinPartitions(*sort_cols)
     local = materialize(ranged.mapInPandas(_scan_fn(key, list(order), mode, value, schema.names), schema),
                         "scan")
 

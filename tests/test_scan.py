@@ -50,3 +50,24 @@ def test_hot_key_spreads_over_partitions(spark, data):
     ranged = data.repartitionByRange(6, "user_id", "t", "id")
     per_part = (ranged.where(F.col("user_id") == 7).groupBy(F.spark_partition_id().alias("p")).count().count())
     assert per_part >= 2
+
+
+def test_aqe_sized_partitions_match_window(spark, data):
+    """No explicit count: AQE coalesces adjacent range partitions; results stay exact."""
+    confs = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2kb",
+             "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1b"}
+    old = {k: spark.conf.get(k, None) for k in confs}
+    for k, v in confs.items():
+        spark.conf.set(k, v)
+    try:
+        got = keyed_scan(data, "user_id", ["t", "id"], "r")
+        exp = data.withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy("t", "id")).cast("bigint"))
+        a, b = got.select("id", "r"), exp.select("id", "r")
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+        got = keyed_scan(data, "user_id", ["t"], "s", mode="range", value="v")
+        exp = data.withColumn("s", F.sum("v").over(Window.partitionBy("user_id").orderBy("t")).cast("bigint"))
+        a, b = got.select("id", "s"), exp.select("id", "s")
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
