@@ -21,7 +21,7 @@ from cohortlens.functions.weeks import spine_weeks_col
 from cohortlens.operators.cumulative import weekly_distinct
 from cohortlens.operators import balance, funnel, orders, subscriptions
 from cohortlens.operators.segments import Segment, build_segment
-from cohortlens.session import materialize
+from cohortlens.session import build_concurrently, materialize
 from cohortlens.sources.fixtures import Sources
 
 KEYS = ("cohort_week", "activity_week")
@@ -60,11 +60,14 @@ def shared_segment(src: Sources, cfg: ReportConfig, reuse: bool = True) -> Segme
     return build_segment(src, cfg, materialized=reuse)
 
 
-def _funnel_metrics(src: Sources, seg: Segment, cumulative: bool, reuse: bool = True):
-    cfg = seg.cfg
+def _chat_pairs(src: Sources, seg: Segment, reuse: bool) -> DataFrame:
     # the chat fact is the largest input: reduce it to pair-weeks once and
     # derive sessions, messages and (cumulative) chatting employers from that
-    pairs = _keep(funnel.chat_pair_weeks(funnel.chat_events(src, seg)), "chat_pairs", reuse)
+    return _keep(funnel.chat_pair_weeks(funnel.chat_events(src, seg)), "chat_pairs", reuse)
+
+
+def _funnel_metrics(src: Sources, seg: Segment, cumulative: bool, pairs: DataFrame):
+    cfg = seg.cfg
     # M12, M14 and M15 restricted to the grid, in one aggregation
     weekly = weekly_distinct(pairs, "chat_week", "employer_id", cfg, "publ_ep_who_chat", extra={
         "ep_chat_sessions": F.count(F.lit(1)).cast("bigint"), "ep_chats_sent": F.sum("_msgs").cast("bigint")})
@@ -81,15 +84,20 @@ def report_free(src: Sources, cfg: ReportConfig, sent_name: str = "ep_chats_sent
     cols = [("registrations", "registrations"), ("published_eps", "published_ep"), ("listings", "listings"),
             ("publ_eps_who_chat", "publ_ep_who_chat"), ("ep_chat_sessions", "ep_chat_sessions"),
             (sent_name, "ep_chats_sent")]
-    return assemble(seg, _funnel_metrics(src, seg, cumulative=False, reuse=reuse), cols)
+    pairs = _chat_pairs(src, seg, reuse)
+    return assemble(seg, _funnel_metrics(src, seg, cumulative=False, pairs=pairs), cols)
 
 
 def report_paid(src: Sources, cfg: ReportConfig, orders_name: str = "orders", reuse: bool = True) -> DataFrame:
     """Paid-chat report (21 columns)."""
     seg = shared_segment(src, cfg, reuse)
-    pay = _keep(orders.family_payments(src, seg), "payments", reuse)
-    zero = balance.zero_credit_rows(src, seg)
-    metrics = _funnel_metrics(src, seg, cumulative=True, reuse=reuse) + [
+    # independent intermediates of the segment: written side by side
+    built = build_concurrently({
+        "pairs": lambda: _chat_pairs(src, seg, reuse),
+        "pay": lambda: _keep(orders.family_payments(src, seg), "payments", reuse),
+        "zero": lambda: balance.zero_credit_rows(src, seg)})
+    pay, zero = built["pay"], built["zero"]
+    metrics = _funnel_metrics(src, seg, cumulative=True, pairs=built["pairs"]) + [
         balance.cum_zero_credit(zero, cfg),
         orders.orders_weekly(pay, cfg),
         orders.first_purchasers(pay, cfg),
@@ -111,8 +119,11 @@ def report_paid(src: Sources, cfg: ReportConfig, orders_name: str = "orders", re
 def report_premium(src: Sources, cfg: ReportConfig, reuse: bool = True) -> DataFrame:
     """Premium report (19 columns)."""
     seg = shared_segment(src, cfg, reuse)
-    ev = _keep(subscriptions.paid_tier_events(seg), "subscriptions", reuse)
-    metrics = _funnel_metrics(src, seg, cumulative=False, reuse=reuse) + [
+    built = build_concurrently({
+        "pairs": lambda: _chat_pairs(src, seg, reuse),
+        "ev": lambda: _keep(subscriptions.paid_tier_events(seg), "subscriptions", reuse)})
+    ev = built["ev"]
+    metrics = _funnel_metrics(src, seg, cumulative=False, pairs=built["pairs"]) + [
         subscriptions.sub_totals(ev, cfg),
         subscriptions.sub_first_purchasers(ev, cfg),
         subscriptions.sub_order_pivot(ev, cfg),

@@ -90,3 +90,19 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def build_concurrently(builders: dict) -> dict:
+    """Run independent builders (callables returning DataFrames) from separate threads.
+
+    Each builder typically writes an intermediate (``materialize``); Spark
+    accepts jobs from several driver threads and runs them side by side,
+    so independent writes overlap instead of queueing one after another.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    if len(builders) <= 1:
+        return {k: f() for k, f in builders.items()}
+    with ThreadPoolExecutor(max_workers=len(builders)) as pool:
+        futures = {k: pool.submit(f) for k, f in builders.items()}
+        return {k: fut.result() for k, fut in futures.items()}
