@@ -9,14 +9,17 @@ key across many tasks, and scans each sorted partition with pandas:
    (map-side combined, so even one hot timestamp collapses early); the
    scan then runs over unique (key, order) rows and the totals are
    joined back, so peers share their value without ever being buffered.
-1. ``repartitionByRange(n, key, *order)`` + ``sortWithinPartitions``.
+1. ``repartitionByRange(key, *order)`` + ``sortWithinPartitions``; AQE
+   merges adjacent ranges to its advisory size, keeping the order.
 2. ``mapInPandas`` numbers / sums each key run inside the partition and
    appends one summary row per partition: first key, last key and the
    local total of the last run.
-3. The result is checkpointed (both branches below must see the same
-   partitioning).  The summaries - at most ``n`` rows, a bound fixed by
-   the partition count - give, with a window over that small table, the
-   offset each partition's first run inherits from earlier partitions.
+3. The result is written once under the checkpoint folder (both branches
+   below must see the same partitions, and it survives executor loss).
+   The summaries - at most one row per partition, so bounded by
+   ``spark.sql.shuffle.partitions`` - give, with a window over that small
+   table, the offset each partition's first run inherits from earlier
+   partitions.
 4. A broadcast join on (partition, key) adds the offset; the big side is
    not shuffled again.
 """
