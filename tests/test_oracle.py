@@ -43,9 +43,17 @@ def test_every_key_has_an_oracle():
     assert len(KEYS) == 54
 
 
+_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "date": "DATE", "string": "VARCHAR", "boolean": "BOOLEAN",
+          "double": "DOUBLE"}
+
+
 @pytest.mark.parametrize("key", KEYS)
 def test_matches_oracle(spark, con, key):
-    got = E.queries()[key](spark, SF001).toPandas()
+    df = E.queries()[key](spark, SF001)
+    rel = con.sql(E.oracle_sql()[key])
+    spark_types = {f.name: _TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+    assert spark_types == {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    got = df.toPandas()
     exp = con.execute(E.oracle_sql()[key]).df()
     assert sorted(got.columns) == sorted(exp.columns)
     assert len(got) == len(exp)
