@@ -72,6 +72,67 @@ def employer_filter(rules: SegmentRules):
     return pred & like_all_not("email", rules.internal_emails)
 
 
+def exclude_holders(df: DataFrame, holders: DataFrame, key: str = "employer_id") -> DataFrame:
+    """``key NOT IN (SELECT user_id FROM holders)`` with SQL NULL semantics.
+
+    Spark plans a literal NOT IN as a null-aware anti join, which can
+    only broadcast the holder list.  Here the (large) holder table is
+    first cut to the candidates: a semi join against the size-checked,
+    broadcast candidate ids streams the holders without shuffling them.
+    The candidates are then anti-joined with those matches only.  The
+    NULL rules are two scalar subqueries run once: a NULL holder id
+    empties the result; a NULL key is kept only when the holder list is
+    empty.
+    """
+    ids = holders.select(F.col("user_id").alias("_holder_id"))
+    cand = broadcast_if_small(df.select(F.col(key).alias("_holder_id")))
+    matched = ids.join(cand, "_holder_id", "left_semi")
+    kept = df.join(matched, F.col(key) == F.col("_holder_id"), "left_anti")
+    null_probe = ids.where(F.col("_holder_id").isNull()).select(F.lit(1).alias("_n")).limit(1)
+    any_probe = ids.select(F.lit(1).alias("_a")).limit(1)
+    return kept.where(null_probe.scalar().isNull()
+                      & (F.col(key).isNotNull() | any_probe.scalar().isNull()))
+
+
+def small_side(df: DataFrame, name: str) -> DataFrame:
+    """Write a filtered employer set once; hint a broadcast if its written size is within bound.
+
+    Catalyst estimates a filtered dimension at its full size; once written,
+    the Parquet size is exact, so fact tables are joined to it by broadcast
+    (no shuffle of the fact) whenever it is small.
+    """
+    return broadcast_if_small(materialize(df, name))
+
+
+def cohort_bounds(cfg: ReportConfig):
+    """Cohort window as a bound on the raw registration date.
+
+    ``trunc(d, 'week') >= monday``  <=>  ``d >= monday`` and
+    ``trunc(d, 'week') <= monday``  <=>  ``d < monday + 7 days``, so the
+    filter is written on the raw column, which Parquet can push down.
+    """
+    pred = F.col("registration_date") >= F.lit(cfg.cohort_from)
+    if cfg.cohort_to is not None:
+        pred = pred & (F.col("registration_date") < F.lit(cfg.cohort_to + dt.timedelta(days=7)))
+    return pred
+
+
+def employer_filter(rules: SegmentRules):
+    pred = F.col("country").like(rules.country)
+    if rules.city is not None:
+        pred = pred & F.col("city").like(rules.city)
+    if rules.organic_only:
+        from cohortlens.config import ORGANIC_CHANNELS, ORGANIC_SUB_CHANNEL
+        pred = pred & organic_group(ORGANIC_CHANNELS, ORGANIC_SUB_CHANNEL)
+    if rules.channel_not_like is not None:
+        pred = pred & ~F.col("acquisition_channel").like(rules.channel_not_like)
+    if rules.platform is not None:
+        pred = pred & F.col("registration_sub_channel").like(rules.platform)
+    if rules.good_employer:
+        pred = pred & (F.col("good_employer") == 1)
+    return pred & like_all_not("email", rules.internal_emails)
+
+
 def exclude_holders(df: DataFrame, holders: DataFrame, key: str = "employer_id") -> DataFrame:
     """``key NOT IN (SELECT user_id FROM holders)`` with SQL NULL semantics.
 
