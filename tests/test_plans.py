@@ -51,9 +51,11 @@ def test_cohort_bound_reaches_parquet(spark, tmp_path):
     assert [r.employer_id for r in seg.employers.collect()] == [1]
 
 
-def test_fact_joins_are_broadcast_against_the_segment(spark):
-    """With the segment written first, the chat fact is joined by broadcast and not shuffled by employer."""
-    df = E.queries()["chat_messages"](spark, SF0001)
+@pytest.mark.parametrize("key", ["chat_messages", "chat_pairs", "published", "orders_weekly", "pack_orders_raw",
+                                 "report_free_uk", "report_paid_uk", "report_premium_uk"])
+def test_fact_joins_are_broadcast_against_the_segment(spark, key):
+    """With the segment written first, facts are joined by broadcast and not shuffled by employer."""
+    df = E.queries()[key](spark, SF0001)
     plan = _plan(df)
     assert "SortMergeJoin" not in plan
     assert "BroadcastHashJoin" in plan
