@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlens.llm import setsketch
+from cohortlens.llm import setsketch, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_setsketch": setsketch.op4,
+        "op6_toxicity": toxicity.op6,
     }
 
 

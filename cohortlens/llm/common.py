@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 
 from cohortlens.session import materialize
 
-__all__ = ["materialize", "table", "fold", "splitmix", "mix2", "batch_of", "partitions"]
+__all__ = ["materialize", "table", "fold", "splitmix", "mix2", "partitions", "non_empty", "runs",
+           "session_settings"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,9 +48,17 @@ def mix2(a: np.ndarray, b) -> np.ndarray:
         return splitmix(a * np.uint64(0xD6E8FEB86659FD93) + np.asarray(b, dtype=np.uint64))
 
 
-def batch_of(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) if not isinstance(columns[f.name], pa.Array)
-                                       else columns[f.name].cast(f.type) for f in schema], schema=schema)
+@contextlib.contextmanager
+def session_settings(spark: SparkSession, settings: dict[str, str]):
+    """Runtime SQL settings for one block; the session's own values come back afterwards."""
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def non_empty(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
