@@ -38,7 +38,8 @@ SAMPLE = (6_000, 2_500)  # bound of the labelled sample that training reads: cle
 EPOCHS = 5
 CALIBRATE = 4  # every fourth sampled text only calibrates the score
 RARE = 400  # a subword in fewer than one of so many sampled texts (2 at least) keeps weight 0
-ROUNDS = 3
+ROUNDS = 4
+HARD = 4
 SAMPLE_CHARS = 200_000  # longer texts are not used for training (all are scored)
 WINDOW = 120
 PIECE = 1_000_000  # characters scored at a time; longer texts are cut at white space
@@ -176,26 +177,31 @@ def calibrated(texts: list[str], labels: np.ndarray, prior: float) -> Model:
 
 
 def fit(texts: list[str], labels: np.ndarray, prior: float, seed: int = 7) -> Model:
-    """Train on whole texts first, then on each text's highest window under the model so far."""
+    """Train on whole texts first, then on the highest windows under the model so far.
+
+    A toxic text gives its highest window.  Every window of a clean text is clean, so it
+    gives its ``HARD`` highest ones.
+    """
     y = np.asarray(labels, dtype=np.int64)
     model = None
     for r in range(ROUNDS):
-        rows, counts = [], []
+        rows, counts, kinds = [], [], []
         for at in range(0, len(texts), 64):
             bucket, size = subwords(texts[at:at + 64])
             if model is None:
-                start, length = np.cumsum(size) - size, size
+                picked = [(i, s, n) for i, (s, n) in enumerate(zip(np.cumsum(size) - size, size, strict=True))]
             else:
-                text, s, n, z = model.window_logits(bucket, size)
-                order = np.lexsort((z, text))
-                top = order[np.flatnonzero(np.append(np.diff(text[order]) != 0, True))] if len(order) else order
-                start, length = np.zeros(len(size), int), np.zeros(len(size), int)
-                start[text[top]], length[text[top]] = s[top], n[top]
-            for s, n in zip(start, length, strict=True):
+                text, start, length, z = model.window_logits(bucket, size)
+                order = np.lexsort((-z, text))
+                rank = np.arange(len(order)) - np.searchsorted(text[order], text[order])
+                take = order[rank < np.where(y[at + text[order]] == 1, 1, HARD)]
+                picked = zip(text[take], start[take], length[take], strict=True)
+            for i, s, n in picked:
                 u, c = np.unique(bucket[s:s + n], return_counts=True)
                 rows.append(u)
                 counts.append(c)
-        model = train(rows, counts, y, prior, seed=seed + r)
+                kinds.append(y[at + i])
+        model = train(rows, counts, np.array(kinds, dtype=np.int64), prior, seed=seed + r)
     return model
 
 
