@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import materialize, mix2, non_empty, runs, splitmix
+from cohortlens.llm.common import materialize, mix2, non_empty, runs, session_settings, splitmix
 from cohortlens.llm.components import components
 
 REGISTERS = 125
@@ -58,8 +58,7 @@ class ShingleHasher:
     def __init__(self, k: int, cache: int = 400_000):
         self.k, self.cache, self.seen = k, cache, {}
 
-    def words(self, text: str) -> np.ndarray:
-        toks = text.encode("utf-8", "surrogatepass").lower().split()
+    def hashes(self, toks: list[bytes]) -> np.ndarray:
         seen = self.seen
         if len(seen) > self.cache:
             seen.clear()
@@ -76,7 +75,10 @@ class ShingleHasher:
         """Sorted distinct shingle hashes; fewer than ``k`` words: the sequence as one shingle."""
         if not text:
             return np.empty(0, np.uint64)
-        w = self.words(text)
+        return self.sets(self.hashes(text.encode("utf-8", "surrogatepass").lower().split()))
+
+    def sets(self, w: np.ndarray) -> np.ndarray:
+        """Sorted distinct shingle hashes of a sequence of word hashes."""
         if not len(w):
             return w
         span = min(self.k, len(w))
@@ -280,6 +282,11 @@ def _confirm(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterato
 
 
 EDGE = "u bigint, v bigint"
+# The texts of a few classes are joined to all documents: let Spark filter the documents by
+# a Bloom filter of the ids (at most 8 MB, Spark's own bound) before it shuffles any text.
+RUNTIME_FILTER = {"spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+                  "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+                  "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1TB"}
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -303,7 +310,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
                         .select("cid", F.col("n_shingles").alias("n"), "regs", "keys").dropDuplicates(["cid", "regs"]),
                         "heads")
     family = _families(heads, FAMILY, percent / 100 - MARGIN)
-    links = _links(texts, heads, family, k, percent)
+    with session_settings(docs.sparkSession, RUNTIME_FILTER):
+        links = materialize(_links(texts, heads, family, k, percent), "links")
     label = components(links)
 
     named = (classes.join(label, classes.cid == label.id, "left")
@@ -356,6 +364,7 @@ def _links(texts: DataFrame, heads: DataFrame, family: DataFrame, k: int, percen
         F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
     placed = sizes.join(blocks, "family").select(
         "cid", "family", "blocks", F.pmod(F.xxhash64("cid"), "blocks").alias("block"))
+    placed = materialize(placed, "placed").where("blocks > 0")
     body = (texts.join(placed, F.col("doc_id") == F.col("cid"))
             .select("cid", "family", "blocks", "block", "text"))
     pairs = body.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).select(
