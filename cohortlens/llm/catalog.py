@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlens.llm import setsketch, toxicity
+from cohortlens.llm import mixing, packing, quality, setsketch, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_quality": quality.op2,
         "op4_setsketch": setsketch.op4,
         "op6_toxicity": toxicity.op6,
+        "op9_mixing": mixing.op9,
+        "op10_packing": packing.op10,
     }
 
 
