@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlens.llm import mixing, packing, quality, setsketch, toxicity
+from cohortlens.llm import fingerprints, mixing, packing, quality, setsketch, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_fingerprints": fingerprints.op1,
         "op2_quality": quality.op2,
         "op4_setsketch": setsketch.op4,
         "op6_toxicity": toxicity.op6,
