@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlens.llm import fingerprints, mixing, packing, quality, setsketch, toxicity
+from cohortlens.llm import fingerprints, lattice, mixing, packing, quality, setsketch, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality": quality.op2,
         "op4_setsketch": setsketch.op4,
         "op6_toxicity": toxicity.op6,
+        "op8_lattice": lattice.op8,
         "op9_mixing": mixing.op9,
         "op10_packing": packing.op10,
     }
