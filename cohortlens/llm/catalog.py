@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlens.llm import fingerprints, lattice, mixing, packing, quality, setsketch, toxicity
+from cohortlens.llm import fingerprints, lattice, mixing, packing, quality, setsketch, tokencounts, toxicity, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,7 +14,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_fingerprints": fingerprints.op1,
         "op2_quality": quality.op2,
         "op4_setsketch": setsketch.op4,
+        "op5_token_counts": tokencounts.op5,
         "op6_toxicity": toxicity.op6,
+        "op7_urlfilter": urlfilter.op7,
         "op8_lattice": lattice.op8,
         "op9_mixing": mixing.op9,
         "op10_packing": packing.op10,
@@ -22,4 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_token_counts": tokencounts.OP5_SQL,
+        "op7_urlfilter": urlfilter.OP7_SQL,
+    }
