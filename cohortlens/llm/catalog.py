@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlens.llm import fingerprints, lattice, mixing, packing, quality, setsketch, tokencounts, toxicity, urlfilter
+from cohortlens.llm import fingerprints, lattice, mixing, packing, quality, setsketch, tokencounts, toxicity, urlfilter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fingerprints": fingerprints.op1,
         "op2_quality": quality.op2,
+        "op3_warc": warc.op3,
         "op4_setsketch": setsketch.op4,
         "op5_token_counts": tokencounts.op5,
         "op6_toxicity": toxicity.op6,
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_warc": warc.OP3_SQL,
         "op5_token_counts": tokencounts.OP5_SQL,
         "op7_urlfilter": urlfilter.OP7_SQL,
     }
