@@ -250,8 +250,8 @@ def near_vectors(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     Links are pairs of rows with cosine >= ``least`` in double precision.  Vectors that are
     null, empty, zero or hold null or non-finite components link with nothing; vectors of
     different lengths are not compared.  Rows that share a vec_id are rows of their own,
-    named alike.  A row without vec_id takes its copies' component; alone, its component is
-    null and it is kept.  Other columns are ignored; no rows give none.
+    named alike.  A row without vec_id counts as a copy of equal vectors and takes their
+    component; otherwise it is not compared, its component is null and it is kept.  Other columns are ignored; no rows give none.
     """
     element = vectors.schema["embedding"].dataType.elementType
     kind = "<f4" if isinstance(element, T.FloatType) else "<f8"

@@ -125,10 +125,12 @@ class Mix:
     Equal inputs give equal mixes, however they are partitioned.
     """
 
-    def __init__(self, docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, weights=WEIGHTS, seed: int = SEED):
+    def __init__(self, docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, weights=WEIGHTS, seed: int = SEED,
+                 copy: str | None = None):
+        """``copy`` names a column that tells rows with one doc_id apart."""
         spark = docs.sparkSession
         self.block = block
-        rows = docs.select("doc_id", "source", "text", *(["copy"] if "copy" in docs.columns else [F.lit(0).alias("copy")]))
+        rows = docs.select("doc_id", "source", "text", (F.col(copy) if copy else F.lit(0)).alias("copy"))
         kind = dict(rows.dtypes)
         sized = materialize(rows.mapInArrow(
             _sizes, f"doc_id {kind['doc_id']}, source string, copy {kind['copy']}, size bigint"), "sizes")

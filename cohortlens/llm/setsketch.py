@@ -296,8 +296,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     set holds the distinct ``k``-word shingles (the whole sequence for shorter texts) and
     two documents are linked if 100 * intersection >= ``percent`` * union.  Null, empty and
     blank texts have an empty set and are linked with nothing.  Rows that share a doc_id
-    count as one document and share its component.  A row without doc_id takes its copies'
-    component; alone, its component is null and it is kept.  Other columns are ignored.
+    count as one document and share its component.  A row without doc_id takes the component
+    of rows with an equal set; otherwise it is not compared, its component is null and it is kept.  Other columns are ignored.
     An empty table gives no rows.
     """
     texts = docs.select("doc_id", "text")

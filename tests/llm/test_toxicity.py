@@ -1,0 +1,93 @@
+import numpy as np
+import pytest
+
+from cohortlens.llm import toxicity
+from tests.llm.helpers import SF, auc, labels_for, odd
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+
+
+@pytest.fixture(scope="module")
+def scored(tables):
+    docs, labels = tables
+    return {r["doc_id"]: r for r in toxicity.toxicity(docs, labels).collect()}
+
+
+def test_held_out_accuracy(tables, scored):
+    held = [(scored[r["doc_id"]], r["toxic"]) for r in tables[1].collect() if scored[r["doc_id"]]["held_out"]]
+    # this table has 41 toxic documents outside fold 0
+    assert auc([r["score"] for r, _ in held], [t for _, t in held]) > 0.88
+    assert np.mean([r["predicted"] == t for r, t in held]) > 0.9
+    assert all(r["predicted"] == (r["score"] >= 0.5) and 0 <= r["score"] <= 1 for r in scored.values())
+
+
+def test_folds(spark, scored):
+    import zlib
+
+    assert all(r["held_out"] == (zlib.crc32(str(k).encode()) % 5 == 0) for k, r in scored.items())
+
+
+def _toy():
+    rng = np.random.default_rng(1)
+    plain = [f"{a}{b}" for a in ("mor", "ten", "lis", "gra", "pol") for b in ("an", "ik", "os", "el")]
+    texts, y = [], []
+    for i in range(240):
+        w = [plain[j] for j in rng.integers(0, len(plain), 60)]
+        if i % 2:
+            for _ in range(2):
+                w[rng.integers(0, 60)] = ("worthless", "disgusting", "pathetic")[rng.integers(0, 3)]
+        texts.append(" ".join(w))
+        y.append(i % 2)
+    return texts, np.array(y)
+
+
+def test_unseen_misspelling_and_long_clean_context():
+    texts, y = _toy()
+    model = toxicity.calibrated(texts, y, 0.5)
+    clean = " ".join(texts[0::2])
+    assert model.scores([clean])[0] < 0.5
+    assert model.scores([clean + " disgustingg worthles " + clean])[0] > 0.5
+    assert model.scores([clean + " WORTHLESS " + clean])[0] > 0.5
+
+
+def test_subwords_and_windows():
+    bucket, size = toxicity.subwords(["ab cd", "", None, "ab  cd", "é"])
+    assert size[0] == size[3] and size[1] == size[2] == 0 and size[4] > 0
+    assert (bucket[:size[0]] == bucket[size[0]:2 * size[0]]).all() and len(bucket) == size.sum()
+    text, start, length = toxicity._windows(np.array([10, 0, 5 * toxicity.WINDOW + 1]))
+    assert (length[text == 2] == toxicity.WINDOW).all() and start[-1] + length[-1] == 10 + 5 * toxicity.WINDOW + 1
+    covered = np.zeros(5 * toxicity.WINDOW + 1, bool)
+    for s, n in zip(start[text == 2], length[text == 2], strict=True):
+        covered[s - 10:s - 10 + n] = True
+    assert covered.all()
+
+
+def test_pieces_of_long_texts_cover_them(monkeypatch):
+    monkeypatch.setattr(toxicity, "PIECE", 50)
+    texts = ["a bc " * 30, "x" * 130, "", None, "short"]
+    back = {}
+    for owner, part in toxicity._pieces(texts):
+        for o, p in zip(owner, part, strict=True):
+            back[o] = back.get(o, "") + p
+    assert back == {0: texts[0], 1: texts[1], 4: "short"}
+
+
+def test_odd_rows_no_labels_and_filter(spark, tables):
+    df = odd(spark)
+    none = toxicity.toxicity(df, labels_for(spark, [])).collect()
+    assert len(none) == 13 and all(abs(r["score"] - 0.1) < 1e-6 for r in none)
+    one = toxicity.toxicity(df, labels_for(spark, [(1, 1, 1), (1, None, None), (None, 1, 1), (6, 1, None)])).collect()
+    assert len(one) == 13
+    labels = labels_for(spark, [(i, 1, i % 2) for i in range(1, 10)] + [(None, 1, 1), (2, 1, None)])
+    got = toxicity.toxicity(df, labels).collect()
+    assert len(got) == 13 and all(0 <= r["score"] <= 1 for r in got)
+    by = {}
+    for r in got:
+        by.setdefault(r["doc_id"], set()).add(r["score"])
+    assert len(by[1]) == 1 and by[3] == by[4] == by[5]
+    kept = toxicity.reject_toxic(df, labels)
+    assert kept.columns == df.columns and kept.count() == sum(r["predicted"] == 0 for r in got)
+    assert toxicity.toxicity(odd(spark, []), labels).count() == 0
