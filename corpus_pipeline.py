@@ -51,14 +51,15 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     words in order, joined by spaces.  A document of which nothing is taken has no row.
     Identical rows each get what the mix takes from any of them.
     """
-    keyed = docs.withColumn("copy", F.xxhash64("text"))
-    got = mixing.Mix(keyed.select("doc_id", "copy", "text", "source")).joined()
+    keyed = docs.withColumn("__copy", F.xxhash64("text"))
+    got = mixing.Mix(keyed, copy="__copy").joined()
     if got is None:
         return docs.limit(0)
     takes = (got.groupBy("doc_id", "copy", "pass")
-             .agg(F.array_sort(F.collect_set(F.struct(F.col("from_word").cast("bigint").alias("a"), F.col("words").cast("bigint").alias("n")))).alias("__spans"))
-             .select(F.col("doc_id").alias("__id"), F.col("copy").alias("__copy"), "__spans"))
-    rows = keyed.join(takes, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("copy") == F.col("__copy")))
+             .agg(F.array_sort(F.collect_set(F.struct(
+                 F.col("from_word").cast("bigint").alias("a"), F.col("words").cast("bigint").alias("n")))).alias("__spans"))
+             .select(F.col("doc_id").alias("__id"), F.col("copy").alias("__of"), "__spans"))
+    rows = keyed.join(takes, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__copy") == F.col("__of")))
     return rows.select(*docs.columns, "__spans").mapInArrow(_taken_words, docs.schema)
 
 
