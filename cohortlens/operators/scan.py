@@ -1,41 +1,29 @@
-"""Skew-safe ordered scans per key: ``row_number`` and RANGE running sums.
-
-``Window.partitionBy(user)`` sends every row of one user to one task, so
-a user holding a third of the ledger becomes a single straggler.  This
-operator range-partitions on (key, order...) instead, which splits a hot
-key across many tasks, and scans each sorted partition with pandas:
-
-0. RANGE running sums first aggregate the deltas per (key, order value)
-   (map-side combined, so even one hot timestamp collapses early); the
-   scan then runs over unique (key, order) rows and the totals are
-   joined back, so peers share their value without ever being buffered.
-1. ``repartitionByRange(key, *order)`` + ``sortWithinPartitions``; AQE
-   merges adjacent ranges to its advisory size, keeping the order.
-2. ``mapInPandas`` numbers / sums each key run inside the partition and
-   appends one summary row per partition: first key, last key and the
-   local total of the last run.
-3. The result is written once under the checkpoint folder (both branches
-   below must see the same partitions, and it survives executor loss).
-   The summaries - at most one row per partition, so bounded by
-   ``spark.sql.shuffle.partitions`` - give, with a window over that small
-   table, the offset each partition's first run inherits from earlier
-   partitions.
-4. A broadcast join on (partition, key) adds the offset; the big side is
-   not shuffled again.
+"""Skew-safe ordered windows per key: ``row_number`` and RANGE running sums.
+
+``Window.partitionBy(user)`` sends every row of one user to one task, so a user holding a
+third of the ledger becomes a straggler.  Here the rows are range-partitioned on
+(key, order...), which splits a hot key over many partitions and keeps rows with equal
+order values together; the partition number is written with the rows, once, under the
+checkpoint folder.  Then
+
+1. Spark windows over (partition, key) number or sum within a partition;
+2. per (key, partition) totals, summed over earlier partitions, give what a partition
+   inherits.  Only the first key of a partition can inherit, so the table of offsets has at
+   most one row per partition and is broadcast.
+
+All of it stays in the JVM with the input's own types: ids keep 64 bits, decimals stay
+decimals.  NULLs sort last and a sum over NULLs only is NULL, as in SQL.  A single
+(key, order value) with very many rows is one partition's work.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cohortlens.session import materialize
 
-_PID, _LOCAL, _FIRST, _LAST, _LASTV, _SUMMARY = ("_scan_pid", "_scan_local", "_scan_first",
-                                                  "_scan_last", "_scan_lastv", "_scan_summary")
-
-
+_PID = "_scan_pid"
 SCAN_PARTITIONS_CONF = "spark.cohortlens.scan.partitions"
 
 
@@ -45,113 +33,36 @@ def _forced_partitions(df: DataFrame) -> int | None:
     return int(v) if v else None
 
 
-def _scan_fn(key: str, order: list[str], mode: str, value: str | None, out_names: list[str]):
-    def scan(batches):
-        import pandas as pd
-        from pyspark import TaskContext
-
-        pid = TaskContext.get().partitionId()
-        st = {"has": False, "key": None, "key_na": False, "total": 0, "first": None, "any": False}
-
-        def same_key(v, v_na):
-            return st["has"] and ((v_na and st["key_na"]) or (not v_na and not st["key_na"] and v == st["key"]))
-
-        def emit(pdf: pd.DataFrame) -> pd.DataFrame:
-            k = pdf[key]
-            na = k.isna()
-            same = (k == k.shift()) | (na & na.shift(fill_value=False))
-            new_run = ~same
-            new_run.iloc[0] = True
-            run = new_run.cumsum()
-            if mode == "row_number":
-                local = pdf.groupby(run.to_numpy()).cumcount().astype("int64") + 1
-            else:  # running sum over rows unique per (key, order)
-                local = pdf[value].fillna(0).astype("int64").groupby(run.to_numpy()).cumsum()
-            local = local.to_numpy().copy()
-            k0, k0_na = k.iloc[0], bool(na.iloc[0])
-            if same_key(k0, k0_na):
-                first_run = (run == 1).to_numpy()
-                local[first_run] += st["total"]
-            if not st["any"]:
-                st["any"], st["first"], st["first_na"] = True, k0, k0_na
-            st["has"], st["key"], st["key_na"], st["total"] = (
-                True, k.iloc[-1], bool(na.iloc[-1]), int(local[-1]))
-            out = pdf.copy()
-            out[_PID] = pid
-            out[_LOCAL] = pd.array(local, dtype="Int64")
-            out[_FIRST] = None
-            out[_LAST] = None
-            out[_LASTV] = None
-            out[_SUMMARY] = False
-            return out[out_names]
-
-        for pdf in batches:
-            if not pdf.empty:
-                yield emit(pdf.reset_index(drop=True))
-        if st["any"]:
-            row = {c: [None] for c in out_names}
-            row[_PID] = [pid]
-            row[_FIRST] = [None if st["first_na"] else st["first"]]
-            row[_LAST] = [None if st["key_na"] else st["key"]]
-            row[_LASTV] = [st["total"]]
-            row[_SUMMARY] = [True]
-            yield pd.DataFrame(row)[out_names]
-
-    return scan
+def _plus(a, b):
+    """Sum of two partial sums, either of which may be over nothing but NULLs."""
+    return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b)
 
 
 def keyed_scan(df: DataFrame, key: str, order: list[str], out: str, mode: str = "row_number",
                value: str | None = None, num_partitions: int | None = None) -> DataFrame:
     """Add ``out``: row_number() or sum(value) (default RANGE frame) over (partition by key order by order).
 
-    For ``row_number`` the order must be total (add a unique tie-breaker);
-    for ``range`` equal order values share one running total, as SQL's
-    default frame does.  Values are summed as integers; NULL counts as 0.
-    Both stay exact for any key skew: no group is ever held by one task.
+    For ``row_number`` the order must be total (add a unique tie-breaker); for ``range``
+    equal order values share one running total, as SQL's default frame does.
     """
     if mode not in ("row_number", "range"):
         raise ValueError(mode)
-    if mode == "range":
-        return _range_sum(df, key, list(order), out, value, num_partitions)
-    return _scan(df, key, list(order), out, "row_number", None, num_partitions)
-
-
-def _range_sum(df: DataFrame, key: str, order: list[str], out: str, value: str,
-               num_partitions: int | None) -> DataFrame:
-    """SUM(value) OVER (PARTITION BY key ORDER BY order), default RANGE frame."""
-    deltas = df.groupBy(key, *order).agg(F.sum(F.coalesce(F.col(value).cast("long"), F.lit(0))).alias("_d"))
-    totals = _scan(deltas, key, order, "_total", "sum", "_d", num_partitions).drop("_d")
-    renamed = totals.select(*[F.col(c).alias(f"_t_{c}") for c in [key] + order], "_total")
-    cond = [df[c].eqNullSafe(renamed[f"_t_{c}"]) for c in [key] + order]
-    return df.join(renamed, cond, "left").select(*df.columns, F.col("_total").cast("bigint").alias(out))
-
-
-def _scan(df: DataFrame, key: str, order: list[str], out: str, mode: str, value: str | None,
-          num_partitions: int | None) -> DataFrame:
     n = num_partitions or _forced_partitions(df)
-    key_type = df.schema[key].dataType
-    cols = df.columns
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields] + [
-        T.StructField(_PID, T.IntegerType()), T.StructField(_LOCAL, T.LongType()),
-        T.StructField(_FIRST, key_type), T.StructField(_LAST, key_type),
-        T.StructField(_LASTV, T.LongType()), T.StructField(_SUMMARY, T.BooleanType())])
-    sort_cols = [key] + list(order)
-    # Without an explicit count the range shuffle starts at
-    # spark.sql.shuffle.partitions and AQE merges adjacent ranges to the
-    # advisory size from runtime statistics (order across partitions kept).
-    ranged = (df.repartitionByRange(n, *sort_cols) if n else df.repartitionByRange(*sort_cols))
-    ranged = ranged.sortWithinPartitions(*sort_cols)
-    local = materialize(ranged.mapInPandas(_scan_fn(key, list(order), mode, value, schema.names), schema),
-                        "scan")
-
-    summ = local.where(F.col(_SUMMARY)).select(_PID, _FIRST, _LAST, _LASTV)
-    contrib = summ.select(F.col(_LAST).alias("_k"), _PID, F.col(_LASTV).alias("_v"), F.lit(1).alias("_o"))
-    req = summ.select(F.col(_FIRST).alias("_k"), _PID, F.lit(0).cast("long").alias("_v"), F.lit(0).alias("_o"))
-    w = (Window.partitionBy("_k").orderBy(_PID, "_o")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    offsets = (contrib.unionByName(req).withColumn("_off", F.sum("_v").over(w))
-               .where(F.col("_o") == 0).select(F.col(_PID).alias("_opid"), F.col("_k").alias("_okey"), "_off"))
-    data = local.where(~F.col(_SUMMARY))
-    joined = data.join(F.broadcast(offsets),
-                       (data[_PID] == offsets["_opid"]) & data[key].eqNullSafe(offsets["_okey"]), "left")
-    return joined.select(*cols, (F.col(_LOCAL) + F.coalesce(F.col("_off"), F.lit(0))).cast("bigint").alias(out))
+    by = [F.col(c).asc_nulls_last() for c in [key, *order]]
+    # without an explicit count AQE merges adjacent ranges to its advisory size
+    ranged = df.repartitionByRange(n, *by) if n else df.repartitionByRange(*by)
+    rows = materialize(ranged.withColumn(_PID, F.spark_partition_id()), "scan")
+
+    local = Window.partitionBy(_PID, key).orderBy(*by[1:])
+    if mode == "row_number":
+        inner, total = F.row_number().over(local).cast("bigint"), F.count(F.lit(1))
+    else:
+        inner, total = F.sum(value).over(local), F.sum(value)
+    parts = rows.groupBy(F.col(key).alias("_k"), F.col(_PID).alias("_p")).agg(total.alias("_t"))
+    earlier = Window.partitionBy("_k").orderBy("_p")
+    offsets = (parts.withColumn("_off", F.sum("_t").over(earlier.rowsBetween(Window.unboundedPreceding, -1)))
+               .withColumn("_nth", F.row_number().over(earlier)).where("_nth > 1").select("_k", "_p", "_off"))
+    numbered = rows.withColumn("_in", inner)
+    joined = numbered.join(F.broadcast(offsets),
+                           (F.col(_PID) == F.col("_p")) & F.col(key).eqNullSafe(F.col("_k")), "left")
+    return joined.select(*df.columns, _plus(F.col("_in"), F.col("_off")).alias(out))
