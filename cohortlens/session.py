@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings a report job wants at any scale: AQE re-plans joins from
@@ -35,57 +37,58 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     return spark
 
 
-def apply_defaults(spark: SparkSession) -> None:
-    """Apply the runtime SQL settings to a session we did not build."""
-    for k, v in SPARK_DEFAULTS.items():
-        try:
-            spark.conf.set(k, v)
-        except Exception:  # static or locked settings: keep the cluster's value
-            pass
-
-
 _LOCAL_DIRS: dict[str, str] = {}
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is
-    used as is.  Only when it is unset (tests, local runs) do we pick a
-    fresh local folder.
+    On a cluster ``spark.checkpoint.dir`` names a folder that the driver and
+    all executors share, and is used as is.  Only a local master may leave it
+    unset; then a fresh local folder is taken.
     """
-    try:
-        sc = spark.sparkContext
-    except Exception:  # noqa: BLE001  (Spark Connect: no SparkContext)
-        sc = None
-    if sc is not None:
-        current = sc.getCheckpointDir()
-        if current:
-            return current
-        configured = sc.getConf().get("spark.checkpoint.dir", None)
-    else:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = _LOCAL_DIRS.setdefault(
             "dir", tempfile.mkdtemp(prefix="cohortlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp")))
-    if sc is not None:
-        sc.setCheckpointDir(configured)
-    return configured
+    sc.setCheckpointDir(configured)
+    return sc.getCheckpointDir()
+
+
+def delete_intermediates(spark: SparkSession) -> int:
+    """Delete the folders that ``materialize`` wrote in this application; their number.
+
+    For the end of a run: DataFrames that read those folders no longer work.
+    """
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    conf = spark._jsc.hadoopConfiguration()
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+    return len(paths)
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once as Parquet under the shared checkpoint folder and read it back.
 
-    Cuts lineage (the rows survive executor loss) and is computed exactly
-    once, unlike an RDD checkpoint of an unpersisted plan.  Used where one
+    Cuts lineage (the rows survive executor loss) and is computed once,
+    unlike an RDD checkpoint of an unpersisted plan.  Used where one
     intermediate result feeds several branches: the segment and the chat,
-    payment and ledger intermediates of a report, and the two branches of
-    the range-partitioned scan, which must see identical partitions.
+    payment and ledger intermediates of a report, and the branches of the
+    range-partitioned scan, which must see identical partitions.
     """
     spark = df.sparkSession
     path = os.path.join(ensure_checkpoint_dir(spark), "cohortlens", f"{name}-{uuid.uuid4().hex}")
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.mode("error").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -99,10 +102,23 @@ def build_concurrently(builders: dict) -> dict:
     accepts jobs from several driver threads and runs them side by side,
     so independent writes overlap instead of queueing one after another.
     """
-    from concurrent.futures import ThreadPoolExecutor
-
     if len(builders) <= 1:
         return {k: f() for k, f in builders.items()}
-    with ThreadPoolExecutor(max_workers=len(builders)) as pool:
-        futures = {k: pool.submit(f) for k, f in builders.items()}
-        return {k: fut.result() for k, fut in futures.items()}
+    out: dict = {}
+    failed: list[BaseException] = []
+
+    def run(key, build):
+        try:
+            out[key] = build()
+        except BaseException as e:  # noqa: BLE001  raised again below
+            failed.append(e)
+
+    # these threads inherit the caller's job group and other local properties
+    threads = [InheritableThread(target=run, args=item) for item in builders.items()]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    if failed:
+        raise failed[0]
+    return {k: out[k] for k in builders}
