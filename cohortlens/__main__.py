@@ -1,30 +1,79 @@
-"""Command line: run any registered query and write or show its result.
+"""Command line: run a registered query, or a report with its own windows and tables.
 
     python -m cohortlens list
     python -m cohortlens run report_paid_uk --sf-dir /root/testdata/sf0.1 --out /path/out [--format parquet|csv]
     python -m cohortlens run published --sf-dir /root/testdata/sf0.01 --show 20
+    python -m cohortlens report paid_a --sf-dir DIR --spine-start 2016-12-05 --spine-end 2017-02-13 \\
+        --cohort-from 2016-12-05 --cohort-to 2017-01-09
+    python -m cohortlens report free_b --table employers_dim=dw.employers --table jobs_dim=dw.jobs ...
 
-The result is written by the executors (``--out``); ``--show`` prints
-the first rows only.
+The result is written by the executors (``--out``); ``--show`` prints the first rows only.
+On a cluster ``--checkpoint-dir`` (or ``spark.checkpoint.dir``) names the shared folder for
+intermediates, which are deleted at the end.
 """
 
 from __future__ import annotations
 
 import argparse
+import datetime as dt
 import sys
 
 
-def main(argv=None) -> int:
+def _config(a):
+    from cohortlens import config as C
+
+    base = {c.name: c for c in (C.FREE_A, C.FREE_B, C.PAID_A, C.PAID_B, C.PREMIUM)}[a.name]
+    given = {k: getattr(a, k) for k in ("spine_start", "spine_end", "cohort_from", "cohort_to") if getattr(a, k)}
+    if a.pack:
+        given["packs"] = tuple(a.pack)
+    if a.tier:
+        given["tiers"] = tuple(a.tier)
+    if a.internal_email:
+        from dataclasses import replace
+
+        given["segment"] = replace(base.segment, internal_emails=tuple(a.internal_email))
+    return base.with_(**given)
+
+
+def _report(spark, a):
+    from cohortlens.plans import report
+    from cohortlens.sources.fixtures import Sources, load_sources
+
+    cfg = _config(a)
+    src = Sources.from_tables(spark, dict(t.split("=", 1) for t in a.table)) if a.table else load_sources(spark, a.sf_dir)
+    if a.name.startswith("free"):
+        return report.report_free(src, cfg, sent_name="ep_chats_sent" if a.name == "free_a" else "ep_chat_messages_sent")
+    if a.name == "premium":
+        return report.report_premium(src, cfg)
+    return report.report_paid(src, cfg, orders_name="orders" if a.name == "paid_a" else "total_orders")
+
+
+def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="cohortlens")
     sub = p.add_subparsers(dest="cmd", required=True)
     sub.add_parser("list", help="list query keys")
     r = sub.add_parser("run", help="run one query")
     r.add_argument("key")
-    r.add_argument("--sf-dir", required=True)
-    r.add_argument("--out")
-    r.add_argument("--format", default="parquet", choices=("parquet", "csv"))
-    r.add_argument("--show", type=int, default=0)
-    r.add_argument("--master", default="local[8]")
+    t = sub.add_parser("report", help="run one report with its own windows, tables and rules")
+    t.add_argument("name", choices=("free_a", "free_b", "paid_a", "paid_b", "premium"))
+    for k in ("--spine-start", "--spine-end", "--cohort-from", "--cohort-to"):
+        t.add_argument(k, type=dt.date.fromisoformat)
+    t.add_argument("--table", action="append", default=[], metavar="INPUT=TABLE", help="bind an input to a catalog table")
+    t.add_argument("--pack", action="append", default=[], help="SKU pattern of a pack (repeat; replaces the default)")
+    t.add_argument("--tier", action="append", default=[], help="subscription tier (repeat; replaces the default)")
+    t.add_argument("--internal-email", action="append", default=[], help="LIKE pattern of internal accounts (repeat)")
+    for x in (r, t):
+        x.add_argument("--sf-dir", required=x is r, default=None)
+        x.add_argument("--out")
+        x.add_argument("--format", default="parquet", choices=("parquet", "csv"))
+        x.add_argument("--show", type=int, default=0)
+        x.add_argument("--master", default="local[8]")
+        x.add_argument("--checkpoint-dir", help="folder that driver and executors share")
+    return p
+
+
+def main(argv=None) -> int:
+    p = _parser()
     a = p.parse_args(argv)
 
     from cohortlens.plans import catalog
@@ -32,16 +81,23 @@ def main(argv=None) -> int:
         for k in sorted(catalog.queries()):
             print(k)
         return 0
+    if a.cmd == "report" and not (a.sf_dir or a.table):
+        p.error("report needs --sf-dir or --table")
 
-    from cohortlens.session import build_session
-    spark = build_session(a.master)
-    df = catalog.queries()[a.key](spark, a.sf_dir)
-    if a.out:
-        w = df.write.mode("overwrite")
-        (w.option("header", "true").csv(a.out) if a.format == "csv" else w.parquet(a.out))
-    if a.show or not a.out:
-        df.show(a.show or 20, truncate=False)
-    spark.stop()
+    from cohortlens.session import build_session, delete_intermediates
+    extra = {"spark.checkpoint.dir": a.checkpoint_dir} if a.checkpoint_dir else None
+    spark = build_session(a.master, extra=extra)
+    try:
+        df = catalog.queries()[a.key](spark, a.sf_dir) if a.cmd == "run" else _report(spark, a)
+        if a.out:
+            w = df.write.mode("overwrite")
+            (w.option("header", "true").csv(a.out) if a.format == "csv" else w.parquet(a.out))
+        if a.show or not a.out:
+            df.show(a.show or 20, truncate=False)
+    finally:
+        delete_intermediates(spark)
+        if argv is None:
+            spark.stop()
     return 0
 
 

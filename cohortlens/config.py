@@ -51,6 +51,8 @@ class SegmentRules:
     country: str
     city: str | None = None
     organic_only: bool = False
+    organic_channels: tuple[str, ...] = ORGANIC_CHANNELS
+    organic_sub_channel: str = ORGANIC_SUB_CHANNEL
     channel_not_like: str | None = None
     platform: str | None = PLATFORM
     good_employer: bool = True
@@ -75,6 +77,8 @@ class ReportConfig:
     sku_family: str = SKU_FAMILY
     packs: tuple[str, ...] = PACK_PATTERNS
     tiers: tuple[str, ...] = PAID_TIERS
+    # column prefixes of the tiers; further tiers are tier_4_premium, ...
+    tier_labels: tuple[str, ...] = ("small_premium", "medium_premium", "large_premium")
     # "week": rank de-duplicated payments by payment week (market A);
     # "timestamp": rank raw payments by creation time (market B)
     rank_mode: str = "week"
@@ -99,6 +103,34 @@ class ReportConfig:
     def n_weeks(self) -> int:
         return (self.last_week - self.spine_start).days // 7 + 1
 
+    def _pack_columns(self, form: str) -> tuple[str, ...]:
+        return tuple(form.format(i) for i in range(1, len(self.packs) + 1))
+
+    def _tier_columns(self, suffix: str) -> tuple[str, ...]:
+        labels = list(self.tier_labels[:len(self.tiers)])
+        labels += [f"tier_{i}_premium" for i in range(len(labels) + 1, len(self.tiers) + 1)]
+        return tuple(f"{label}_{suffix}" for label in labels)
+
+    @property
+    def pack_names(self) -> tuple[str, ...]:
+        return self._pack_columns("pack_{}_orders")
+
+    @property
+    def first_names(self) -> tuple[str, ...]:
+        return self._pack_columns("first_orders_pack_{}")
+
+    @property
+    def repeat_names(self) -> tuple[str, ...]:
+        return self._pack_columns("repeat_orders_pack_{}")
+
+    @property
+    def tier_names(self) -> tuple[str, ...]:
+        return self._tier_columns("orders")
+
+    @property
+    def first_tier_names(self) -> tuple[str, ...]:
+        return self._tier_columns("first_orders")
+
     def with_(self, **kw) -> "ReportConfig":
         return replace(self, **kw)
 

@@ -19,10 +19,9 @@ def week_of(c) -> Column:
     return F.trunc(F.col(c) if isinstance(c, str) else c, "week")
 
 
-def weeks_after(activity_week, registration_date) -> Column:
-    a = F.col(activity_week) if isinstance(activity_week, str) else activity_week
-    r = F.col(registration_date) if isinstance(registration_date, str) else registration_date
-    return ((F.year(a) - F.year(r)) * 52 + F.weekofyear(a) - F.weekofyear(r)).cast("bigint")
+def weeks_after(activity_week: Column, year: Column, week: Column) -> Column:
+    """Weeks from a registration (its calendar year and ISO week) to an activity week."""
+    return ((F.year(activity_week) - year) * 52 + F.weekofyear(activity_week) - week).cast("bigint")
 
 
 def spine_weeks_col(start, last_week: dt.date) -> Column:

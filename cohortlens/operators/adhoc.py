@@ -25,10 +25,9 @@ from cohortlens.sources.fixtures import Sources
 def experiment_arms(src: Sources) -> DataFrame:
     """Subscription events and subscribers per experiment arm (product, test_id).
 
-    The arm map is a short literal list, so broadcasting it is safe by
-    construction; events of unmapped arms are not reported.
+    Events of unmapped arms are not reported.
     """
-    arms = F.broadcast(src.arms.select("product", "test_id"))
+    arms = broadcast_if_small(src.arms.select("product", "test_id"))
     return (src.subscriptions.join(arms, "test_id")
             .groupBy("product", "test_id")
             .agg(F.count(F.lit(1)).cast("bigint").alias("subscription_events"),
@@ -59,18 +58,17 @@ def internal_accounts(src: Sources, registered_from: dt.date, cohort_until: dt.d
         & (F.col("registration_date") >= F.lit(registered_from))
         & (F.col("registration_date") < F.lit(cohort_until + dt.timedelta(days=7)))
         & F.col("email").like(C.INTERNAL_EMAIL_PATTERNS[0]))
-    emp = emp.join(src.holders.select(F.col("user_id").alias("employer_id")), "employer_id", "left_semi")
-    return emp.select("employer_id", "registration_date", "email",
-                      week_of("registration_date").alias("cohort_week"))
+    held = emp.join(src.holders, F.col("employer_id") == F.col("user_id"))
+    return held.select(*src.employers.columns, "user_id", week_of("registration_date").alias("cohort_week"))
 
 
 def internal_payments(src: Sources) -> DataFrame:
     """Credit payments of internal accounts, numbered per user by (created, id)."""
     cat = broadcast_if_small(src.purchases.where(F.col("sku").like(C.SKU_FAMILY)).select(
         F.col("id").alias("purchase_id"), "sku"))
-    emp = small_side(src.employers.where(F.col("email").like(C.INTERNAL_EMAIL_PATTERNS[0])).select(
-        F.col("employer_id").alias("user_id"), "email"), "t3")
-    pay = src.payments.select("id", "user_id", "purchase_id", "created").join(cat, "purchase_id").join(emp, "user_id")
+    emp = small_side(src.employers.where(F.col("email").like(C.INTERNAL_EMAIL_PATTERNS[0])), "t3")
+    pay = src.payments.select("id", "user_id", "purchase_id", "created").join(cat, "purchase_id")
+    pay = pay.join(emp, F.col("user_id") == F.col("employer_id"))
     return keyed_scan(pay, "user_id", ["created", "id"], "pur_order")
 
 

@@ -20,7 +20,8 @@ def running_balance(ledger: DataFrame) -> DataFrame:
     """``sum(balance_change) over (partition by user_id order by created)``.
 
     The default RANGE frame: ledger rows of one user with the same
-    ``created`` share one balance (Q7).  Computed with the skew-safe scan.
+    ``created`` share one balance (Q7); amounts keep their type, and a sum
+    over NULLs only is NULL.  Computed with the skew-safe scan.
     """
     return keyed_scan(ledger.select(*LEDGER_COLS), "user_id", ["created"], "balance",
                       mode="range", value="balance_change")
@@ -35,7 +36,8 @@ def zero_credit_rows(src: Sources, seg: Segment) -> DataFrame:
     emp = seg.employers.select(F.col("employer_id").alias("user_id"), "cohort_week")
     ledger = src.ledger.select(*LEDGER_COLS).join(emp.select("user_id"), "user_id", "left_semi")
     bal = running_balance(ledger).where(F.col("balance") == 0)
-    return bal.join(emp, "user_id").select(
+    rows = seg.rows.select(F.col("employer_id").alias("user_id"), "cohort_week")
+    return bal.join(rows, "user_id").select(
         F.col("user_id").alias("employer_id"), "cohort_week", "id", "created", "balance")
 
 
@@ -73,6 +75,6 @@ def cum_zero_credit_purchasers(src: Sources, seg: Segment, zero: DataFrame) -> D
     pay = family_payments(src, seg, employers=seg.employers.join(zfirst.select("employer_id"),
                                                                   "employer_id", "left_semi"))
     pfirst = pay.groupBy(F.col("user_id").alias("employer_id")).agg(F.min("pay_week").alias("_pw"))
-    first = zfirst.join(pfirst, "employer_id").select(
+    first = zfirst.join(pfirst, "employer_id").where("_zw is not null and _pw is not null").select(
         "cohort_week", F.greatest("_zw", "_pw").alias("first_week"))
     return cumulative_distinct(first, cfg, "cum_purchasing_eps_who_reached_0_credits")

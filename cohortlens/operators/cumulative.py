@@ -46,7 +46,8 @@ def cumulative_distinct(first: DataFrame, cfg: ReportConfig, out: str) -> DataFr
     report's outer join, as in the reference.
     """
     start = F.greatest(F.col("first_week"), F.col("cohort_week"), F.lit(cfg.spine_start))
-    per_week = (first.select("cohort_week", start.alias("_from"))
+    # an entity without a week is never counted (NULL <= week is not true)
+    per_week = (first.where(F.col("first_week").isNotNull()).select("cohort_week", start.alias("_from"))
                 .where(F.col("_from") <= F.lit(cfg.last_week))
                 .groupBy("cohort_week", "_from").agg(F.count(F.lit(1)).alias("_n")))
     return (per_week.select("cohort_week", "_n",

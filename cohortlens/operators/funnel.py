@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.config import ReportConfig
-from cohortlens.functions.weeks import spine_weeks_col, week_of
+from cohortlens.functions.weeks import spine_weeks_col, week_of, weeks_after
 from cohortlens.operators.cumulative import cumulative_distinct, first_event_weeks, weekly_distinct
-from cohortlens.operators.segments import Segment
+from cohortlens.operators.segments import Segment, small_side
 from cohortlens.sources.fixtures import Sources
 
 
@@ -26,8 +26,8 @@ def weeks_after_table(seg: Segment) -> DataFrame:
         F.weekofyear("registration_date").alias("_w")).distinct()
     grid = triples.select("cohort_week", "_y", "_w",
                           F.explode(spine_weeks_col(cfg.spine_start, cfg.last_week)).alias("activity_week"))
-    wa = ((F.year("activity_week") - F.col("_y")) * 52 + F.weekofyear("activity_week") - F.col("_w"))
-    return grid.select("cohort_week", "activity_week", wa.cast("bigint").alias("weeks_after")).distinct()
+    wa = weeks_after(F.col("activity_week"), F.col("_y"), F.col("_w"))
+    return grid.select("cohort_week", "activity_week", wa.alias("weeks_after")).distinct()
 
 
 def registrations(seg: Segment) -> DataFrame:
@@ -56,21 +56,19 @@ def published(src: Sources, seg: Segment, jobs: DataFrame | None = None) -> Data
                            extra={"listings": F.count_distinct("job_id").cast("bigint")})
 
 
-def gated_employers(src: Sources, seg: Segment) -> DataFrame:
+def gated_employers(src: Sources, seg: Segment, jobs: DataFrame | None = None) -> DataFrame:
     """Employers with a good listing posted in their registration week.
 
     The reference joins every listing with every chat row of the employer
-    and de-duplicates afterwards; only existence matters, so this is a
-    semi join on employer_id with the week condition.  Listings are
-    first cut to segment employers (the segment is the broadcast side),
-    and the result is a semi join *of the segment*, so its size bound is
-    the segment's and the chat fact can be joined to it by broadcast.
+    and de-duplicates afterwards; only existence matters.  The listings
+    join the segment (broadcast) on employer and week, the few distinct
+    employers left are written, and the chat fact can join them by
+    broadcast.  ``jobs``: the segment's good listings, if written already.
     """
-    emp = seg.employers.select("employer_id", "cohort_week")
-    jobs = (src.jobs.where(F.col("good_job") == 1).join(emp.select("employer_id"), "employer_id", "left_semi")
-            .select(F.col("employer_id").alias("_jemp"), week_of("job_posted_date").alias("_jweek")))
-    return emp.join(jobs, (emp["employer_id"] == jobs["_jemp"]) & (emp["cohort_week"] == jobs["_jweek"]),
-                    "left_semi")
+    jobs = jobs if jobs is not None else good_jobs(src, seg)
+    gated = (jobs.where(week_of("job_posted_date") == F.col("cohort_week"))
+             .select("employer_id", "cohort_week").distinct())
+    return small_side(gated, "gated")
 
 
 def chat_events(src: Sources, seg: Segment, gated: DataFrame | None = None) -> DataFrame:
@@ -115,13 +113,6 @@ def chat_pair_weeks(events: DataFrame) -> DataFrame:
         F.sum_distinct("employer_messages").alias("_msgs"))
 
 
-def chat_week_summary(pairs: DataFrame) -> DataFrame:
-    """M12 + M14 from ``chat_pair_weeks``: sessions and messages per cohort and chat week."""
-    return pairs.groupBy("cohort_week", "chat_week").agg(
-        F.count(F.lit(1)).cast("bigint").alias("ep_chat_sessions"),
-        F.sum("_msgs").cast("bigint").alias("ep_chats_sent"))
-
-
 def publ_who_chat(events: DataFrame, cfg: ReportConfig) -> DataFrame:
     """Gated employers who sent messages in the activity week."""
     return weekly_distinct(events, "chat_week", "employer_id", cfg, "publ_ep_who_chat")

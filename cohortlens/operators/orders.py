@@ -32,22 +32,34 @@ def family_catalogue(src: Sources, cfg: ReportConfig) -> DataFrame:
 
 
 def family_payments(src: Sources, seg: Segment, employers: DataFrame | None = None) -> DataFrame:
-    """Payments of segment employers for SKUs of the family, with cohort and payment week."""
-    emp = employers if employers is not None else seg.employers
+    """Payments of segment employers for SKUs of the family, with cohort and payment week.
+
+    Week mode de-duplicates before it ranks.  Timestamp mode ranks the
+    joined rows as they are, so an employer that the segment repeats has
+    every payment once per repetition.
+    """
+    distinct = seg.cfg.rank_mode == "week"
+    emp = employers if employers is not None else seg.employers if distinct else seg.rows
     pay = src.payments.select("id", "user_id", "purchase_id", "created")
     pay = pay.join(family_catalogue(src, seg.cfg), "purchase_id")
     pay = pay.join(emp.select(F.col("employer_id").alias("user_id"), "cohort_week"), "user_id")
-    return pay.withColumn("pay_week", week_of("created")).select(*PAYMENT_COLS)
+    pay = pay.withColumn("pay_week", week_of("created")).select(*PAYMENT_COLS)
+    return pay.distinct() if distinct else pay
 
 
 def _order_key(cfg: ReportConfig) -> list[str]:
     return ["pay_week", "id"] if cfg.rank_mode == "week" else ["created", "id"]
 
 
+def nulls_last(*cols: str) -> list:
+    """Struct fields that order as ``ORDER BY cols`` does, NULLs last."""
+    return [x for c in cols for x in (F.col(c).isNull().alias(f"_no_{c}"), F.col(c))]
+
+
 def first_payments(pay: DataFrame, cfg: ReportConfig) -> DataFrame:
     """Order number 1 of every user: one row per user, by a map-side-combined ``min``."""
     k = _order_key(cfg)
-    m = F.min(F.struct(*k, *[c for c in ("id", "sku", "pay_week", "cohort_week") if c not in k])).alias("_m")
+    m = F.min(F.struct(*nulls_last(*k), *[c for c in ("id", "sku", "pay_week", "cohort_week") if c not in k])).alias("_m")
     return pay.groupBy("user_id").agg(m).select(
         "user_id", *[F.col(f"_m.{c}").alias(c) for c in ("id", "sku", "pay_week", "cohort_week")])
 
@@ -107,7 +119,7 @@ def _pattern_columns(counts: DataFrame, key_col: str, patterns, names, gate=None
     one row (Q3).  The order agg -> drop key -> distinct is kept.
     """
     cols = []
-    for p, name in zip(patterns, names):
+    for p, name in zip(patterns, names, strict=True):
         cond = F.col(key_col).like(p)
         if gate is not None:
             cond = cond & gate
@@ -126,21 +138,16 @@ def _weekly(pay: DataFrame, cfg: ReportConfig) -> DataFrame:
                      & (wk >= F.col("cohort_week"))).withColumnRenamed("pay_week", "activity_week")
 
 
-PACK_NAMES = ("pack_1_orders", "pack_2_orders", "pack_3_orders")
-FIRST_NAMES = ("first_orders_pack_1", "first_orders_pack_2", "first_orders_pack_3")
-REPEAT_NAMES = ("repeat_orders_pack_1", "repeat_orders_pack_2", "repeat_orders_pack_3")
-
-
 def pack_orders_raw(pay: DataFrame, cfg: ReportConfig) -> DataFrame:
     """Orders per pack, grouped by the hidden SKU, then de-duplicated."""
     counts = _weekly(pay, cfg).groupBy("cohort_week", "activity_week", "sku").agg(
         F.count_distinct("id").alias("_n"))
-    return _pattern_columns(counts, "sku", cfg.packs, PACK_NAMES)
+    return _pattern_columns(counts, "sku", cfg.packs, cfg.pack_names)
 
 
 def pack_orders_pivot(pay: DataFrame, cfg: ReportConfig) -> DataFrame:
     """Sum of M18 per cohort and week."""
-    return _sum_columns(pack_orders_raw(pay, cfg), PACK_NAMES)
+    return _sum_columns(pack_orders_raw(pay, cfg), cfg.pack_names)
 
 
 def first_purchasers(pay: DataFrame, cfg: ReportConfig) -> DataFrame:
@@ -162,7 +169,7 @@ def first_orders_raw(pay: DataFrame, cfg: ReportConfig) -> DataFrame:
     """
     counts = _weekly(first_payments(pay, cfg), cfg).groupBy("cohort_week", "activity_week", "sku").agg(
         F.count_distinct("id").alias("_n"))
-    firsts = _pattern_columns(counts, "sku", cfg.packs, FIRST_NAMES)
+    firsts = _pattern_columns(counts, "sku", cfg.packs, cfg.first_names)
     nulls = _weekly(repeat_event_weeks(pay), cfg).select("cohort_week", "activity_week").distinct()
     return firsts.unionByName(nulls, allowMissingColumns=True).distinct()
 
@@ -177,8 +184,8 @@ def first_orders_pivot(pay: DataFrame, cfg: ReportConfig) -> DataFrame:
     counts = _weekly(first_payments(pay, cfg), cfg).groupBy("cohort_week", "activity_week", "sku").agg(
         F.count_distinct("id").alias("_n"))
     weeks = _weekly(pay, cfg).select("cohort_week", "activity_week").distinct()
-    raw = _pattern_columns(counts, "sku", cfg.packs, FIRST_NAMES).unionByName(weeks, allowMissingColumns=True)
-    return _sum_columns(raw, FIRST_NAMES)
+    raw = _pattern_columns(counts, "sku", cfg.packs, cfg.first_names).unionByName(weeks, allowMissingColumns=True)
+    return _sum_columns(raw, cfg.first_names)
 
 
 def repeat_orders_pivot(ranked_pay: DataFrame, cfg: ReportConfig) -> DataFrame:
@@ -189,8 +196,8 @@ def repeat_orders_pivot(ranked_pay: DataFrame, cfg: ReportConfig) -> DataFrame:
     """
     counts = _weekly(ranked_pay, cfg).groupBy("cohort_week", "activity_week", "sku", "pur_order").agg(
         F.count_distinct("id").alias("_n"))
-    raw = _pattern_columns(counts, "sku", cfg.packs, REPEAT_NAMES, gate=F.col("pur_order") > 1)
-    return _sum_columns(raw, REPEAT_NAMES)
+    raw = _pattern_columns(counts, "sku", cfg.packs, cfg.repeat_names, gate=F.col("pur_order") > 1)
+    return _sum_columns(raw, cfg.repeat_names)
 
 
 def ranked_family_payments(pay: DataFrame, cfg: ReportConfig) -> DataFrame:

@@ -37,8 +37,8 @@ def small_side(df: DataFrame, name: str) -> DataFrame:
     """Write a filtered employer set once; hint a broadcast if its written size is within bound.
 
     Catalyst estimates a filtered dimension at its full size; once written,
-    the Parquet size is exact, so fact tables are joined to it by broadcast
-    (no shuffle of the fact) whenever it is small.
+    the estimate is the size of its files, so fact tables are joined to it
+    by broadcast (no shuffle of the fact) whenever it is small.
     """
     return broadcast_if_small(materialize(df, name))
 
@@ -61,8 +61,7 @@ def employer_filter(rules: SegmentRules):
     if rules.city is not None:
         pred = pred & F.col("city").like(rules.city)
     if rules.organic_only:
-        from cohortlens.config import ORGANIC_CHANNELS, ORGANIC_SUB_CHANNEL
-        pred = pred & organic_group(ORGANIC_CHANNELS, ORGANIC_SUB_CHANNEL)
+        pred = pred & organic_group(rules.organic_channels, rules.organic_sub_channel)
     if rules.channel_not_like is not None:
         pred = pred & ~F.col("acquisition_channel").like(rules.channel_not_like)
     if rules.platform is not None:
@@ -76,17 +75,18 @@ def exclude_holders(df: DataFrame, holders: DataFrame, key: str = "employer_id")
     """``key NOT IN (SELECT user_id FROM holders)`` with SQL NULL semantics.
 
     Spark plans a literal NOT IN as a null-aware anti join, which can
-    only broadcast the holder list.  Here the (large) holder table is
-    first cut to the candidates: a semi join against the size-checked,
-    broadcast candidate ids streams the holders without shuffling them.
-    The candidates are then anti-joined with those matches only.  The
-    NULL rules are two scalar subqueries run once: a NULL holder id
-    empties the result; a NULL key is kept only when the holder list is
-    empty.
+    only broadcast the holder list.  Here the candidates ``df`` are
+    written first, so their size is known; while it is within the
+    broadcast bound the (large) holder table streams past them unshuffled
+    and only its matches are written, which the candidates are then
+    anti-joined with.  The NULL rules are two scalar subqueries: a NULL
+    holder id empties the result; a NULL key is kept only when the holder
+    list is empty.
     """
     ids = holders.select(F.col("user_id").alias("_holder_id"))
+    df = materialize(df, "candidates")
     cand = broadcast_if_small(df.select(F.col(key).alias("_holder_id")))
-    matched = ids.join(cand, "_holder_id", "left_semi")
+    matched = broadcast_if_small(materialize(ids.join(cand, "_holder_id", "left_semi"), "matched_holders"))
     kept = df.join(matched, F.col(key) == F.col("_holder_id"), "left_anti")
     null_probe = ids.where(F.col("_holder_id").isNull()).select(F.lit(1).alias("_n")).limit(1)
     any_probe = ids.select(F.lit(1).alias("_a")).limit(1)
@@ -94,69 +94,12 @@ def exclude_holders(df: DataFrame, holders: DataFrame, key: str = "employer_id")
                       & (F.col(key).isNotNull() | any_probe.scalar().isNull()))
 
 
-def small_side(df: DataFrame, name: str) -> DataFrame:
-    """Write a filtered employer set once; hint a broadcast if its written size is within bound.
-
-    Catalyst estimates a filtered dimension at its full size; once written,
-    the Parquet size is exact, so fact tables are joined to it by broadcast
-    (no shuffle of the fact) whenever it is small.
-    """
-    return broadcast_if_small(materialize(df, name))
-
-
-def cohort_bounds(cfg: ReportConfig):
-    """Cohort window as a bound on the raw registration date.
-
-    ``trunc(d, 'week') >= monday``  <=>  ``d >= monday`` and
-    ``trunc(d, 'week') <= monday``  <=>  ``d < monday + 7 days``, so the
-    filter is written on the raw column, which Parquet can push down.
-    """
-    pred = F.col("registration_date") >= F.lit(cfg.cohort_from)
-    if cfg.cohort_to is not None:
-        pred = pred & (F.col("registration_date") < F.lit(cfg.cohort_to + dt.timedelta(days=7)))
-    return pred
-
-
-def employer_filter(rules: SegmentRules):
-    pred = F.col("country").like(rules.country)
-    if rules.city is not None:
-        pred = pred & F.col("city").like(rules.city)
-    if rules.organic_only:
-        from cohortlens.config import ORGANIC_CHANNELS, ORGANIC_SUB_CHANNEL
-        pred = pred & organic_group(ORGANIC_CHANNELS, ORGANIC_SUB_CHANNEL)
-    if rules.channel_not_like is not None:
-        pred = pred & ~F.col("acquisition_channel").like(rules.channel_not_like)
-    if rules.platform is not None:
-        pred = pred & F.col("registration_sub_channel").like(rules.platform)
-    if rules.good_employer:
-        pred = pred & (F.col("good_employer") == 1)
-    return pred & like_all_not("email", rules.internal_emails)
-
-
-def exclude_holders(df: DataFrame, holders: DataFrame, key: str = "employer_id") -> DataFrame:
-    """``key NOT IN (SELECT user_id FROM holders)`` with SQL NULL semantics.
-
-    Spark plans a literal NOT IN as a null-aware anti join, which can
-    only broadcast the holder list.  Here the anti join is a plain
-    ``left_anti`` (sort-merge or broadcast, chosen by AQE from the
-    runtime size), and the NULL rules are two scalar subqueries run once:
-    a NULL holder id empties the result; a NULL key is kept only when
-    the holder list is empty.
-    """
-    ids = holders.select(F.col("user_id").alias("_holder_id"))
-    kept = df.join(ids, F.col(key) == F.col("_holder_id"), "left_anti")
-    null_probe = ids.where(F.col("_holder_id").isNull()).select(F.lit(1).alias("_n")).limit(1)
-    any_probe = ids.select(F.lit(1).alias("_a")).limit(1)
-    return kept.where(null_probe.scalar().isNull()
-                      & (F.col(key).isNotNull() | any_probe.scalar().isNull()))
-
-
 def build_segment(src: Sources, cfg: ReportConfig, materialized: bool = True) -> Segment:
     """Segment rows and employers.
 
     ``materialized`` writes the (small, filtered) segment once under the
     checkpoint folder.  Besides computing it once for every metric, this
-    gives Catalyst its exact size: joins of the large fact tables
+    gives Catalyst its size: joins of the large fact tables
     (chats, jobs, payments, ledger) against the segment are then planned
     as broadcast joins from the start, instead of shuffling the fact by
     employer id before AQE sees that the segment is small.  The broadcast
@@ -166,20 +109,23 @@ def build_segment(src: Sources, cfg: ReportConfig, materialized: bool = True) ->
     rules = cfg.segment
     emp = (src.employers.where(employer_filter(rules) & cohort_bounds(cfg))
            .select("employer_id", "registration_date"))
+    # inner joins, as written: a second holder or user row repeats the employer
+    repeats = rules.holders == "require" or rules.require_user_row
     if rules.holders == "require":
-        emp = emp.join(src.holders.select(F.col("user_id").alias("employer_id")), "employer_id",
-                       "left_semi")
+        emp = emp.join(src.holders.select(F.col("user_id").alias("employer_id")), "employer_id")
     if rules.require_user_row:
-        emp = emp.join(src.users.select(F.col("id").alias("employer_id")), "employer_id",
-                       "left_semi")
+        emp = emp.join(src.users.select(F.col("id").alias("employer_id")), "employer_id")
     if rules.holders == "exclude":
         emp = exclude_holders(emp, src.holders)
     emp = emp.withColumn("cohort_week", week_of("registration_date")).select(*EMPLOYER_COLS)
     if materialized:
         emp = small_side(emp, "segment")
+    once = emp.distinct() if repeats else emp
+    if materialized and repeats:
+        once = small_side(once, "segment_employers")
 
     if not rules.subscriptions:
-        return Segment(rows=emp, employers=emp, cfg=cfg)
+        return Segment(rows=emp, employers=once, cfg=cfg)
 
     subs = src.subscriptions.where(~F.col("name").like(rules.excluded_tier))
     if rules.arms:
@@ -189,7 +135,7 @@ def build_segment(src: Sources, cfg: ReportConfig, materialized: bool = True) ->
     if materialized:
         rows = materialize(rows, "segment_rows")
     # one row per employer that has a qualifying subscription event
-    employers = emp.join(rows.select("employer_id"), "employer_id", "left_semi")
+    employers = once.join(rows.select("employer_id"), "employer_id", "left_semi")
     if materialized:
-        employers = broadcast_if_small(employers)
+        employers = small_side(employers, "segment_employers")
     return Segment(rows=rows, employers=employers, cfg=cfg)

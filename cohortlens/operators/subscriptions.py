@@ -16,15 +16,11 @@ from pyspark.sql import functions as F
 from cohortlens.config import ReportConfig
 from cohortlens.functions.weeks import week_of
 from cohortlens.operators.cumulative import cumulative_distinct, first_event_weeks, weekly_distinct
-from cohortlens.operators.orders import _pattern_columns, _sum_columns, repeat_weeks
+from cohortlens.operators.orders import _pattern_columns, _sum_columns, nulls_last, repeat_weeks
 from cohortlens.operators.orders import repeat_event_weeks as _repeat_event_weeks
 from cohortlens.operators.scan import keyed_scan
 from cohortlens.operators.segments import Segment
 
-TIER_NAMES = ("small_premium_orders", "medium_premium_orders", "large_premium_orders")
-FIRST_TIER_NAMES = ("small_premium_first_orders", "medium_premium_first_orders", "large_premium_first_orders")
-
-
 def paid_tier_events(seg: Segment) -> DataFrame:
     """Segment rows of the paid tiers, with the event week."""
     return (seg.rows.where(F.col("name").isin(list(seg.cfg.tiers)))
@@ -34,7 +30,7 @@ def paid_tier_events(seg: Segment) -> DataFrame:
 
 def first_events(ev: DataFrame) -> DataFrame:
     """Order number 1 of every employer (one row each, map-side-combined ``min``)."""
-    m = F.min(F.struct("created", "subscription_id", "name", "sub_week", "cohort_week")).alias("_m")
+    m = F.min(F.struct(*nulls_last("created", "subscription_id"), "name", "sub_week", "cohort_week")).alias("_m")
     return ev.groupBy("employer_id").agg(m).select(
         "employer_id", *[F.col(f"_m.{c}").alias(c) for c in ("created", "subscription_id", "name", "sub_week",
                                                                 "cohort_week")])
@@ -68,12 +64,12 @@ def sub_order_raw(ev: DataFrame, cfg: ReportConfig) -> DataFrame:
     """Subscriptions per tier, grouped by tier name, de-duplicated."""
     counts = _weekly(ev, cfg).groupBy("cohort_week", "activity_week", "name").agg(
         F.count_distinct("subscription_id").alias("_n"))
-    return _pattern_columns(counts, "name", cfg.tiers, TIER_NAMES)
+    return _pattern_columns(counts, "name", cfg.tiers, cfg.tier_names)
 
 
 def sub_order_pivot(ev: DataFrame, cfg: ReportConfig) -> DataFrame:
     """M36."""
-    return _sum_columns(sub_order_raw(ev, cfg), TIER_NAMES)
+    return _sum_columns(sub_order_raw(ev, cfg), cfg.tier_names)
 
 
 def sub_first_purchasers(ev: DataFrame, cfg: ReportConfig) -> DataFrame:
@@ -102,14 +98,14 @@ def sub_first_orders_raw(ev: DataFrame, cfg: ReportConfig) -> DataFrame:
     """
     counts = _weekly(first_events(ev), cfg).groupBy("cohort_week", "activity_week", "name").agg(
         F.count_distinct("subscription_id").alias("_n"))
-    firsts = _pattern_columns(counts, "name", cfg.tiers, FIRST_TIER_NAMES)
+    firsts = _pattern_columns(counts, "name", cfg.tiers, cfg.first_tier_names)
     nulls = _weekly(repeat_event_weeks(ev), cfg).select("cohort_week", "activity_week").distinct()
     return firsts.unionByName(nulls, allowMissingColumns=True).distinct()
 
 
 def sub_first_orders_pivot(ev: DataFrame, cfg: ReportConfig) -> DataFrame:
     """M41."""
-    return _sum_columns(sub_first_orders_raw(ev, cfg), FIRST_TIER_NAMES)
+    return _sum_columns(sub_first_orders_raw(ev, cfg), cfg.first_tier_names)
 
 
 def sub_cum_repeat_purchasers(ev: DataFrame, cfg: ReportConfig) -> DataFrame:

@@ -1,7 +1,9 @@
 """Query catalog: key -> Spark callable (spark, sf_dir) and key -> oracle SQL.
 
-Each Spark callable builds its inputs from the tables under ``sf_dir``
-and returns a lazy DataFrame over the whole tables.
+Each Spark callable builds its inputs from the tables under ``sf_dir`` and
+covers the whole tables.  Most of them write intermediates (the segment,
+ranged rows) under the checkpoint folder while they build the DataFrame
+that they return, so a call runs Spark jobs before its result is read.
 """
 
 from __future__ import annotations
@@ -16,7 +18,6 @@ from cohortlens.operators import adhoc, balance, funnel, orders, subscriptions
 from cohortlens.operators.segments import build_segment
 from cohortlens.plans import oracle as O
 from cohortlens.plans import report
-from cohortlens.session import apply_defaults
 from cohortlens.sources.fixtures import load_sources
 
 # Parameters of the ad-hoc checks on the fixture calendar.
@@ -32,7 +33,6 @@ _ORACLE: dict[str, Callable[[], str]] = {}
 def register(key: str, sql: Callable[[], str] | None = None):
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            apply_defaults(spark)
             return fn(load_sources(spark, sf_dir))
         run.__name__ = key
         run.__doc__ = fn.__doc__
@@ -163,7 +163,7 @@ def _pack_orders_raw(src):
     return orders.pack_orders_raw(_pay(src, C.PAID_B), C.PAID_B)
 
 
-@register("pack_orders_pivot", lambda: O.with_(C.PAID_B, O.summed(O.PACKS_RAW(C.PAID_B), orders.PACK_NAMES)))
+@register("pack_orders_pivot", lambda: O.with_(C.PAID_B, O.summed(O.PACKS_RAW(C.PAID_B), C.PAID_B.pack_names)))
 def _pack_orders_pivot(src):
     return orders.pack_orders_pivot(_pay(src, C.PAID_B), C.PAID_B)
 
@@ -199,12 +199,12 @@ def _first_orders_raw(src):
     return orders.first_orders_raw(_pay(src, C.PAID_B), C.PAID_B)
 
 
-@register("first_orders_pivot", lambda: O.with_(C.PAID_A, O.summed(O.FIRST_RAW(C.PAID_A), orders.FIRST_NAMES)))
+@register("first_orders_pivot", lambda: O.with_(C.PAID_A, O.summed(O.FIRST_RAW(C.PAID_A), C.PAID_A.first_names)))
 def _first_orders_pivot(src):
     return orders.first_orders_pivot(_pay(src), C.PAID_A)
 
 
-@register("repeat_orders_pivot", lambda: O.with_(C.PAID_A, O.summed(O.REPEAT_RAW(C.PAID_A), orders.REPEAT_NAMES)))
+@register("repeat_orders_pivot", lambda: O.with_(C.PAID_A, O.summed(O.REPEAT_RAW(C.PAID_A), C.PAID_A.repeat_names)))
 def _repeat_orders_pivot(src):
     return orders.repeat_orders_pivot(orders.ranked_family_payments(_pay(src), C.PAID_A), C.PAID_A)
 
@@ -270,7 +270,7 @@ def _sub_order_raw(src):
     return subscriptions.sub_order_raw(_subs(src), C.PREMIUM)
 
 
-@register("sub_order_pivot", lambda: O.with_(C.PREMIUM, O.summed(O.TIER_RAW(C.PREMIUM), subscriptions.TIER_NAMES)))
+@register("sub_order_pivot", lambda: O.with_(C.PREMIUM, O.summed(O.TIER_RAW(C.PREMIUM), C.PREMIUM.tier_names)))
 def _sub_order_pivot(src):
     return subscriptions.sub_order_pivot(_subs(src), C.PREMIUM)
 
@@ -299,7 +299,7 @@ def _sub_first_raw(src):
 
 
 @register("sub_first_orders_pivot", lambda: O.with_(C.PREMIUM, O.summed(O.TIER_FIRST_RAW(C.PREMIUM),
-                                                                          subscriptions.FIRST_TIER_NAMES)))
+                                                                          C.PREMIUM.first_tier_names)))
 def _sub_first_pivot(src):
     return subscriptions.sub_first_orders_pivot(_subs(src), C.PREMIUM)
 
@@ -359,7 +359,7 @@ def _adhoc_cohort_size(src):
     return adhoc.cohort_size(src)
 
 
-@register("adhoc_internal_accounts", lambda: O.with_(C.PAID_A, "select e.employer_id, e.registration_date, e.email, "
+@register("adhoc_internal_accounts", lambda: O.with_(C.PAID_A, "select e.*, ub.user_id, "
           f"{O.wk('e.registration_date')} as cohort_week from employers_dim e join user_balance ub on "
           f"e.employer_id = ub.user_id where e.country like {O.q(C.COUNTRY_A)} and e.registration_sub_channel like "
           f"{O.q(C.PLATFORM)} and e.registration_date >= {O.d(ADHOC_REGISTERED_FROM)} and "
@@ -371,7 +371,7 @@ def _adhoc_internal_accounts(src):
 
 
 @register("adhoc_internal_payments", lambda: O.with_(C.PAID_A, "select p.id, p.user_id, p.purchase_id, p.created, "
-          "pu.sku, e.email, cast(row_number() over (partition by p.user_id order by p.created, p.id) as bigint) "
+          "pu.sku, e.*, cast(row_number() over (partition by p.user_id order by p.created, p.id) as bigint) "
           "as pur_order from payment p join purchases pu on p.purchase_id = pu.id join employers_dim e on "
           f"e.employer_id = p.user_id where pu.sku like {O.q(C.SKU_FAMILY)} and e.email like "
           f"{O.q(C.INTERNAL_EMAIL_PATTERNS[0])}"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A lookup side is broadcast only when its size is bounded.
-BROADCAST_MAX_ROWS = 1_000_000
-BROADCAST_MAX_BYTES = 64 * 1024 * 1024
+# A lookup side is broadcast only when its estimated size is within this bound.
+# For written tables the estimate is the size of the (compressed) files; in
+# memory a side can be several times larger, which the bound leaves room for.
+BROADCAST_MAX_BYTES = 16 * 1024 * 1024
 
 
 def _plan_size_bound(df: DataFrame) -> int | None:
@@ -23,18 +24,12 @@ def _plan_size_bound(df: DataFrame) -> int | None:
         return None
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
-                       max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
-    """Hint a broadcast only for a side proven small.
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Hint a broadcast only for a side whose plan is bounded to ``max_bytes``.
 
-    First the plan's size upper bound is checked (no job).  Failing that,
-    at most ``max_rows + 1`` rows are counted.  Beyond both bounds the side
-    is returned unhinted and AQE chooses from runtime shuffle sizes
-    (sort-merge join with skew splitting, or a broadcast if it turns out
-    small).
+    No job runs.  Beyond the bound the side is returned unhinted and AQE
+    chooses from runtime shuffle sizes (sort-merge join with skew
+    splitting, or a broadcast if it turns out small).
     """
     size = _plan_size_bound(df)
-    if size is not None and size <= max_bytes:
-        return F.broadcast(df)
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    return F.broadcast(df) if size is not None and size <= max_bytes else df

@@ -70,7 +70,12 @@ def ctes(cfg: ReportConfig, wrap: dict[str, str] | None = None, fixture: bool =
     to exist under their own names instead of deriving them.
     """
     fam = q(cfg.sku_family)
-    rank_order = "pay_week, id" if cfg.rank_mode == "week" else "created, id"
+    # week mode ranks de-duplicated rows; timestamp mode ranks the join's rows and de-duplicates after
+    cols = "id, user_id, purchase_id, created, sku, cohort_week, pay_week"
+    rank = "row_number() over (partition by user_id order by {}) as pur_order"
+    ranked = (f"select *, {rank.format('pay_week, id')} from (select distinct {cols} from pay_rows) x"
+              if cfg.rank_mode == "week" else
+              f"select distinct * from (select {cols}, {rank.format('created, id')} from pay_rows) x")
     tiers = ", ".join(q(t) for t in cfg.tiers)
     return ",\n".join([
         duckdb_prefix(wrap) if fixture else "with _none as (select 1)",
@@ -86,8 +91,7 @@ def ctes(cfg: ReportConfig, wrap: dict[str, str] | None = None, fixture: bool =
         f"pay_rows as (select p.id, p.user_id, p.purchase_id, p.created, pu.sku, s.cohort_week, "
         f"{wk('p.created')} as pay_week from payment p join purchases pu on p.purchase_id = pu.id "
         f"join seg s on s.employer_id = p.user_id where pu.sku like {fam})",
-        f"ranked_pay as (select *, row_number() over (partition by user_id order by {rank_order}) as pur_order "
-        f"from (select distinct id, user_id, purchase_id, created, sku, cohort_week, pay_week from pay_rows) x)",
+        f"ranked_pay as ({ranked})",
         "balance as (select id, user_id, balance_change, created, sum(balance_change) over "
         "(partition by user_id order by created) as balance from user_balance_history)",
         "zero as (select s.employer_id, s.cohort_week, b.id, b.created, b.balance from seg s "
@@ -119,7 +123,7 @@ def cumulative(src: str, week: str, entity: str, out: str, where: str = "true")
 def hidden_key(src: str, key: str, patterns, names, count_col: str, gate: str = "true",
                extra_group: str = "") -> str:
     cases = ",\n  ".join(f"case when x.{key} like {q(p)} and {gate} then cast(count(distinct x.{count_col}) "
-                         f"as bigint) end as {n}" for p, n in zip(patterns, names))
+                         f"as bigint) end as {n}" for p, n in zip(patterns, names, strict=True))
     return (f"select distinct x.cohort_week, w.activity_week,\n  {cases}\n"
             f"from {src} x cross join spine w\nwhere w.activity_week = x.{ 'pay_week' if src != 'subs' else 'sub_week'} "
             f"and w.activity_week >= x.cohort_week\ngroup by x.cohort_week, w.activity_week, x.{key}{extra_group}")
@@ -159,17 +163,18 @@ def chat_messages_sql() -> str:
             "group by 1, 2")
 
 
-PACKS_RAW = lambda cfg: hidden_key("pay_rows", "sku", cfg.packs, ("pack_1_orders", "pack_2_orders", "pack_3_orders"), "id")
-FIRST_RAW = lambda cfg: hidden_key("ranked_pay", "sku", cfg.packs, ("first_orders_pack_1", "first_orders_pack_2", "first_orders_pack_3"), "id", gate="x.pur_order = 1", extra_group=", x.pur_order")
-REPEAT_RAW = lambda cfg: hidden_key("ranked_pay", "sku", cfg.packs, ("repeat_orders_pack_1", "repeat_orders_pack_2", "repeat_orders_pack_3"), "id", gate="x.pur_order > 1", extra_group=", x.pur_order")
-TIER_RAW = lambda cfg: hidden_key("subs", "name", cfg.tiers, ("small_premium_orders", "medium_premium_orders", "large_premium_orders"), "subscription_id")
-TIER_FIRST_RAW = lambda cfg: hidden_key("subs", "name", cfg.tiers, ("small_premium_first_orders", "medium_premium_first_orders", "large_premium_first_orders"), "subscription_id", gate="x.subscription_order = 1", extra_group=", x.subscription_order")
+PACKS_RAW = lambda cfg: hidden_key("pay_rows", "sku", cfg.packs, cfg.pack_names, "id")
+FIRST_RAW = lambda cfg: hidden_key("ranked_pay", "sku", cfg.packs, cfg.first_names, "id", gate="x.pur_order = 1", extra_group=", x.pur_order")
+REPEAT_RAW = lambda cfg: hidden_key("ranked_pay", "sku", cfg.packs, cfg.repeat_names, "id", gate="x.pur_order > 1", extra_group=", x.pur_order")
+TIER_RAW = lambda cfg: hidden_key("subs", "name", cfg.tiers, cfg.tier_names, "subscription_id")
+TIER_FIRST_RAW = lambda cfg: hidden_key("subs", "name", cfg.tiers, cfg.first_tier_names, "subscription_id", gate="x.subscription_order = 1", extra_group=", x.subscription_order")
 
 
 def zero_payments_sql() -> str:
     return ("select user_id, cohort_week as registration_week, pay_week as created_week, purchase_id, id, "
             "cast(row_number() over (partition by user_id order by created, id) as bigint) as pur_order "
-            "from pay_rows where user_id in (select employer_id from zero)")
+            "from (select distinct id, user_id, purchase_id, created, sku, cohort_week, pay_week from pay_rows) x "
+            "where user_id in (select employer_id from zero)")
 
 
 def cum_zero_purchasers_sql() -> str:
@@ -208,29 +213,25 @@ def report_sql(cfg: ReportConfig, kind: str, names: dict, wrap: dict[str, str] |
         m["pe"] = weekly("pay_rows", "pay_week", "user_id", "purchasing_eps",
                          extra=", cast(count(distinct x.id) as bigint) as total_orders")
         m["upe"] = weekly("ranked_pay", "pay_week", "user_id", "unique_purchasing_eps", where="x.pur_order = 1")
-        m["tot"] = summed(PACKS_RAW(cfg), ("pack_1_orders", "pack_2_orders", "pack_3_orders"))
-        m["fo"] = summed(FIRST_RAW(cfg), ("first_orders_pack_1", "first_orders_pack_2", "first_orders_pack_3"))
+        m["tot"] = summed(PACKS_RAW(cfg), cfg.pack_names)
+        m["fo"] = summed(FIRST_RAW(cfg), cfg.first_names)
         m["curp"] = cumulative("ranked_pay", "pay_week", "user_id", "cum_unique_rep_purchasers", where="x.pur_order > 1")
         cols += ["cpwc.cum_publ_ep_who_chat", "cs.ep_chat_sessions", "sent.ep_chats_sent as ep_chat_messages_sent",
                  "cz.cum_eps_who_reached_0_credits", "pe.purchasing_eps", "upe.unique_purchasing_eps",
-                 f"pe.total_orders as {names['orders']}", "tot.pack_1_orders", "tot.pack_2_orders",
-                 "tot.pack_3_orders", "fo.first_orders_pack_1", "fo.first_orders_pack_2",
-                 "fo.first_orders_pack_3", "curp.cum_unique_rep_purchasers"]
+                 f"pe.total_orders as {names['orders']}", *[f"tot.{n}" for n in cfg.pack_names], *[f"fo.{n}" for n in cfg.first_names], "curp.cum_unique_rep_purchasers"]
         for k in ("cpwc", "cz", "pe", "upe", "tot", "fo", "curp"):
             joins.append(f"left join {k} on {k}.cohort_week = s.cohort_week and {k}.activity_week = w.activity_week")
     elif kind == "premium":
         m["tt"] = weekly("subs", "sub_week", "employer_id", "purchasing_eps",
                          extra=", cast(count(distinct x.subscription_id) as bigint) as total_orders")
         m["upe"] = weekly("subs", "sub_week", "employer_id", "unique_purchasing_eps", where="x.subscription_order = 1")
-        m["tot"] = summed(TIER_RAW(cfg), ("small_premium_orders", "medium_premium_orders", "large_premium_orders"))
-        m["fo"] = summed(TIER_FIRST_RAW(cfg), ("small_premium_first_orders", "medium_premium_first_orders",
-                                               "large_premium_first_orders"))
+        m["tot"] = summed(TIER_RAW(cfg), cfg.tier_names)
+        m["fo"] = summed(TIER_FIRST_RAW(cfg), cfg.first_tier_names)
         m["curp"] = cumulative("subs", "sub_week", "employer_id", "cum_unique_rep_purchasers",
                                where="x.subscription_order > 1")
         cols += ["cs.ep_chat_sessions", "sent.ep_chats_sent as ep_chat_messages_sent", "tt.purchasing_eps",
-                 "upe.unique_purchasing_eps", "tt.total_orders as orders", "tot.small_premium_orders",
-                 "tot.medium_premium_orders", "tot.large_premium_orders", "fo.small_premium_first_orders",
-                 "fo.medium_premium_first_orders", "fo.large_premium_first_orders", "curp.cum_unique_rep_purchasers"]
+                 "upe.unique_purchasing_eps", "tt.total_orders as orders", *[f"tot.{n}" for n in cfg.tier_names],
+                 *[f"fo.{n}" for n in cfg.first_tier_names], "curp.cum_unique_rep_purchasers"]
         for k in ("tt", "upe", "tot", "fo", "curp"):
             joins.append(f"left join {k} on {k}.cohort_week = s.cohort_week and {k}.activity_week = w.activity_week")
     else:

@@ -60,18 +60,23 @@ def shared_segment(src: Sources, cfg: ReportConfig, reuse: bool = True) -> Segme
     return build_segment(src, cfg, materialized=reuse)
 
 
-def _chat_pairs(src: Sources, seg: Segment, reuse: bool) -> DataFrame:
+def _chat_pairs(src: Sources, seg: Segment, reuse: bool, jobs: DataFrame) -> DataFrame:
     # the chat fact is the largest input: reduce it to pair-weeks once and
     # derive sessions, messages and (cumulative) chatting employers from that
-    return _keep(funnel.chat_pair_weeks(funnel.chat_events(src, seg)), "chat_pairs", reuse)
+    return _keep(funnel.chat_pair_weeks(funnel.chat_events(src, seg, funnel.gated_employers(src, seg, jobs))), "chat_pairs", reuse)
 
 
-def _funnel_metrics(src: Sources, seg: Segment, cumulative: bool, pairs: DataFrame):
+def _good_jobs(src: Sources, seg: Segment, reuse: bool) -> DataFrame:
+    # published listings and the chat gate both read the segment's good listings
+    return _keep(funnel.good_jobs(src, seg), "good_jobs", reuse)
+
+
+def _funnel_metrics(src: Sources, seg: Segment, cumulative: bool, pairs: DataFrame, jobs: DataFrame):
     cfg = seg.cfg
     # M12, M14 and M15 restricted to the grid, in one aggregation
     weekly = weekly_distinct(pairs, "chat_week", "employer_id", cfg, "publ_ep_who_chat", extra={
         "ep_chat_sessions": F.count(F.lit(1)).cast("bigint"), "ep_chats_sent": F.sum("_msgs").cast("bigint")})
-    out = [funnel.published(src, seg), weekly]
+    out = [funnel.published(src, seg, jobs), weekly]
     if cumulative:
         out.append(funnel.cum_publ_who_chat(pairs, cfg))
     return out
@@ -84,20 +89,22 @@ def report_free(src: Sources, cfg: ReportConfig, sent_name: str = "ep_chats_sent
     cols = [("registrations", "registrations"), ("published_eps", "published_ep"), ("listings", "listings"),
             ("publ_eps_who_chat", "publ_ep_who_chat"), ("ep_chat_sessions", "ep_chat_sessions"),
             (sent_name, "ep_chats_sent")]
-    pairs = _chat_pairs(src, seg, reuse)
-    return assemble(seg, _funnel_metrics(src, seg, cumulative=False, pairs=pairs), cols)
+    jobs = _good_jobs(src, seg, reuse)
+    pairs = _chat_pairs(src, seg, reuse, jobs)
+    return assemble(seg, _funnel_metrics(src, seg, cumulative=False, pairs=pairs, jobs=jobs), cols)
 
 
 def report_paid(src: Sources, cfg: ReportConfig, orders_name: str = "orders", reuse: bool = True) -> DataFrame:
     """Paid-chat report (21 columns)."""
     seg = shared_segment(src, cfg, reuse)
+    jobs = _good_jobs(src, seg, reuse)
     # independent intermediates of the segment: written side by side
     built = build_concurrently({
-        "pairs": lambda: _chat_pairs(src, seg, reuse),
+        "pairs": lambda: _chat_pairs(src, seg, reuse, jobs),
         "pay": lambda: _keep(orders.family_payments(src, seg), "payments", reuse),
-        "zero": lambda: balance.zero_credit_rows(src, seg)})
+        "zero": lambda: _keep(balance.zero_credit_rows(src, seg), "zero_credit", reuse)})
     pay, zero = built["pay"], built["zero"]
-    metrics = _funnel_metrics(src, seg, cumulative=True, pairs=built["pairs"]) + [
+    metrics = _funnel_metrics(src, seg, cumulative=True, pairs=built["pairs"], jobs=jobs) + [
         balance.cum_zero_credit(zero, cfg),
         orders.orders_weekly(pay, cfg),
         orders.first_purchasers(pay, cfg),
@@ -111,7 +118,7 @@ def report_paid(src: Sources, cfg: ReportConfig, orders_name: str = "orders", re
             ("cum_eps_who_reached_0_credits", "cum_eps_who_reached_0_credits"),
             ("purchasing_eps", "purchasing_eps"), ("unique_purchasing_eps", "unique_purchasing_eps"),
             (orders_name, "total_orders")]
-    cols += [(n, n) for n in orders.PACK_NAMES] + [(n, n) for n in orders.FIRST_NAMES]
+    cols += [(n, n) for n in cfg.pack_names + cfg.first_names]
     cols += [("cum_unique_rep_purchasers", "cum_unique_rep_purchasers")]
     return assemble(seg, metrics, cols, order=("cohort_week", "activity_week", "weeks_after"))
 
@@ -119,11 +126,12 @@ def report_paid(src: Sources, cfg: ReportConfig, orders_name: str = "orders", re
 def report_premium(src: Sources, cfg: ReportConfig, reuse: bool = True) -> DataFrame:
     """Premium report (19 columns)."""
     seg = shared_segment(src, cfg, reuse)
+    jobs = _good_jobs(src, seg, reuse)
     built = build_concurrently({
-        "pairs": lambda: _chat_pairs(src, seg, reuse),
+        "pairs": lambda: _chat_pairs(src, seg, reuse, jobs),
         "ev": lambda: _keep(subscriptions.paid_tier_events(seg), "subscriptions", reuse)})
     ev = built["ev"]
-    metrics = _funnel_metrics(src, seg, cumulative=False, pairs=built["pairs"]) + [
+    metrics = _funnel_metrics(src, seg, cumulative=False, pairs=built["pairs"], jobs=jobs) + [
         subscriptions.sub_totals(ev, cfg),
         subscriptions.sub_first_purchasers(ev, cfg),
         subscriptions.sub_order_pivot(ev, cfg),
@@ -134,6 +142,6 @@ def report_premium(src: Sources, cfg: ReportConfig, reuse: bool = True) -> DataF
             ("publ_ep_who_chat", "publ_ep_who_chat"), ("ep_chat_sessions", "ep_chat_sessions"),
             ("ep_chat_messages_sent", "ep_chats_sent"), ("purchasing_eps", "purchasing_eps"),
             ("unique_purchasing_eps", "unique_purchasing_eps"), ("orders", "total_orders")]
-    cols += [(n, n) for n in subscriptions.TIER_NAMES] + [(n, n) for n in subscriptions.FIRST_TIER_NAMES]
+    cols += [(n, n) for n in cfg.tier_names + cfg.first_tier_names]
     cols += [("cum_unique_rep_purchasers", "cum_unique_rep_purchasers")]
     return assemble(seg, metrics, cols, order=("cohort_week", "activity_week", "weeks_after", "published_ep"))

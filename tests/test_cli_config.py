@@ -27,3 +27,28 @@ def test_spine_order_and_rank_mode():
         C.PAID_A.with_(rank_mode="random")
     assert C.PREMIUM.last_week == dt.date(2017, 2, 13) and C.PREMIUM.spine_end.weekday() == 1
     assert C.PAID_A.n_weeks == 11
+
+
+# The five windows of the published scripts, as (report, arguments, cohort weeks on the spine).
+WINDOWS = [
+    ("free_a", ["--spine-start", "2016-12-05", "--spine-end", "2017-02-13", "--cohort-from", "2016-12-05", "--cohort-to", "2017-01-09"]),
+    ("free_b", ["--spine-start", "2016-12-19", "--spine-end", "2017-01-02", "--cohort-from", "2016-12-12"]),
+    ("paid_a", ["--spine-start", "2016-12-12", "--spine-end", "2017-01-16", "--cohort-from", "2016-12-12"]),
+    ("paid_b", ["--spine-start", "2016-12-12", "--spine-end", "2017-01-02", "--cohort-from", "2016-12-19"]),
+    ("premium", ["--spine-start", "2016-12-05", "--spine-end", "2017-01-10", "--cohort-from", "2016-12-05"]),
+]
+
+
+@pytest.mark.parametrize("name,window", WINDOWS, ids=[w[0] for w in WINDOWS])
+def test_reports_with_windows_from_the_command_line(spark, tmp_path, name, window):
+    out = str(tmp_path / "out")
+    assert main(["report", name, *window, "--sf-dir", "/root/testdata/sf0.001", "--out", out]) == 0
+    rows = spark.read.parquet(out).collect()
+    a = dict(zip(window[::2], window[1::2], strict=True))
+    assert rows and all(r.cohort_week >= dt.date.fromisoformat(a["--cohort-from"]) for r in rows)
+    assert all(dt.date.fromisoformat(a["--spine-start"]) <= r.activity_week <= dt.date.fromisoformat(a["--spine-end"]) for r in rows)
+
+
+def test_report_needs_an_input():
+    with pytest.raises(SystemExit):
+        main(["report", "free_a"])

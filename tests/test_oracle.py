@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-import __spark_entry__ as E
+from cohortlens.plans import catalog as E
 from tests.conftest import SF001
 from cohortlens.sources.tables import BASE_TABLES
 

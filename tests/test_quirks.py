@@ -49,7 +49,8 @@ def test_range_frame_ties_hide_zero(spark):
 ])
 def test_weeks_after_is_literal(spark, reg, activity, expected):
     from cohortlens.functions.weeks import weeks_after
-    row = spark.createDataFrame([(reg, activity)], "r date, a date").select(weeks_after("a", "r").alias("w")).first()
+    row = spark.createDataFrame([(reg, activity)], "r date, a date").select(
+        weeks_after(F.col("a"), F.year("r"), F.weekofyear("r")).alias("w")).first()
     assert row.w == expected
 
 
@@ -88,9 +89,8 @@ def test_equal_daily_message_counts_collapse(spark):
     ev = funnel.chat_events(src, seg)
     assert funnel.chat_messages(ev).first().ep_chats_sent == 3
     assert funnel.chat_sessions(ev).first().ep_chat_sessions == 1
-    pairs = funnel.chat_pair_weeks(ev)
-    s = funnel.chat_week_summary(pairs).first()
-    assert (s.ep_chat_sessions, s.ep_chats_sent) == (1, 3)
+    pair = funnel.chat_pair_weeks(ev).collect()
+    assert [r._msgs for r in pair] == [3]
 
 
 def test_chat_gate_needs_listing_in_registration_week(spark):

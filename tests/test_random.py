@@ -14,6 +14,7 @@ import pytest
 
 from cohortlens import config as C
 from cohortlens.plans import oracle as O
+from cohortlens.operators.segments import build_segment
 from cohortlens.plans import report
 from tests.helpers import make_sources
 from tests.test_oracle import _norm
@@ -55,6 +56,11 @@ def _tables(seed: int) -> dict[str, list]:
     for i in range(900):
         e = int(rng.integers(1, n_emp + 1))
         pays.append((i, e, int(rng.integers(0, 7)), after(e, 0, 21) if rng.random() < 0.6 else after(e, 0, 70)))
+    # NULL dates, NULL amounts, repeated holder rows
+    gone = lambda rows, at: [tuple(None if i == at and rng.random() < 0.05 else v for i, v in enumerate(r)) for r in rows]
+    chats, pays, subs = gone(chats, 2), gone(pays, 3), gone(subs, 3)
+    ledger = gone(gone(ledger, 3), 2)
+    holders += [h for h in holders if rng.random() < 0.2]
     return {"employers_dim": emps, "jobs_dim": jobs, "chats_activity": chats, "user_balance": holders,
             "user_balance_history": ledger, "user_subscriptions_history": subs, "payment": pays}
 
@@ -73,6 +79,21 @@ REPORTS = [
 ]
 
 
+FOUR = C.PAID_B.with_(packs=("app.credits.pack1", "app.credits.pack1.v2", "app.credits.pack2%", "app.credits.pack3%"))
+TWO = C.PREMIUM.with_(tiers=("MOBILE_PREMIUM_S", "MOBILE_PREMIUM_L"))
+FIVE = C.PREMIUM.with_(tiers=("MOBILE_PREMIUM_S", "MOBILE_PREMIUM_L", "MOBILE_PREMIUM_M", "OTHER"))
+REPORTS += [
+    ("four_packs", lambda s: report.report_paid(s, FOUR, orders_name="total_orders"), lambda: O.report_sql(
+        FOUR, "paid", {"published": "published_ep", "pwc": "publ_ep_who_chat", "orders": "total_orders"}, fixture=False)),
+    ("two_tiers", lambda s: report.report_premium(s, TWO), lambda: O.report_sql(
+        TWO, "premium", {"published": "published_ep", "pwc": "publ_ep_who_chat"}, fixture=False)),
+    ("four_tiers", lambda s: report.report_premium(s, FIVE), lambda: O.report_sql(
+        FIVE, "premium", {"published": "published_ep", "pwc": "publ_ep_who_chat"}, fixture=False)),
+    ("segment_paid_a", lambda s: build_segment(s, C.PAID_A).rows, lambda: O.ctes(C.PAID_A, fixture=False) + "\nselect * from seg"),
+    ("segment_paid_b", lambda s: build_segment(s, C.PAID_B).rows, lambda: O.ctes(C.PAID_B, fixture=False) + "\nselect * from seg"),
+]
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 @pytest.mark.parametrize("name,spark_fn,sql_fn", REPORTS, ids=[r[0] for r in REPORTS])
 def test_random_tables(spark, seed, name, spark_fn, sql_fn):
@@ -84,7 +105,7 @@ def test_random_tables(spark, seed, name, spark_fn, sql_fn):
         df = getattr(src, {"employers_dim": "employers", "jobs_dim": "jobs", "chats_activity": "chats",
                            "user_balance": "holders", "users": "users", "user_balance_history": "ledger",
                            "user_subscriptions_history": "subscriptions", "payment": "payments",
-                           "purchases": "purchases"}[view]).toPandas()
+                           "purchases": "purchases"}[view]).toArrow()
         con.register(f"_{view}", df)
         con.execute(f"create view {view} as select * from _{view}")
     got = spark_fn(src).toPandas()
