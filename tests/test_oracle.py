@@ -62,7 +62,9 @@ def test_matches_oracle(spark, con, key):
 
 
 def test_entry_smoke(spark):
-    df = E.entry(spark)
+    import __spark_entry__ as entry
+
+    df = entry.entry(spark)
     rows = df.collect()
     assert len(rows) > 0
     assert df.columns[:3] == ["cohort_week", "activity_week", "weeks_after"]
