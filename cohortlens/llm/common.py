@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.session import materialize
 
-__all__ = ["materialize", "table", "fold", "splitmix", "mix2", "partitions", "non_empty", "runs",
+__all__ = ["materialize", "table", "fold", "splitmix", "mix2", "partitions", "non_empty", "runs", "small",
            "session_settings"]
 
 
@@ -65,6 +65,11 @@ def non_empty(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return (b for b in batches if b.num_rows)
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``: what a task holds stays small, whatever Arrow sends."""
+    return (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows))
+
+
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Consecutive rows with equal keys, as one table per run.
 

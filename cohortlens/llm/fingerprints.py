@@ -139,7 +139,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     follower.  The range bounds are quantiles (as many as shuffle partitions), and each
     range also gets a copy of the next range's first document (``tail``; the last range
     that of the very first), so nothing but those bounds passes the driver.  Ties are in
-    order of their text; null ids come last, null texts count as empty.
+    order of their text; null ids come last, null texts count as empty.  Rows that share a
+    doc_id share a range.
     """
     spark = docs.sparkSession
     n = partitions(spark)

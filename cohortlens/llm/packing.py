@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import materialize, non_empty, runs, table
+from cohortlens.llm.common import materialize, runs, small, table
 
 LENGTH = 2048
 GROUP = 4096
@@ -84,19 +84,17 @@ def cut(n: int, length: int = LENGTH) -> list[tuple[int, int]]:
 def _pieces(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     enc = Encoder(path)
     end = np.array([END], dtype="<u4").tobytes()
-    for b in non_empty(batches):
-        for at in range(0, b.num_rows, 1024):
-            part = b.slice(at, 1024)
-            rows = []
-            for d, t in zip(part.column("doc_id").to_pylist(), part.column("text"), strict=True):
-                ids = enc.encode(t.as_py()) + end
-                for k, (s, n) in enumerate(cut(len(ids) // 4)):
-                    rows.append((d, k, s, n, zlib.crc32(ids[4 * s:4 * (s + n)])))
-            cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([
-                pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *[pa.array(c, pa.int64()) for c in cols[2:]],
-                pa.array(np.arange(len(rows)), pa.int32())],
-                names=["doc_id", "piece", "start", "length", "ids_crc32", "copy"])
+    for part in small(batches):
+        rows = []
+        for d, t in zip(part.column("doc_id").to_pylist(), part.column("text"), strict=True):
+            ids = enc.encode(t.as_py()) + end
+            for k, (s, n) in enumerate(cut(len(ids) // 4)):
+                rows.append((d, k, s, n, zlib.crc32(ids[4 * s:4 * (s + n)])))
+        cols = list(zip(*rows, strict=True))
+        yield pa.RecordBatch.from_arrays([
+            pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *[pa.array(c, pa.int64()) for c in cols[2:]],
+            pa.array(np.arange(len(rows)), pa.int32())],
+            names=["doc_id", "piece", "start", "length", "ids_crc32", "copy"])
 
 
 def best_fit(lengths: np.ndarray, capacity=CAPACITY, weights=WEIGHTS, rule: str = "norm") -> tuple[np.ndarray, np.ndarray]:

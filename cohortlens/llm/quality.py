@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import fold, materialize, non_empty, table
+from cohortlens.llm.common import fold, materialize, non_empty, small, table
 from cohortlens.llm.setsketch import ShingleHasher
 
 FEATURES = 384
@@ -73,7 +73,7 @@ def statistics(text: str | None, hasher: ShingleHasher) -> np.ndarray:
 
 def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher = ShingleHasher(3)
-    for b in non_empty(batches):
+    for b in small(batches):
         x = [statistics(t.as_py(), hasher) for t in b.column("text")]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(x, pa.list_(pa.float64()))],
                                          names=["doc_id", "stats"])
@@ -195,7 +195,7 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
 
 def _good(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     hasher = ShingleHasher(3)
-    for b in non_empty(batches):
+    for b in small(batches):
         x = np.array([statistics(t.as_py(), hasher) for t in b.column("text")])
         yield b.filter(pa.array(model.scores(x) >= THRESHOLD))
 

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import materialize, mix2, non_empty, runs, session_settings, splitmix
+from cohortlens.llm.common import materialize, mix2, non_empty, runs, session_settings, small, splitmix
 from cohortlens.llm.components import components
 
 REGISTERS = 125
@@ -55,7 +55,7 @@ BLOCK_SHINGLES = 500_000
 class ShingleHasher:
     """Distinct word-shingle hashes of texts; words are cached up to a bound."""
 
-    def __init__(self, k: int, cache: int = 400_000):
+    def __init__(self, k: int, cache: int = 100_000):
         self.k, self.cache, self.seen = k, cache, {}
 
     def hashes(self, toks: list[bytes]) -> np.ndarray:
@@ -151,7 +151,7 @@ def sketch_batches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Rec
     hasher = ShingleHasher(k)
     bands = REGISTERS // BAND_ROWS
     salt = splitmix(np.arange(bands, dtype=np.uint64))
-    for b in non_empty(batches):
+    for b in small(batches):
         sets = [hasher.shingles(t.as_py()) for t in b.column("text")]
         full = [i for i, s in enumerate(sets) if len(s)]
         regs = np.zeros((0, REGISTERS), np.uint16)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import fold, non_empty, table
+from cohortlens.llm.common import fold, small, table
 
 BUCKETS = 1 << 18
 DIM = 8
@@ -42,7 +42,7 @@ ROUNDS = 4
 HARD = 4
 SAMPLE_CHARS = 200_000  # longer texts are not used for training (all are scored)
 WINDOW = 120
-PIECE = 1_000_000  # characters scored at a time; longer texts are cut at white space
+PIECE = 200_000  # characters scored at a time; longer texts are cut at white space
 THRESHOLD = 0.5
 
 _P = [np.uint64(x) for x in (1, 0x100000001B3, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -279,13 +279,13 @@ def train_on(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    for b in non_empty(batches):
+    for b in small(batches):
         s = model.scores(b.column("text").to_pylist())
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s)], names=["doc_id", "score"])
 
 
 def _clean(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    for b in non_empty(batches):
+    for b in small(batches):
         yield b.filter(pa.array(model.scores(b.column("text").to_pylist()) < THRESHOLD))
 
 
