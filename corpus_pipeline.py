@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortlens.llm import mixing, packing, quality, setsketch, toxicity
-from cohortlens.llm.common import materialize, non_empty, table
+from cohortlens.llm.common import materialize, small, table
 
 ORACLE_SQL = None  # trained models, sketches and a tokenizer: tested against brute force instead
 
@@ -64,7 +64,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _taken_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in non_empty(batches):
+    for b in small(batches):
         texts = []
         for t, spans in zip(b.column("text"), b.column("__spans"), strict=True):
             raw = t.as_py().encode("utf-8", "surrogatepass")
