@@ -34,7 +34,7 @@ from cohortlens.llm.common import fold, small, table
 BUCKETS = 1 << 18
 DIM = 8
 SIZES = (3, 4, 5)
-SAMPLE = (6_000, 2_500)  # bound of the labelled sample that training reads: clean, toxic
+SAMPLE = (4_000, 2_500)  # bound of the labelled sample that training reads: clean, toxic
 EPOCHS = 5
 CALIBRATE = 4  # every fourth sampled text only calibrates the score
 RARE = 400  # a subword in fewer than one of so many sampled texts (2 at least) keeps weight 0
@@ -196,11 +196,14 @@ def fit(texts: list[str], labels: np.ndarray, prior: float, seed: int = 7) -> Mo
                 rank = np.arange(len(order)) - np.searchsorted(text[order], text[order])
                 take = order[rank < np.where(y[at + text[order]] == 1, 1, HARD)]
                 picked = zip(text[take], start[take], length[take], strict=True)
+            bags = []
             for i, s, n in picked:
-                u, c = np.unique(bucket[s:s + n], return_counts=True)
-                rows.append(u)
-                counts.append(c)
+                bags.append(np.unique(bucket[s:s + n], return_counts=True))
                 kinds.append(y[at + i])
+            # one pair of arrays a group of texts: the driver gives their memory back as a whole
+            cuts = np.cumsum([len(u) for u, _ in bags])[:-1]
+            rows += np.split(np.concatenate([u for u, _ in bags]), cuts) if bags else []
+            counts += np.split(np.concatenate([c for _, c in bags]).astype(np.float32), cuts) if bags else []
         model = train(rows, counts, np.array(kinds, dtype=np.int64), prior, seed=seed + r)
     return model
 
@@ -223,7 +226,10 @@ def train(rows: list[np.ndarray], counts: list[np.ndarray], labels: np.ndarray,
     bias = np.zeros(2, np.float32)
     ge, go, gb = np.full_like(emb, 1e-8), np.full_like(out, 1e-8), np.full_like(bias, 1e-8)
     keep = [i for i in range(len(y)) if len(rows[i])]
-    seen = np.bincount(np.concatenate(rows), minlength=BUCKETS) >= max(2, len(keep) / RARE)
+    texts = np.zeros(BUCKETS, np.int32)
+    for r in rows:
+        texts[r] += 1
+    seen = texts >= max(2, len(keep) / RARE)
     for e in range(epochs):
         step = rate * (1 - e / epochs)
         order = rng.permutation(keep)
