@@ -37,7 +37,7 @@ SIZES = (3, 4, 5)
 SAMPLE = (4_000, 2_500)  # bound of the labelled sample that training reads: clean, toxic
 EPOCHS = 5
 CALIBRATE = 4  # every fourth sampled text only calibrates the score
-RARE = 400  # a subword in fewer than one of so many sampled texts (2 at least) keeps weight 0
+LEAST = 2  # a subword in fewer texts than this of either class keeps weight 0
 ROUNDS = 4
 HARD = 4
 SAMPLE_CHARS = 200_000  # longer texts are not used for training (all are scored)
@@ -185,7 +185,7 @@ def fit(texts: list[str], labels: np.ndarray, prior: float, seed: int = 7) -> Mo
     y = np.asarray(labels, dtype=np.int64)
     model = None
     for r in range(ROUNDS):
-        rows, counts, kinds = [], [], []
+        rows, counts, kinds, owners = [], [], [], []
         for at in range(0, len(texts), 64):
             bucket, size = subwords(texts[at:at + 64])
             if model is None:
@@ -200,21 +200,36 @@ def fit(texts: list[str], labels: np.ndarray, prior: float, seed: int = 7) -> Mo
             for i, s, n in picked:
                 bags.append(np.unique(bucket[s:s + n], return_counts=True))
                 kinds.append(y[at + i])
+                owners.append(at + i)
             # one pair of arrays a group of texts: the driver gives their memory back as a whole
             cuts = np.cumsum([len(u) for u, _ in bags])[:-1]
             rows += np.split(np.concatenate([u for u, _ in bags]), cuts) if bags else []
             counts += np.split(np.concatenate([c for _, c in bags]).astype(np.float32), cuts) if bags else []
-        model = train(rows, counts, np.array(kinds, dtype=np.int64), prior, seed=seed + r)
+        model = train(rows, counts, np.array(kinds, dtype=np.int64), prior, owners, seed=seed + r)
     return model
 
 
-def train(rows: list[np.ndarray], counts: list[np.ndarray], labels: np.ndarray, prior: float, epochs: int = EPOCHS,
-          seed: int = 7, rate: float = 3.0, batch: int = 128) -> Model:
+def known_subwords(rows: list[np.ndarray], labels: np.ndarray, owners: list[int]) -> np.ndarray:
+    """Whether each bucket is in ``LEAST`` texts of one class; the bags of a text (its owner) count once.
+
+    A class's bound does not depend on the rows of the other class or on the bags a text gives.
+    """
+    texts = np.zeros((2, BUCKETS), np.int32)
+    last = np.full(BUCKETS, -1, np.int64)
+    for i in np.argsort(owners, kind="stable"):
+        new = rows[i][last[rows[i]] != owners[i]]
+        texts[labels[i], new] += 1
+        last[new] = owners[i]
+    return (texts >= LEAST).any(0)
+
+
+def train(rows: list[np.ndarray], counts: list[np.ndarray], labels: np.ndarray, prior: float, owners: list[int],
+          epochs: int = EPOCHS, seed: int = 7, rate: float = 3.0, batch: int = 128) -> Model:
     """Joint Adagrad training of embeddings and softmax on subword bags (bucket ids and counts).
 
     ``prior`` is the share of label 1 among all labelled rows; the sample is balanced, so the
-    bias is moved from the sample's odds to the prior's.  No rows or one class only: a
-    constant score equal to the prior.
+    bias is moved from the sample's odds to the prior's.  ``owners`` names the text of each
+    bag.  No rows or one class only: a constant score equal to the prior.
     """
     y = np.asarray(labels, dtype=np.int64)
     prior = min(max(prior, 1e-4), 1 - 1e-4)
@@ -226,10 +241,7 @@ def train(rows: list[np.ndarray], counts: list[np.ndarray], labels: np.ndarray,
     bias = np.zeros(2, np.float32)
     ge, go, gb = np.full_like(emb, 1e-8), np.full_like(out, 1e-8), np.full_like(bias, 1e-8)
     keep = [i for i in range(len(y)) if len(rows[i])]
-    texts = np.zeros(BUCKETS, np.int32)
-    for r in rows:
-        texts[r] += 1
-    seen = texts >= max(2, len(keep) / RARE)
+    seen = known_subwords(rows, y, owners)
     for e in range(epochs):
         step = rate * (1 - e / epochs)
         order = rng.permutation(keep)

@@ -91,3 +91,25 @@ def test_odd_rows_no_labels_and_filter(spark, tables):
     kept = toxicity.reject_toxic(df, labels)
     assert kept.columns == df.columns and kept.count() == sum(r["predicted"] == 0 for r in got)
     assert toxicity.toxicity(odd(spark, []), labels).count() == 0
+
+
+def test_toxic_words_keep_their_weight_however_many_clean_rows_there_are():
+    rng = np.random.default_rng(5)
+    plain = [f"{a}{b}" for a in ("mor", "ten", "lis", "gra", "pol") for b in ("an", "ik", "os", "el")]
+    texts = [" ".join(plain[j] for j in rng.integers(0, len(plain), 250)) for _ in range(700)]
+    # each toxic word is in two texts of its own; the clean texts give four bags each
+    bad = ["zqxvword", "wkjyhslur", "fhqzinsult", "xvubgcurse"]
+    y = np.zeros(len(texts), np.int64)
+    for i in range(8):
+        texts[80 * i] += f" {bad[i // 2]}" * 4
+        y[80 * i] = 1
+    model = toxicity.fit(texts, y, 0.5)
+    words = np.array([model.weight[toxicity.subwords([w])[0]].mean() for w in bad])
+    assert (words > 0).all()
+
+
+def test_subwords_count_texts_of_a_class_not_bags():
+    rows = [np.array(r) for r in ([1, 2], [1, 3], [1, 2], [4], [4], [5], [5, 6], [6])]
+    got = toxicity.known_subwords(rows, np.array([0, 0, 0, 1, 1, 1, 0, 0]), [0, 0, 1, 2, 2, 3, 4, 5])
+    # 1 and 2 are in two clean texts, 6 too; 3 and 4 in one text, 5 in one of each class
+    assert np.flatnonzero(got).tolist() == [1, 2, 6]
