@@ -42,7 +42,8 @@ ROUNDS = 4
 HARD = 4
 SAMPLE_CHARS = 200_000  # longer texts are not used for training (all are scored)
 WINDOW = 120
-PIECE = 200_000  # characters scored at a time; longer texts are cut at white space
+PIECE = 200_000  # characters scored at a time; longer texts are cut at white space, windows run across the cuts
+SPACE = " \t\n\x0b\x0c\r"
 THRESHOLD = 0.5
 
 _P = [np.uint64(x) for x in (1, 0x100000001B3, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -91,12 +92,15 @@ def _windows(size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _pieces(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
-    """Groups of whole texts of about ``PIECE`` characters; a longer text comes in several parts."""
+    """Groups of whole texts of about ``PIECE`` characters; a longer text comes in several parts.
+
+    Parts end at white space, or inside a word of more than ``PIECE`` characters.
+    """
     owner, part, held = [], [], 0
     for i, t in enumerate(texts):
         at, t = 0, t or ""
         while at < len(t):
-            end = len(t) if len(t) - at <= PIECE else t.rfind(" ", at + 1, at + PIECE)
+            end = len(t) if len(t) - at <= PIECE else max(t.rfind(c, at + 1, at + PIECE) for c in SPACE)
             end = end if end > at else at + PIECE
             if held and held + end - at > PIECE:
                 yield owner, part
@@ -129,9 +133,25 @@ class Model:
     def highest(self, texts: list[str | None]) -> np.ndarray:
         """Log-odds of each text's highest window."""
         best = np.full(len(texts), -np.inf)
+        left = [len(t or "") for t in texts]  # characters still to come
+        tail = np.empty(0, np.int32)  # subwords of an unfinished text from its last window on
         for owner, part in _pieces(texts):
-            text, _, _, z = self.window_logits(*subwords(part))
-            np.maximum.at(best, np.asarray(owner)[text], z)
+            bucket, size = subwords(part)
+            for i, p in zip(owner, part, strict=True):
+                left[i] -= len(p)
+            ids, place = np.unique(owner, return_inverse=True)
+            size = np.bincount(place, size).astype(np.int64)
+            bucket, size[0] = np.concatenate([tail, bucket]), size[0] + len(tail)
+            tail = tail[:0]
+            if left[ids[-1]]:
+                # the windows that the whole text would have: what lies beyond the last of them waits
+                n = int(size[-1])
+                used = n - (n - WINDOW) % (WINDOW // 2) if n >= WINDOW else 0
+                end = len(bucket) - n + used
+                tail = bucket[end - min(used, WINDOW):].copy()
+                bucket, size[-1] = bucket[:end], used
+            text, _, _, z = self.window_logits(bucket, size)
+            np.maximum.at(best, ids[text], z)
         best[np.isinf(best)] = self.bias
         return best
 

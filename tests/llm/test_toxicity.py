@@ -113,3 +113,29 @@ def test_subwords_count_texts_of_a_class_not_bags():
     got = toxicity.known_subwords(rows, np.array([0, 0, 0, 1, 1, 1, 0, 0]), [0, 0, 1, 2, 2, 3, 4, 5])
     # 1 and 2 are in two clean texts, 6 too; 3 and 4 in one text, 5 in one of each class
     assert np.flatnonzero(got).tolist() == [1, 2, 6]
+
+
+@pytest.mark.parametrize("piece", [40, 300, 1000])
+def test_cuts_of_long_texts_do_not_change_scores(monkeypatch, piece):
+    rng = np.random.default_rng(6)
+    model = toxicity.Model(rng.standard_normal(toxicity.BUCKETS).astype(np.float32), -0.3)
+    words = [f"w{i}" * (1 + i % 3) for i in range(50)]
+    texts = ["".join(words[j] + " \t\n\r"[rng.integers(0, 4)] for j in rng.integers(0, 50, n))
+             for n in (900, 3, 400, 61, 2000)] + ["", None, " \t" * 500, "one" + "\n" * 900 + "two"]
+    whole = model.highest(texts)
+    monkeypatch.setattr(toxicity, "PIECE", piece)
+    assert np.allclose(model.highest(texts), whole)
+    for i, t in enumerate(texts):
+        assert np.allclose(model.highest([t]), whole[i])
+
+
+def test_a_passage_across_a_cut_is_seen_whole(monkeypatch):
+    bad = "worthless disgusting pathetic worthless disgusting pathetic"
+    weight = np.zeros(toxicity.BUCKETS, np.float32)
+    weight[toxicity.subwords([bad])[0]] = 3.0
+    model = toxicity.Model(weight, -1.5)
+    text = "plain\t" * 300 + bad.replace(" ", "\t") + "\tplain" * 300
+    whole = model.highest([text])[0]
+    for piece in range(1800, 1860, 7):
+        monkeypatch.setattr(toxicity, "PIECE", piece)
+        assert abs(model.highest([text])[0] - whole) < 1e-9
