@@ -29,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import fold, small, table
+from cohortlens.llm.common import fold, materialize, small, table
 
 BUCKETS = 1 << 18
 DIM = 8
 SIZES = (3, 4, 5)
-SAMPLE = (4_000, 2_500)  # bound of the labelled sample that training reads: clean, toxic
+SAMPLE = (6_000, 2_500)  # bound of the labelled sample that training reads: clean, toxic
 EPOCHS = 5
 CALIBRATE = 4  # every fourth sampled text only calibrates the score
 LEAST = 2  # a subword in fewer texts than this of either class keeps weight 0
@@ -299,18 +299,20 @@ def train_on(docs: DataFrame, labels: DataFrame) -> Model:
     """Model from the labelled rows outside fold 0 (a bounded sample, in hash order).
 
     ``labels``: doc_id, toxic.  Null labels do not count; a document labelled twice is
-    toxic if any label says so.
+    toxic if any label says so.  Only labels of documents that training can read (see
+    ``SAMPLE_CHARS``) are drawn.
     """
     known = (labels.where((fold(F.col("doc_id"), 5) != 0) & F.col("toxic").isNotNull())
              .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     seen = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
+    texts = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS)
+    usable = materialize(known.join(texts.select("doc_id"), "doc_id", "left_semi"), "usable_labels")
     order = [F.xxhash64("doc_id"), "doc_id"]
     sample = None
     for kind, bound in enumerate(SAMPLE):
-        part = known.where(F.col("toxic") == kind).orderBy(*order).limit(bound)
+        part = usable.where(F.col("toxic") == kind).orderBy(*order).limit(bound)
         sample = part if sample is None else sample.unionByName(part)
-    rows = (docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS)
-            .join(F.broadcast(sample), "doc_id")  # at most sum(SAMPLE) ids
+    rows = (texts.join(F.broadcast(sample), "doc_id")  # at most sum(SAMPLE) ids
             .groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).toPandas())
     rows = rows.sort_values("doc_id", kind="stable")
     return calibrated(rows["text"].tolist(), rows["toxic"].to_numpy(np.int64), 0.1 if seen is None else seen)

@@ -139,3 +139,16 @@ def test_a_passage_across_a_cut_is_seen_whole(monkeypatch):
     for piece in range(1800, 1860, 7):
         monkeypatch.setattr(toxicity, "PIECE", piece)
         assert abs(model.highest([text])[0] - whole) < 1e-9
+
+
+def test_labels_without_a_usable_document_do_not_use_up_the_sample(spark, monkeypatch):
+    assert toxicity.SAMPLE == (6_000, 2_500)
+    texts, y = _toy()
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    rows += [(i, "plain words " * 20_000, "en", "s", 1) for i in range(1000, 1200)]  # too long to train on
+    labels = [(i, 1, int(k)) for i, k in enumerate(y)] + [(i, 1, i % 2) for i in range(1000, 3000)]
+    monkeypatch.setattr(toxicity, "SAMPLE", (60, 60))
+    read = []
+    monkeypatch.setattr(toxicity, "calibrated", lambda t, k, prior: read.append(k))
+    toxicity.train_on(odd(spark, rows), labels_for(spark, labels))
+    assert np.bincount(read[0]).tolist() == [60, 60]
