@@ -14,8 +14,8 @@ Method
    register comparison, given both set sizes, estimates the similarity; pairs above
    ``FAMILY`` (far below any link threshold) join a family.
 5. Buckets that still hold several families compare the members outside their largest
-   family with all members, in blocks of registers, and join families where the estimate
-   allows a link.  So two linkable classes that share a bucket share a family.
+   family with all members, blocks of registers meeting pairwise, and join families where
+   the estimate allows a link.  So two linkable classes that share a bucket share a family.
 6. Inside a family every link is decided on the full shingle sets: blocks of bounded size
    meet pairwise, the intersections come from one matrix product per block pair, and only
    a spanning forest of the confirmed links leaves a task.  No pair is ever a row.
@@ -50,6 +50,7 @@ FAMILY = 0.55  # estimated similarity that puts two classes into one family
 MARGIN = 0.17  # an estimate this far below the threshold rules a link out (over 4 sigma)
 BLOCK_DOCS = 512
 BLOCK_SHINGLES = 500_000
+MIXED_DOCS = 1024  # rows of a bucket in one block, when its families are compared
 
 
 class ShingleHasher:
@@ -186,11 +187,11 @@ def _star_edges(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.
 
 
 def _mixed_edges(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Blocks of one bucket: query rows against all rows of other families.
+    """Block pairs of one bucket: a block of query rows against a block of rows, other families only.
 
     One edge per query and other family is enough, so output stays below queries x families.
     """
-    for t in runs(batches, ["key", "block"]):
+    for t in runs(batches, ["key", "bi", "bj"]):
         ids, fam, n, ask = (t.column(c).to_numpy() for c in ("cid", "label", "n", "ask"))
         regs = _matrix(t.column("regs"))
         rows = np.flatnonzero(~ask)
@@ -341,18 +342,29 @@ def _families(heads: DataFrame, family: float, least: float) -> DataFrame:
         "key", "cid", F.coalesce("label", "cid").alias("label"))
     mixed = tagged.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
     rows = materialize(tagged.join(mixed.select("key"), "key"), "mixed")
+    work = _mixed_work(rows).join(regs, "cid").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
+    second = materialize(work.mapInArrow(functools.partial(_mixed_edges, least=least), EDGE), "mixed_edges")
+    return components(first.unionByName(second))
+
+
+def _mixed_work(rows: DataFrame) -> DataFrame:
+    """(key, bi, bj, cid, label, ask): each block of askers (bi) meets each block of members (bj) of its bucket.
+
+    ``rows``: key, cid, label.  The members outside a bucket's largest family ask.  A block
+    pair holds two blocks of about ``MIXED_DOCS`` rows, however many members the bucket has.
+    """
     counts = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
     major = counts.groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("size")).select(
-        "key", F.col("top.label").alias("major"), F.ceil(F.col("size") / 1024).alias("blocks"))
+        "key", F.col("top.label").alias("major"), F.ceil(F.col("size") / MIXED_DOCS).alias("blocks"),
+        F.ceil((F.col("size") - F.col("top.c")) / MIXED_DOCS).alias("asking"))
     placed = rows.join(major, "key")
-    own = placed.select("key", F.pmod(F.xxhash64("cid"), "blocks").alias("block"), "cid", "label",
-                        F.lit(False).alias("ask"))
+    every = {n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)) for n in ("blocks", "asking")}
+    own = placed.select("key", every["asking"].alias("bi"), F.pmod(F.xxhash64("cid"), "blocks").alias("bj"),
+                        "cid", "label", F.lit(False).alias("ask"))
     ask = placed.where("label <> major").select(
-        "key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"), "cid", "label",
+        "key", F.pmod(F.xxhash64("cid"), "asking").alias("bi"), every["blocks"].alias("bj"), "cid", "label",
         F.lit(True).alias("ask"))
-    work = (own.unionByName(ask).join(regs, "cid").repartition("key", "block").sortWithinPartitions("key", "block"))
-    second = materialize(work.mapInArrow(functools.partial(_mixed_edges, least=least), EDGE), "mixed_edges")
-    return components(first.unionByName(second))
+    return own.unionByName(ask)
 
 
 def _links(texts: DataFrame, heads: DataFrame, family: DataFrame, k: int, percent: int) -> DataFrame:

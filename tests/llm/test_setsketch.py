@@ -98,3 +98,23 @@ def test_intersections_against_sets():
     right = [np.unique(rng.integers(0, 300, rng.integers(1, 200)).astype(np.uint64)) for _ in range(5)]
     got = ss.intersections(left, right, cells=600)
     assert [[len(set(a) & set(b)) for b in right] for a in left] == got.astype(int).tolist()
+
+
+def test_a_bucket_of_many_families_is_compared_in_bounded_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ss, "MIXED_DOCS", 20)
+    # one bucket of 200 single families and one of a large family with 30 others
+    rows = [(1, i, i) for i in range(200)] + [(2, 1000 + i, 1000 if i < 70 else 1000 + i) for i in range(100)]
+    work = ss._mixed_work(spark.createDataFrame(rows, "key bigint, cid bigint, label bigint")).collect()
+    held, met = {}, set()
+    for r in work:
+        held.setdefault((r["key"], r["bi"], r["bj"]), ([], []))[r["ask"]].append((r["cid"], r["label"]))
+    assert max(len(own) for own, _ in held.values()) <= 2 * 20 and max(len(ask) for _, ask in held.values()) <= 2 * 20
+    for (key, _, _), (own, ask) in held.items():
+        met |= {(key, a, b) for a, f in ask for b, g in own if f != g}
+    major = {1: 199, 2: 1000}  # the largest family; of equal ones the largest label
+    assert met == {(k, a, b) for k, a, f in rows for j, b, g in rows if k == j and f != g and f != major[k]}
+
+
+def test_families_across_blocks_are_linked(spark, monkeypatch):
+    monkeypatch.setattr(ss, "MIXED_DOCS", 3)
+    check(spark, variants(seed=7, families=20), 3, 85)
