@@ -1,7 +1,8 @@
 """Mixing sources to target weights by permuted fixed-length blocks.
 
 1. The words of a source's documents form one stream (documents in hashed order), cut into
-   blocks of ``BLOCK`` words; a source's last block may be shorter.  Positions come from
+   blocks of ``BLOCK`` words, of fewer in a source that would have or be given under
+   ``LEAST`` of them; a source's last block may be shorter.  Positions come from
    sums per (source, chunk of documents), so a source with a third of all rows is spread
    over ``chunks`` tasks.
 2. Targets share all words by weight, at most ``MOST`` times a source's size; the excess is
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from cohortlens.llm.common import materialize, mix2, non_empty, partitions, splitmix, table
 
 BLOCK = 64
+LEAST = 32  # blocks that make up the smaller of a source's size and target, as far as it has words
 SHARDS = 64
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
@@ -58,6 +60,12 @@ def targets(sizes: np.ndarray, weights: np.ndarray, most: float = MOST) -> np.nd
     return out
 
 
+def block_words(sizes: np.ndarray, target: np.ndarray, block: int) -> np.ndarray:
+    """Words of a block in each source: rounding to whole blocks stays a small share of its target."""
+    fine = np.ceil(np.minimum(sizes, target) / LEAST).astype(np.int64)
+    return np.clip(fine, 1, block)
+
+
 def shard_counts(slots: np.ndarray, shards: int, seed: int = SEED) -> np.ndarray:
     """(shards x sources) counts: multinomial draws from what is left, all slots dealt in the end."""
     rng = np.random.default_rng(seed)
@@ -115,9 +123,9 @@ def _slots(batches: Iterator[pa.RecordBatch], blocks: np.ndarray, counts: np.nda
 class Mix:
     """A planned mix of ``docs`` (doc_id, text, source).
 
-    ``docs``: one row per input row: doc_id, copy, size, sid, start (first word's position in
-    the source's stream).  ``sources``: sid, source, source_size, target, weight, one row per
-    source in code point order, null last.  ``slots``: shard, place, sid, pass, block.
+    ``docs``: one row per input row: doc_id, copy, size, sid, block_words, start (first word's position in
+    the source's stream).  ``sources``: sid, source, source_size, target, weight, block_words,
+    one row per source in code point order, null last.  ``slots``: shard, place, sid, pass, block.
     ``segments``: the words of each document that lie in each block.
 
     Null texts have size 0.  Repeated rows are separate documents.  Rows without doc_id take
@@ -129,7 +137,6 @@ class Mix:
                  copy: str | None = None):
         """``copy`` names a column that tells rows with one doc_id apart."""
         spark = docs.sparkSession
-        self.block = block
         rows = docs.select("doc_id", "source", "text", (F.col(copy) if copy else F.lit(0)).alias("copy"))
         kind = dict(rows.dtypes)
         sized = materialize(rows.mapInArrow(
@@ -139,18 +146,19 @@ class Mix:
         size = np.array([r["size"] for r in total], np.int64)
         weight = np.array([weights[i % len(weights)] for i in range(len(total))])
         target = targets(size, weight)
-        blocks = -(-size // block)
+        length = block_words(size, target, block)
+        blocks = -(-size // length)
         # slots of average length make up the target; never more passes than allowed
         slots = np.rint(np.divide(target * blocks, size, out=np.zeros(len(size)), where=size > 0)).astype(np.int64)
         slots = np.minimum(slots, MOST * blocks)
         self.sources = spark.createDataFrame(
-            [(i, r["source"], int(n), float(t), float(w)) for i, (r, n, t, w) in
-             enumerate(zip(total, size, target, weight, strict=True))],
-            "sid int, source string, source_size bigint, target double, weight double")
-        placed = sized.join(F.broadcast(self.sources.select("sid", F.col("source").alias("name"))),
+            [(i, r["source"], int(n), float(t), float(w), int(m)) for i, (r, n, t, w, m) in
+             enumerate(zip(total, size, target, weight, length, strict=True))],
+            "sid int, source string, source_size bigint, target double, weight double, block_words bigint")
+        placed = sized.join(F.broadcast(self.sources.select("sid", F.col("source").alias("name"), "block_words")),
                             F.col("source").eqNullSafe(F.col("name")))
         chunks = 8 * partitions(spark)
-        placed = placed.select("doc_id", "copy", "size", "sid",
+        placed = placed.select("doc_id", "copy", "size", "sid", "block_words",
                                F.pmod(F.xxhash64("doc_id", "copy"), F.lit(chunks)).alias("chunk"))
         sums = placed.groupBy("sid", "chunk").agg(F.sum("size").alias("n"))
         before = Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -160,7 +168,7 @@ class Mix:
         self.docs = materialize(
             placed.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
             .join(F.broadcast(sums) if len(total) * chunks <= 100_000 else sums, ["sid", "chunk"])
-            .select("doc_id", "copy", "size", "sid", (F.col("base") + F.col("inner")).alias("start")), "placed")
+            .select("doc_id", "copy", "size", "sid", "block_words", (F.col("base") + F.col("inner")).alias("start")), "placed")
         self.slots = None
         if slots.sum():
             counts = shard_counts(slots, shards, seed)
@@ -168,7 +176,7 @@ class Mix:
                 functools.partial(_slots, blocks=blocks, counts=counts, seed=seed),
                 "shard int, place bigint, sid int, pass int, block bigint")
         last = F.col("start") + F.col("size") - 1
-        b = F.lit(block)
+        b = F.col("block_words")
         first_word = F.greatest(F.lit(0), F.col("block") * b - F.col("start"))
         end_word = F.least(F.col("size"), (F.col("block") + 1) * b - F.col("start"))
         self.segments = (self.docs.where("size > 0")
@@ -182,7 +190,7 @@ class Mix:
 
     def taken(self) -> DataFrame:
         """doc_id, copy, size, source, source_size, target, taken."""
-        rows = self.docs.withColumn("taken", F.lit(0).cast("bigint"))
+        rows = self.docs.drop("block_words").withColumn("taken", F.lit(0).cast("bigint"))
         got = self.joined()
         if got is not None:
             keys = ["sid", "start", "doc_id", "copy", "size"]

@@ -78,3 +78,17 @@ def test_empty_tables(spark):
     assert mixing.Mix(odd(spark, [])).taken().count() == 0
     none = mixing.Mix(odd(spark, [(1, None, None, "a", 0), (2, "", None, None, 0)])).taken().collect()
     assert [r["taken"] for r in none] == [0, 0] and {r["target"] for r in none} == {0.0}
+
+
+def test_small_sources_come_near_their_targets(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(60):
+        for _ in range(rng.integers(1, 3)):
+            n = int(rng.integers(20, 90))
+            rows.append((len(rows), " ".join(f"w{j}" for j in range(n)), "en", f"s{i:02}", n))
+    by = collections.defaultdict(lambda: [0, 0.0])
+    for r in mixing.Mix(odd(spark, rows)).taken().collect():
+        by[r["source"]][0] += r["taken"]
+        by[r["source"]][1] = r["target"]
+    assert len(by) == 60 and all(abs(t - want) <= 0.05 * want + 1 for t, want in by.values())
