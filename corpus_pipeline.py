@@ -7,6 +7,7 @@ last return the columns of ``documents``.  ``run`` applies them to the table ``d
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -45,14 +46,15 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of all sources (operator 9): a row for every pass that takes words of a document.
+    """The mix of all sources (operator 9), in blocks of a sequence's length in words.
 
-    A pass that takes all blocks of a document returns it unchanged, any other the taken
-    words in order, joined by spaces.  A document of which nothing is taken has no row.
-    Identical rows each get what the mix takes from any of them.
+    Every pass that takes words of a document gives a row for each run of consecutive words
+    that it takes, with the white space between them; a whole document is unchanged.  A
+    document of which nothing is taken has no row.  Identical rows each get what the mix
+    takes from any of them.
     """
     keyed = docs.withColumn("__copy", F.xxhash64("text"))
-    got = mixing.Mix(keyed, copy="__copy").joined()
+    got = mixing.Mix(keyed, block=packing.LENGTH, copy="__copy").joined()
     if got is None:
         return docs.limit(0)
     takes = (got.groupBy("doc_id", "copy", "pass")
@@ -63,20 +65,33 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.select(*docs.columns, "__spans").mapInArrow(_taken_words, docs.schema)
 
 
+def _runs_of_words(raw: bytes, spans: list[tuple[int, int]]) -> list[bytes]:
+    """The text of each run of taken words; ``spans``: (first word, words), sorted."""
+    ends = []
+    for a, n in spans:
+        if ends and a <= ends[-1][1]:
+            ends[-1][1] = max(ends[-1][1], a + n)
+        else:
+            ends.append([a, a + n])
+    if ends == [[0, len(raw.split())]]:
+        return [raw]
+    at = [m.span() for m in re.finditer(rb"\S+", raw)]
+    return [raw[at[a][0]:at[b - 1][1]] for a, b in ends]
+
+
 def _taken_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in small(batches):
-        texts = []
-        for t, spans in zip(b.column("text"), b.column("__spans"), strict=True):
+        texts, place = [], []
+        for i, (t, spans) in enumerate(zip(b.column("text"), b.column("__spans"), strict=True)):
             raw = t.as_py().encode("utf-8", "surrogatepass")
-            words, cut = raw.split(), [(s["a"], s["n"]) for s in spans.as_py()]
-            if sum(n for _, n in cut) < len(words):
-                raw = b" ".join(w for a, n in cut for w in words[a:a + n])
-            texts.append(raw.decode("utf-8", "surrogatepass"))
+            for run in _runs_of_words(raw, [(s["a"], s["n"]) for s in spans.as_py()]):
+                texts.append(run.decode("utf-8", "surrogatepass"))
+                place.append(i)
         own = {"text": pa.array(texts, b.schema.field("text").type)}
         if "n_chars" in b.schema.names:
             own["n_chars"] = pa.array([len(t) for t in texts], b.schema.field("n_chars").type)
-        names = [n for n in b.schema.names if n != "__spans"]
-        yield pa.RecordBatch.from_arrays([own.get(n, b.column(n)) for n in names], names=names)
+        names, place = [n for n in b.schema.names if n != "__spans"], pa.array(place, pa.int64())
+        yield pa.RecordBatch.from_arrays([own[n] if n in own else b.column(n).take(place) for n in names], names=names)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -61,3 +61,21 @@ def test_one_of_each_keeps_one_of_near_copies(spark):
     rows = [(i, " ".join(base[:50] + [f"x{rnd.random()}"] + base[51:]), "en", "s", 1) for i in range(1, 8)]
     rows.append((50, " ".join(f"z{i}" for i in range(40)), "en", "s", 1))
     assert sorted(r["doc_id"] for r in cp.one_of_each(spark, odd(spark, rows), SF).collect()) == [1, 50]
+
+
+def test_runs_of_taken_words_keep_their_white_space():
+    raw = b" a  b\n\nc d\te f "
+    assert cp._runs_of_words(raw, [(0, 2), (2, 4)]) == [raw]
+    assert cp._runs_of_words(raw, [(0, 3), (5, 1)]) == [b"a  b\n\nc", b"f"]
+    assert cp._runs_of_words(raw, [(1, 2), (2, 3)]) == [b"b\n\nc d\te"]
+
+
+def test_mixed_rows_are_runs_of_the_text(spark):
+    rnd = random.Random(6)
+    rows = [(i, "".join(f"w{i}x{j}" + rnd.choice([" ", "\n", "\t"]) for j in range(700)), "en", f"s{i % 3}", 1)
+            for i in range(120)]
+    got = [(r["doc_id"], r["text"], r["n_chars"]) for r in cp.mix_sources(spark, odd(spark, rows), SF).collect()]
+    assert all(t in rows[k][1] and n == len(t) for k, t, n in got)
+    # a weight-1 source keeps about a third: of one or two runs of a document, not of a dozen pieces
+    part = [t for k, t, _ in got if k % 3 == 2]
+    assert sum(len(t.split()) for t in part) / len(part) > 300
