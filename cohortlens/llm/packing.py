@@ -3,18 +3,21 @@
 1. Each task tokenizes whole texts and emits only what packing needs: piece lengths and
    checksums.  A document longer than a sequence is cut into full pieces; its first piece
    takes the remainder.
-2. Full pieces are sequences already.  The others are dealt to groups of about ``GROUP``
-   pieces by a hash, so no task or driver ever holds them all, and every group sees the
-   same mix of lengths.
+2. Full pieces are sequences already.  The others are dealt to groups that fill about
+   ``GROUP`` sequences by a hash, so no task or driver ever holds them all, and every group
+   sees the same mix of lengths.
 3. Within a group, vector best fit in order of falling length: a piece goes to the open
    sequence that can take it under every capacity (tokens, documents, attention cost) and
    for which the weighted norm of what would remain is smallest (``rule="norm"``), or whose
    residual has the smallest weighted dot product with the piece (``rule="dot"``).
+4. Each group's last sequence, and those at most half full, are packed once more, together
+   with those of other groups and again in groups.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from cohortlens.llm.common import materialize, runs, small, table
 
 LENGTH = 2048
-GROUP = 4096
+GROUP = 1024  # sequences that the pieces of a group need at least
 CAPACITY = (LENGTH, LENGTH, LENGTH * LENGTH)  # tokens, documents, attention cost (sum of squared lengths)
 WEIGHTS = (1.0, 0.01, 0.05)
 END = 0  # id after every document
@@ -81,14 +84,14 @@ def cut(n: int, length: int = LENGTH) -> list[tuple[int, int]]:
     return [(0, first)] + [(s, length) for s in range(first, n, length)]
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch], path: str, length: int = LENGTH) -> Iterator[pa.RecordBatch]:
     enc = Encoder(path)
     end = np.array([END], dtype="<u4").tobytes()
     for part in small(batches):
         rows = []
         for d, t in zip(part.column("doc_id").to_pylist(), part.column("text"), strict=True):
             ids = enc.encode(t.as_py()) + end
-            for k, (s, n) in enumerate(cut(len(ids) // 4)):
+            for k, (s, n) in enumerate(cut(len(ids) // 4, length)):
                 rows.append((d, k, s, n, zlib.crc32(ids[4 * s:4 * (s + n)])))
         cols = list(zip(*rows, strict=True))
         yield pa.RecordBatch.from_arrays([
@@ -133,39 +136,78 @@ def best_fit(lengths: np.ndarray, capacity=CAPACITY, weights=WEIGHTS, rule: str
     return where, offset
 
 
-def _pack(batches: Iterator[pa.RecordBatch], rule: str) -> Iterator[pa.RecordBatch]:
+COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32"]
+
+
+def _unfilled(lengths: np.ndarray, where: np.ndarray, capacity) -> np.ndarray:
+    """Whether each piece lies in the last sequence or in one at most half full in every capacity."""
+    need = np.stack([lengths, np.ones(len(lengths)), lengths.astype(float) ** 2], 1)
+    used = np.stack([np.bincount(where, need[:, j]) for j in range(3)], 1)
+    part = (2 * used <= np.array(capacity, float)).all(1)
+    part[-1] = True
+    return part[where]
+
+
+def _pack(batches: Iterator[pa.RecordBatch], rule: str, capacity, weights) -> Iterator[pa.RecordBatch]:
     for t in runs(batches, ["slot"]):
         slot = t.column("slot")[0].as_py()
-        where, offset = best_fit(t.column("length").to_numpy(), rule=rule)
+        lengths = t.column("length").to_numpy()
+        where, offset = best_fit(lengths, capacity, weights, rule)
         # sequence numbers: the group in the high bits; full pieces use negative numbers
         yield pa.RecordBatch.from_arrays(
-            [t.column(c).combine_chunks() for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
-            + [pa.array(where + (slot << 32), pa.int64()), pa.array(offset, pa.int64())],
-            names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+            [t.column(c).combine_chunks() for c in COLUMNS]
+            + [pa.array(where + (slot << 32), pa.int64()), pa.array(offset, pa.int64()),
+               pa.array(_unfilled(lengths, where, capacity))],
+            names=[*COLUMNS, "sequence_id", "offset", "unfilled"])
 
 
 OUT = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
 
 
-def pack(docs: DataFrame, path: str, rule: str = "norm") -> DataFrame:
+def _groups(pieces: DataFrame, capacity) -> int:
+    """Groups of pieces that need about ``GROUP`` sequences each, by the capacity that they use most."""
+    square = F.col("length").cast("double") * F.col("length")
+    need = pieces.agg(F.sum("length"), F.count(F.lit(1)), F.sum(square)).first()
+    return max(1, math.ceil(max((n or 0) / c for n, c in zip(need, capacity, strict=True)) / GROUP))
+
+
+def pack(docs: DataFrame, path: str, rule: str = "norm", capacity=CAPACITY, weights=WEIGHTS) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its text's ids and then id 0; null and empty texts are the one id 0.
     Repeated rows are packed each.  Rows without doc_id are packed like others.  Columns
     other than doc_id and text are ignored; an empty table gives no rows.  Sequence ids are
     unique, not dense: a group's number in the high bits, negative ones for full pieces.
+    ``capacity``: tokens, documents and attention cost of a sequence (each 1 or more), with
+    their ``weights`` in the rule.  A piece is as long as the first and third allow.
     """
+    if min(capacity) < 1:
+        raise ValueError("a capacity is below 1")
+    tokens, documents, cost = (int(c) for c in capacity)
+    length = min(tokens, math.isqrt(cost))
     pieces = materialize(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-                         .mapInArrow(functools.partial(_pieces, path=path), PIECES), "pieces")
-    cols = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    full = pieces.where(F.col("length") == LENGTH).select(
-        *cols, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
-    open_ = pieces.where(F.col("length") < LENGTH)
-    groups = max(1, -(-open_.count() // GROUP))
-    slot = F.pmod(F.xxhash64("doc_id", "piece", "copy", "ids_crc32"), F.lit(groups)).alias("slot")
-    dealt = (open_.select(*cols, slot).repartition("slot")
-             .sortWithinPartitions("slot", "length", "doc_id", "piece", "ids_crc32"))
-    return dealt.mapInArrow(functools.partial(_pack, rule=rule), OUT).unionByName(full)
+                         .mapInArrow(functools.partial(_pieces, path=path, length=length), PIECES), "pieces")
+    # nothing fits beside a full piece
+    is_full = F.lit(documents == 1) | ((F.col("length") == length) & F.lit(length == tokens or length ** 2 == cost))
+    full = pieces.where(is_full).select(
+        *COLUMNS, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
+    open_ = pieces.where(~is_full)
+    groups = _groups(open_, capacity)
+
+    def packed(rows: DataFrame, slot) -> DataFrame:
+        dealt = (rows.select(*COLUMNS, slot.alias("slot")).repartition("slot")
+                 .sortWithinPartitions("slot", "length", "doc_id", "piece", "ids_crc32"))
+        return dealt.mapInArrow(functools.partial(_pack, rule=rule, capacity=capacity, weights=weights),
+                                OUT + ", unfilled boolean")
+
+    key = F.xxhash64("doc_id", "piece", "copy", "ids_crc32")
+    first = packed(open_, F.pmod(key, F.lit(groups)))
+    if groups == 1:
+        return first.drop("unfilled").unionByName(full)
+    first = materialize(first, "packed")
+    rest = first.where("unfilled")
+    again = packed(rest, groups + F.pmod(F.xxhash64("sequence_id", "offset"), F.lit(_groups(rest, capacity))))
+    return first.where("not unfilled").unionByName(again).drop("unfilled").unionByName(full)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

@@ -96,3 +96,25 @@ def test_best_fit_keeps_every_capacity(rule):
         assert o[0] == 0
     with pytest.raises(ValueError):
         packing.best_fit(np.array([101]), capacity=(100, 3, 60000))
+
+
+def test_capacities_of_documents_and_attention_reach_the_packing(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 200")
+    cap = (1000, 3, 250_100)  # pieces of 500 tokens at most
+    bins = collections.defaultdict(list)
+    for r in packing.pack(docs, PATH, capacity=cap, weights=(1, 1, 1)).collect():
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for got in bins.values():
+        n = np.array([x for _, x in sorted(got)])
+        assert n.sum() <= 1000 and len(n) <= 3 and (n**2).sum() <= 250_100
+        assert [o for o, _ in sorted(got)] == (np.cumsum(n) - n).tolist()
+    assert sum(x for got in bins.values() for _, x in got) == sum(
+        len(x) for x in reference_ids([r["text"] for r in docs.collect()]))
+    assert max(len(got) for got in bins.values()) == 3
+
+
+def test_part_filled_sequences_of_groups_are_packed_again(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 2)
+    rows = [(i, " ".join(f"w{j}" for j in range(3 + i % 4)), "en", "s", 1) for i in range(6000)]
+    bins, total = check(packing.pack(odd(spark, rows), PATH).collect(), [r[:2] for r in rows])
+    assert bins <= 1.1 * total / 2048 + 2
