@@ -33,16 +33,21 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (operator 4, five words, 0.8).
 
-    The smallest doc_id of a group stays; of rows that share it, the one with the smallest
-    text.  A row without doc_id takes part under a large id made from its text.
+    Rows are told apart by doc_id and text.  Of a group the row with the smallest doc_id
+    stays, then the one with the smallest name; rows without doc_id come last.  Of rows equal
+    in both, one stays.  Rows without words are linked with nothing, and all of them stay.
     """
-    own = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
-    named = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("bigint"), own))
+    words = F.coalesce(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False))
+    named = docs.where(words).withColumn("__id", F.xxhash64("doc_id", "text"))
     found = setsketch.near_duplicates(named.select(F.col("__id").alias("doc_id"), "text"), k=5, percent=80)
-    kept = found.where("kept").select(F.col("doc_id").alias("__id")).distinct()
+    group = found.select(F.col("doc_id").alias("__id"), F.col("component_id").alias("__group")).distinct()
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__id"))
+    kept = (named.select("doc_id", "__id").distinct().join(group, "__id").groupBy("__group").agg(least.alias("first"))
+            .select(F.col("first.__id").alias("__id")))
     first = Window.partitionBy("__id").orderBy("text")
-    return (named.join(kept, "__id", "left_semi").withColumn("__row", F.row_number().over(first))
-            .where("__row = 1").select(docs.columns))
+    one = (named.join(kept, "__id", "left_semi").withColumn("__row", F.row_number().over(first))
+           .where("__row = 1").select(docs.columns))
+    return one.unionByName(docs.where(~words))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

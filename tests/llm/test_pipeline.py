@@ -79,3 +79,12 @@ def test_mixed_rows_are_runs_of_the_text(spark):
     # a weight-1 source keeps about a third: of one or two runs of a document, not of a dozen pieces
     part = [t for k, t, _ in got if k % 3 == 2]
     assert sum(len(t.split()) for t in part) / len(part) > 300
+
+
+def test_one_of_each_keeps_different_texts_that_share_an_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (1, b), (2, b + " tail"), (7, c), (5, c + " tail"), (7, c), (9, a), (None, None), (None, None), (None, c)]
+    got = cp.one_of_each(spark, odd(spark, [(i, t, "en", "s", 1) for i, t in rows]), SF).collect()
+    # 1 is the smallest id of the copies of a and of b, 5 of those of c; empty texts are linked with nothing
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted(
+        [(1, a), (1, b), (5, c + " tail"), (None, None), (None, None)], key=str)
