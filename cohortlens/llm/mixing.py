@@ -4,7 +4,7 @@
    blocks of ``BLOCK`` words, of fewer in a source that would have or be given under
    ``LEAST`` of them; a source's last block may be shorter.  Positions come from
    sums per (source, chunk of documents), so a source with a third of all rows is spread
-   over ``chunks`` tasks.
+   over up to ``CHUNKS`` tasks.
 2. Targets share all words by weight, at most ``MOST`` times a source's size; the excess is
    shared again until no source is above.  A target becomes a number of block slots.
 3. Each of ``shards`` output shards draws multinomial source counts from the slots that are
@@ -32,9 +32,11 @@ from cohortlens.llm.common import materialize, mix2, non_empty, partitions, spli
 BLOCK = 64
 LEAST = 32  # blocks that make up the smaller of a source's size and target, as far as it has words
 SHARDS = 64
+CHUNKS = 1 << 12  # parts of a source whose sizes are summed; part of a mix's identity, whatever the session's settings
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
 SEED = 20240229
+MANY = 100_000  # rows of a side that is broadcast
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,11 +157,11 @@ class Mix:
             [(i, r["source"], int(n), float(t), float(w), int(m)) for i, (r, n, t, w, m) in
              enumerate(zip(total, size, target, weight, length, strict=True))],
             "sid int, source string, source_size bigint, target double, weight double, block_words bigint")
-        placed = sized.join(F.broadcast(self.sources.select("sid", F.col("source").alias("name"), "block_words")),
+        self.few = len(total) <= MANY
+        placed = sized.join(self._hinted(self.sources.select("sid", F.col("source").alias("name"), "block_words")),
                             F.col("source").eqNullSafe(F.col("name")))
-        chunks = 8 * partitions(spark)
         placed = placed.select("doc_id", "copy", "size", "sid", "block_words",
-                               F.pmod(F.xxhash64("doc_id", "copy"), F.lit(chunks)).alias("chunk"))
+                               F.pmod(F.xxhash64("doc_id", "copy"), F.lit(CHUNKS)).alias("chunk"))
         sums = placed.groupBy("sid", "chunk").agg(F.sum("size").alias("n"))
         before = Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
         sums = sums.select("sid", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
@@ -167,7 +169,7 @@ class Mix:
                   .rowsBetween(Window.unboundedPreceding, -1))
         self.docs = materialize(
             placed.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
-            .join(F.broadcast(sums) if len(total) * chunks <= 100_000 else sums, ["sid", "chunk"])
+            .join(F.broadcast(sums) if len(total) * CHUNKS <= MANY else sums, ["sid", "chunk"])
             .select("doc_id", "copy", "size", "sid", "block_words", (F.col("base") + F.col("inner")).alias("start")), "placed")
         self.slots = None
         if slots.sum():
@@ -184,6 +186,10 @@ class Mix:
                          .select("doc_id", "copy", "size", "sid", "start", "block", first_word.alias("from_word"),
                                  (end_word - first_word).alias("words")))
 
+    def _hinted(self, sources: DataFrame) -> DataFrame:
+        """``sources`` as a broadcast side while there are at most ``MANY``."""
+        return F.broadcast(sources) if self.few else sources
+
     def joined(self) -> DataFrame | None:
         """Every slot with the document segments that its block holds."""
         return None if self.slots is None else self.slots.join(self.segments, ["sid", "block"])
@@ -201,7 +207,7 @@ class Mix:
                         F.col("taken") == 0).alias("rows")))
             # documents without words share positions: give back every one of them
             rows = rows.withColumn("rows", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("rows"))))
-        return rows.join(F.broadcast(self.sources), "sid").select(
+        return rows.join(self._hinted(self.sources), "sid").select(
             "doc_id", "copy", "size", "source", "source_size", "target", "taken")
 
 

@@ -92,3 +92,40 @@ def test_small_sources_come_near_their_targets(spark):
         by[r["source"]][0] += r["taken"]
         by[r["source"]][1] = r["target"]
     assert len(by) == 60 and all(abs(t - want) <= 0.05 * want + 1 for t, want in by.values())
+
+
+def test_taken_equals_a_recount_from_slots_and_words_under_any_settings(spark):
+    """Streams, blocks and slots rebuilt row by row; shuffle settings change nothing."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source")
+    rows = docs.collect()
+    mix = mixing.Mix(docs)
+    got = {r["doc_id"]: r["taken"] for r in mix.taken().collect()}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("3", "211"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            again = mixing.Mix(docs)
+            assert {r["doc_id"]: r["taken"] for r in again.taken().collect()} == got
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    sources = {r["sid"]: r for r in mix.sources.collect()}
+    placed = mix.docs.collect()
+    stream = {sid: [None] * r["source_size"] for sid, r in sources.items()}
+    for r in placed:
+        for k in range(r["start"], r["start"] + r["size"]):
+            assert stream[r["sid"]][k] is None
+            stream[r["sid"]][k] = r["doc_id"]
+    assert all(d is not None for s in stream.values() for d in s)
+    want = collections.Counter()
+    for s in mix.slots.collect():
+        size = sources[s["sid"]]["block_words"]
+        want.update(stream[s["sid"]][s["block"] * size:(s["block"] + 1) * size])
+    assert got == {r["doc_id"]: want[r["doc_id"]] for r in rows}
+    sizes = collections.Counter()
+    for r in rows:
+        sizes[r["source"]] += len((r["text"] or "").encode().split())
+    weight = [(5.0, 2.0, 1.0)[i % 3] for i in range(len(sizes))]
+    names = sorted(sizes, key=lambda x: (x is None, x or ""))
+    share = mixing.targets(np.array([sizes[n] for n in names]), np.array(weight))
+    assert {r["source"]: round(r["target"], 6) for r in sources.values()} == {
+        n: round(float(t), 6) for n, t in zip(names, share, strict=True)}
