@@ -9,11 +9,16 @@ that was never seen still shares most of its character n-grams with the words it
 
 A text is scored by its highest window of ``WINDOW`` subwords (about eight words, overlapping
 by half), so a few toxic words in a long text are not averaged away.  Training follows: the
-first round averages whole texts, the later ones average each sampled text's highest window
+first round averages whole texts of up to ``WHOLE`` characters (the average of a longer one
+says nothing of a passage in it), the later ones average each sampled text's highest windows
 under the model so far, toxic or not, so hard clean passages are learned too.  Texts kept
 out of training then map the highest window's log-odds to a probability (a two-parameter
 logistic fit, weighted to the share of toxic labels).
 
+Every round is two Spark jobs: all tasks cut the sampled texts into bags (a text is read
+piece by piece, whatever its length), and one task trains on the bags, of which there are at
+most ``HARD`` a clean text and one a toxic text.  Only the model's row reaches the driver.
+
 Because the classifier is linear in the average, one number per bucket is all that scoring
 needs: the 1 MB table travels with the tasks and each text is scored whole, in one pass.
 """
@@ -29,19 +34,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import fold, materialize, small, table
+from cohortlens.llm.common import fold, materialize, non_empty, partitions, small, table
 
 BUCKETS = 1 << 18
 DIM = 8
 SIZES = (3, 4, 5)
 SAMPLE = (6_000, 2_500)  # bound of the labelled sample that training reads: clean, toxic
 EPOCHS = 5
-CALIBRATE = 4  # every fourth sampled text only calibrates the score
+CALIBRATE = 4  # one sampled text in so many only calibrates the score
 LEAST = 2  # a subword in fewer texts than this of either class keeps weight 0
 ROUNDS = 4
-HARD = 4
-SAMPLE_CHARS = 200_000  # longer texts are not used for training (all are scored)
+HARD = 4  # highest windows that a clean text gives in a round
+WHOLE = 200_000  # characters of a text whose average trains the first round; longer ones give windows only
 WINDOW = 120
+FIRST_SEED = 7
 PIECE = 200_000  # characters scored at a time; longer texts are cut at white space, windows run across the cuts
 SPACE = " \t\n\x0b\x0c\r"
 THRESHOLD = 0.5
@@ -133,29 +139,41 @@ class Model:
     def highest(self, texts: list[str | None]) -> np.ndarray:
         """Log-odds of each text's highest window."""
         best = np.full(len(texts), -np.inf)
-        left = [len(t or "") for t in texts]  # characters still to come
-        tail = np.empty(0, np.int32)  # subwords of an unfinished text from its last window on
-        for owner, part in _pieces(texts):
-            bucket, size = subwords(part)
-            for i, p in zip(owner, part, strict=True):
-                left[i] -= len(p)
-            ids, place = np.unique(owner, return_inverse=True)
-            size = np.bincount(place, size).astype(np.int64)
-            bucket, size[0] = np.concatenate([tail, bucket]), size[0] + len(tail)
-            tail = tail[:0]
-            if left[ids[-1]]:
-                # the windows that the whole text would have: what lies beyond the last of them waits
-                n = int(size[-1])
-                used = n - (n - WINDOW) % (WINDOW // 2) if n >= WINDOW else 0
-                end = len(bucket) - n + used
-                tail = bucket[end - min(used, WINDOW):].copy()
-                bucket, size[-1] = bucket[:end], used
+        for ids, _, bucket, size in _parts(texts):
             text, _, _, z = self.window_logits(bucket, size)
             np.maximum.at(best, ids[text], z)
         best[np.isinf(best)] = self.bias
         return best
 
 
+def _parts(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(texts' numbers, place in its text of the first subword of each, subwords end to end, how many each).
+
+    A long text comes in several parts.  The windows of the parts are those of the whole text;
+    the last window of a part comes again in the next one.
+    """
+    left = [len(t or "") for t in texts]  # characters still to come
+    tail, base = np.empty(0, np.int32), 0  # subwords of an unfinished text from its last window on
+    for owner, part in _pieces(texts):
+        bucket, size = subwords(part)
+        for i, p in zip(owner, part, strict=True):
+            left[i] -= len(p)
+        ids, place = np.unique(owner, return_inverse=True)
+        size = np.bincount(place, size).astype(np.int64)
+        bucket, size[0] = np.concatenate([tail, bucket]), size[0] + len(tail)
+        first = np.zeros(len(ids), np.int64)
+        first[0] = base
+        tail, base = tail[:0], 0
+        if left[ids[-1]]:
+            # what lies beyond the last window that the whole text would have here waits
+            n = int(size[-1])
+            used = n - (n - WINDOW) % (WINDOW // 2) if n >= WINDOW else 0
+            end, kept = len(bucket) - n + used, min(used, WINDOW)
+            tail, base = bucket[end - kept:].copy(), int(first[-1]) + used - kept
+            bucket, size[-1] = bucket[:end], used
+        yield ids, first, bucket, size
+
+
 def platt(z: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, float]:
     """Slope and shift of a logistic fit by Newton steps, classes weighted to ``prior``."""
     if not len(y) or y.min() == y.max():
@@ -184,48 +202,53 @@ def platt(z: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, float]:
     return float(max(beta[0], 1e-6) / scale), float(beta[1])
 
 
-def calibrated(texts: list[str], labels: np.ndarray, prior: float) -> Model:
-    """Train on most of the sample and calibrate on the rest (all of it if the rest has one class)."""
+def calibrated(texts: list[str], labels: np.ndarray, prior: float, rest: np.ndarray) -> Model:
+    """Train on the texts outside ``rest`` and calibrate on ``rest``, in this process (see ``train_on``)."""
     y = np.asarray(labels, dtype=np.int64)
-    rest = np.arange(len(y)) % CALIBRATE == 0
     if not len(y) or len(set(y[rest])) < 2 or len(set(y[~rest])) < 2:
         return fit(texts, y, prior)
-    part = [t for t, r in zip(texts, rest, strict=True) if not r]
-    model = fit(part, y[~rest], prior)
+    model = fit([t for t, r in zip(texts, rest, strict=True) if not r], y[~rest], prior)
     slope, shift = platt(model.highest([t for t, r in zip(texts, rest, strict=True) if r]), y[rest], prior)
     return replace(model, slope=slope, shift=shift)
 
 
-def fit(texts: list[str], labels: np.ndarray, prior: float, seed: int = 7) -> Model:
-    """Train on whole texts first, then on the highest windows under the model so far.
+def bags(texts: list[str], labels: list[int], model: Model | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(text's number, buckets, counts) of every bag that the texts give under ``model``.
 
-    A toxic text gives its highest window.  Every window of a clean text is clean, so it
-    gives its ``HARD`` highest ones.
+    Without a model a text of up to ``WHOLE`` characters gives all its subwords.  Otherwise a
+    toxic text gives its highest window; every window of a clean text is clean, so it gives
+    its ``HARD`` highest ones (ties to the earlier window).
     """
+    if model is None:
+        for i, t in enumerate(texts):
+            if len(t) <= WHOLE:
+                yield (i, *np.unique(subwords([t])[0], return_counts=True))
+        return
+    y = np.asarray(labels, dtype=np.int64)
+    best: dict[int, dict] = {}
+    for ids, first, bucket, size in _parts(texts):
+        text, start, length, z = model.window_logits(bucket, size)
+        order = np.lexsort((start, -z, text))
+        rank = np.arange(len(order)) - np.searchsorted(text[order], text[order])
+        begin = np.cumsum(size) - size
+        for w in order[rank < np.where(y[ids[text[order]]] == 1, 1, HARD)]:
+            at = int(first[text[w]] + start[w] - begin[text[w]])
+            best.setdefault(int(ids[text[w]]), {})[at] = (-z[w], bucket[start[w]:start[w] + length[w]].copy())
+    for i in sorted(best):
+        ranked = sorted((z, at) for at, (z, _) in best[i].items())
+        for _, at in ranked[:1 if y[i] == 1 else HARD]:
+            yield (i, *np.unique(best[i][at][1], return_counts=True))
+
+
+def fit(texts: list[str], labels: np.ndarray, prior: float) -> Model:
+    """The rounds of ``train_on`` in this process."""
     y = np.asarray(labels, dtype=np.int64)
     model = None
     for r in range(ROUNDS):
-        rows, counts, kinds, owners = [], [], [], []
-        for at in range(0, len(texts), 64):
-            bucket, size = subwords(texts[at:at + 64])
-            if model is None:
-                picked = [(i, s, n) for i, (s, n) in enumerate(zip(np.cumsum(size) - size, size, strict=True))]
-            else:
-                text, start, length, z = model.window_logits(bucket, size)
-                order = np.lexsort((-z, text))
-                rank = np.arange(len(order)) - np.searchsorted(text[order], text[order])
-                take = order[rank < np.where(y[at + text[order]] == 1, 1, HARD)]
-                picked = zip(text[take], start[take], length[take], strict=True)
-            bags = []
-            for i, s, n in picked:
-                bags.append(np.unique(bucket[s:s + n], return_counts=True))
-                kinds.append(y[at + i])
-                owners.append(at + i)
-            # one pair of arrays a group of texts: the driver gives their memory back as a whole
-            cuts = np.cumsum([len(u) for u, _ in bags])[:-1]
-            rows += np.split(np.concatenate([u for u, _ in bags]), cuts) if bags else []
-            counts += np.split(np.concatenate([c for _, c in bags]).astype(np.float32), cuts) if bags else []
-        model = train(rows, counts, np.array(kinds, dtype=np.int64), prior, owners, seed=seed + r)
+        got = list(bags(texts, y, model))
+        owners = [i for i, _, _ in got]
+        model = train([u for _, u, _ in got], [c.astype(np.float32) for _, _, c in got], y[owners], prior, owners,
+                      seed=FIRST_SEED + r)
     return model
 
 
@@ -295,27 +318,93 @@ def train(rows: list[np.ndarray], counts: list[np.ndarray], labels: np.ndarray,
     return Model(np.where(seen, emb @ diff, 0).astype(np.float32), float(bias[1] - bias[0] + moved))
 
 
-def train_on(docs: DataFrame, labels: DataFrame) -> Model:
-    """Model from the labelled rows outside fold 0 (a bounded sample, in hash order).
+def _bags(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator[pa.RecordBatch]:
+    """(doc_id, toxic, text) -> a row per bag: doc_id, toxic, bag, buckets, counts."""
+    for b in small(batches, 64):
+        got = list(bags(b.column("text").to_pylist(), b.column("toxic").to_pylist(), model))
+        row = pa.array([i for i, _, _ in got], pa.int64())
+        yield pa.RecordBatch.from_arrays([
+            b.column("doc_id").take(row), b.column("toxic").take(row), pa.array(range(len(got)), pa.int64()),
+            pa.array([u.astype("<i4").tobytes() for _, u, _ in got], pa.binary()),
+            pa.array([c.astype("<i4").tobytes() for _, _, c in got], pa.binary())],
+            names=["doc_id", "toxic", "bag", "buckets", "counts"])
+
+
+def _trained(batches: Iterator[pa.RecordBatch], prior: float, seed: int) -> Iterator[pa.RecordBatch]:
+    """All bags of a round -> one row: weight, bias.  Bags are bounded by the sample, not by its texts."""
+    rows, counts, order, y = [], [], [], []
+    for b in non_empty(batches):
+        rows += [np.frombuffer(x, "<i4").copy() for x in b.column("buckets").to_pylist()]
+        counts += [np.frombuffer(x, "<i4").astype(np.float32) for x in b.column("counts").to_pylist()]
+        order += zip(b.column("doc_id").to_pylist(), b.column("bag").to_pylist(), strict=True)
+        y += b.column("toxic").to_pylist()
+    # a document's bags come from one batch, so their order does not depend on the partitions
+    by = sorted(range(len(order)), key=order.__getitem__)
+    model = train([rows[i] for i in by], [counts[i] for i in by], np.array([y[i] for i in by], np.int64), prior,
+                  [order[i][0] for i in by], seed=seed)
+    yield pa.RecordBatch.from_arrays([pa.array([model.weight.astype("<f4").tobytes()], pa.binary()),
+                                      pa.array([model.bias], pa.float64())], names=["weight", "bias"])
+
+
+def _highest(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    for b in small(batches, 64):
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"),
+                                          pa.array(model.highest(b.column("text").to_pylist()))],
+                                         names=["doc_id", "toxic", "z"])
+
+
+def _fit_rounds(texts: DataFrame, prior: float) -> Model:
+    """Model of all rows of ``texts`` (doc_id, toxic, text)."""
+    model = None
+    for r in range(ROUNDS):
+        got = materialize(texts.mapInArrow(
+            functools.partial(_bags, model=model),
+            "doc_id bigint, toxic int, bag bigint, buckets binary, counts binary"), "bags")
+        row = got.coalesce(1).mapInArrow(
+            functools.partial(_trained, prior=prior, seed=FIRST_SEED + r), "weight binary, bias double").first()
+        model = Model(np.frombuffer(bytes(row["weight"]), "<f4").copy(), row["bias"])
+    return model
+
+
+def sample_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic, text, rest): labelled documents outside fold 0, at most ``SAMPLE`` of each class, in hash order.
 
-    ``labels``: doc_id, toxic.  Null labels do not count; a document labelled twice is
-    toxic if any label says so.  Only labels of documents that training can read (see
-    ``SAMPLE_CHARS``) are drawn.
+    Null labels do not count; a document labelled twice is toxic if any label says so.  Only
+    labels of documents with a text are drawn; of rows with one doc_id the smallest text
+    counts.  ``rest``: the row only calibrates.
     """
     known = (labels.where((fold(F.col("doc_id"), 5) != 0) & F.col("toxic").isNotNull())
-             .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
-    seen = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
-    texts = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS)
+             .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")))
+    texts = docs.select("doc_id", "text").where("text is not null")
     usable = materialize(known.join(texts.select("doc_id"), "doc_id", "left_semi"), "usable_labels")
     order = [F.xxhash64("doc_id"), "doc_id"]
     sample = None
     for kind, bound in enumerate(SAMPLE):
         part = usable.where(F.col("toxic") == kind).orderBy(*order).limit(bound)
         sample = part if sample is None else sample.unionByName(part)
-    rows = (texts.join(F.broadcast(sample), "doc_id")  # at most sum(SAMPLE) ids
-            .groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).toPandas())
-    rows = rows.sort_values("doc_id", kind="stable")
-    return calibrated(rows["text"].tolist(), rows["toxic"].to_numpy(np.int64), 0.1 if seen is None else seen)
+    rest = F.pmod(F.xxhash64("doc_id", F.lit("rest")), F.lit(CALIBRATE)) == 0
+    found = (texts.join(F.broadcast(sample), "doc_id")  # at most sum(SAMPLE) ids
+             .groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).withColumn("rest", rest))
+    return materialize(found.repartition(partitions(docs.sparkSession), "doc_id"), "sampled_texts")
+
+
+def train_on(docs: DataFrame, labels: DataFrame) -> Model:
+    """Model from ``sample_texts``, calibrated on its rest (not at all, if one side has one class only).
+
+    ``labels``: doc_id, toxic.
+    """
+    share = labels.where((fold(F.col("doc_id"), 5) != 0) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(
+        F.max("toxic").alias("toxic")).agg(F.avg(F.col("toxic").cast("double"))).first()[0]
+    prior = 0.1 if share is None else share
+    texts = sample_texts(docs, labels)
+    sides = {tuple(r) for r in texts.select("rest", "toxic").distinct().collect()}
+    if len(sides) < 4:
+        return _fit_rounds(texts.drop("rest"), prior)
+    model = _fit_rounds(texts.where("not rest").drop("rest"), prior)
+    held = texts.where("rest").drop("rest").mapInArrow(
+        functools.partial(_highest, model=model), "doc_id bigint, toxic int, z double").orderBy("doc_id").collect()
+    slope, shift = platt(np.array([r["z"] for r in held]), np.array([r["toxic"] for r in held]), prior)
+    return replace(model, slope=slope, shift=shift)
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:

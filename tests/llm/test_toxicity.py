@@ -46,7 +46,7 @@ def _toy():
 
 def test_unseen_misspelling_and_long_clean_context():
     texts, y = _toy()
-    model = toxicity.calibrated(texts, y, 0.5)
+    model = toxicity.calibrated(texts, y, 0.5, np.arange(len(y)) % 8 < 2)
     clean = " ".join(texts[0::2])
     assert model.scores([clean])[0] < 0.5
     assert model.scores([clean + " disgustingg worthles " + clean])[0] > 0.5
@@ -141,14 +141,108 @@ def test_a_passage_across_a_cut_is_seen_whole(monkeypatch):
         assert abs(model.highest([text])[0] - whole) < 1e-9
 
 
-def test_labels_without_a_usable_document_do_not_use_up_the_sample(spark, monkeypatch):
+def test_labels_without_a_document_do_not_use_up_the_sample(spark, monkeypatch):
     assert toxicity.SAMPLE == (6_000, 2_500)
     texts, y = _toy()
-    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
-    rows += [(i, "plain words " * 20_000, "en", "s", 1) for i in range(1000, 1200)]  # too long to train on
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)] + [(i, None, "en", "s", 1) for i in range(1000, 1200)]
     labels = [(i, 1, int(k)) for i, k in enumerate(y)] + [(i, 1, i % 2) for i in range(1000, 3000)]
     monkeypatch.setattr(toxicity, "SAMPLE", (60, 60))
-    read = []
-    monkeypatch.setattr(toxicity, "calibrated", lambda t, k, prior: read.append(k))
-    toxicity.train_on(odd(spark, rows), labels_for(spark, labels))
-    assert np.bincount(read[0]).tolist() == [60, 60]
+    got = toxicity.sample_texts(odd(spark, rows), labels_for(spark, labels)).collect()
+    assert np.bincount([r["toxic"] for r in got]).tolist() == [60, 60]
+    assert all(r["text"] == texts[r["doc_id"]] for r in got)
+
+
+def test_training_in_tasks_equals_training_in_one_process(spark, monkeypatch):
+    """Long texts train too: WHOLE and PIECE are far below some of the texts."""
+    monkeypatch.setattr(toxicity, "ROUNDS", 2)
+    monkeypatch.setattr(toxicity, "EPOCHS", 1)
+    texts, y = _toy()
+    texts[4] = " ".join(texts[0:40:2])
+    texts[5] = " ".join(texts[0:20:2] + texts[5:6] + texts[20:60:2])
+    docs = odd(spark, [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)])
+    labels = labels_for(spark, [(i, 1, int(k)) for i, k in enumerate(y)])
+    got = toxicity.train_on(docs, labels)
+    rows = sorted(toxicity.sample_texts(docs, labels).collect(), key=lambda r: r["doc_id"])
+    share = labels.where("crc32(cast(doc_id as string)) % 5 <> 0").agg({"toxic": "avg"}).first()[0]
+    want = toxicity.calibrated([r["text"] for r in rows], np.array([r["toxic"] for r in rows]), share,
+                               np.array([r["rest"] for r in rows]))
+    assert np.array_equal(got.weight, want.weight) and got.bias == want.bias
+    assert np.isclose(got.slope, want.slope) and np.isclose(got.shift, want.shift)
+
+
+def test_bags_of_long_texts_are_those_of_all_their_windows(monkeypatch):
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" * (1 + i % 3) for i in range(60)]
+    texts = [" ".join(words[j] for j in rng.integers(0, 60, n)) for n in (3, 900, 70, 2500)] + [""]
+    model = toxicity.Model(rng.standard_normal(toxicity.BUCKETS).astype(np.float32), 0.1)
+    monkeypatch.setattr(toxicity, "PIECE", 700)
+    for label, most in ((0, toxicity.HARD), (1, 1)):
+        got = list(toxicity.bags(texts, [label] * len(texts), model))
+        for i, t in enumerate(texts):
+            bucket, size = toxicity.subwords([t])
+            want = []
+            if len(bucket):
+                n, half = len(bucket), toxicity.WINDOW // 2
+                starts = sorted({min(k * half, max(n - toxicity.WINDOW, 0)) for k in range(n // half + 2)})
+                wins = [bucket[s:s + toxicity.WINDOW] for s in starts]
+                wins.sort(key=lambda w: -model.weight[w].astype(float).mean())
+                want = [sorted(w.tolist()) for w in wins[:most]]
+            mine = [sorted(np.repeat(u, c).tolist()) for j, u, c in got if j == i]
+            assert mine == want
+    monkeypatch.setattr(toxicity, "WHOLE", 100)
+    assert [i for i, _, _ in toxicity.bags(texts, [0] * 5, None)] == [i for i, t in enumerate(texts) if len(t) <= 100]
+
+
+def test_scores_equal_a_naive_average_of_subword_weights():
+    rng = np.random.default_rng(3)
+    model = toxicity.Model(rng.standard_normal(toxicity.BUCKETS).astype(np.float32), -0.4, 1.7, 0.2)
+    for text in ("One  two", "b\u00e9", "a", "  \t", "x y z " * 9):
+        raw = b" " + b" ".join(text.lower().encode().split()) + b" "
+        names = [raw[i:i + n] for i in range(len(raw)) for n in toxicity.SIZES
+                 if i + n <= len(raw) and b" " not in raw[i + 1:i + n - 1]]
+        weights = []
+        for g in names:
+            h = sum((b + 1) * int(p) for b, p in zip(g, toxicity._P, strict=False)) % 2**64
+            z = (h + len(g) - 1) * int(toxicity._MIX) % 2**64
+            weights.append(float(model.weight[((z ^ (z >> 29)) * int(toxicity._MIX) % 2**64) >> 46]))
+        assert len(weights) <= toxicity.WINDOW
+        want = 1.7 * (np.mean(weights) - 0.4 if weights else -0.4) + 0.2
+        assert np.isclose(model.scores([text])[0], 1 / (1 + np.exp(-want)))
+
+
+def test_training_step_equals_dense_gradients(monkeypatch):
+    monkeypatch.setattr(toxicity, "BUCKETS", 12)
+    rng = np.random.default_rng(4)
+    rows = [np.unique(rng.integers(0, 12, 5)) for _ in range(20)]
+    counts = [rng.integers(1, 4, len(r)).astype(np.float32) for r in rows]
+    y = np.arange(20) % 2
+    got = toxicity.train(rows, counts, y, 0.5, list(range(20)), epochs=1, seed=1, batch=20)
+    # the same step over a dense bag matrix
+    r = np.random.default_rng(1)
+    emb, out = r.standard_normal((12, toxicity.DIM)) * 0.05, r.standard_normal((toxicity.DIM, 2)) * 0.5
+    x = np.zeros((20, 12))
+    for i in range(20):
+        x[i, rows[i]] = counts[i] / counts[i].sum()
+    seen = toxicity.known_subwords(rows, y, list(range(20)))
+    x *= seen
+
+    def loss(e, o, b):
+        z = x @ e @ o + b
+        return np.mean(np.log(np.exp(z).sum(1)) - z[np.arange(20), y])
+
+    def grad(f, v):
+        g = np.zeros_like(v)
+        for k in np.ndindex(v.shape):
+            d = np.zeros_like(v)
+            d[k] = 1e-6
+            g[k] = (f(v + d) - f(v - d)) / 2e-6
+        return g
+
+    ge, go = grad(lambda e: loss(e, out, 0), emb), grad(lambda o: loss(emb, o, 0), out)
+    gb = grad(lambda b: loss(emb, out, b), np.zeros(2))
+    emb2 = emb - 3.0 * ge / np.sqrt(ge**2 + 1e-8)
+    out2 = out - 0.3 * go / np.sqrt(go**2 + 1e-8)
+    b2 = -0.3 * gb / np.sqrt(gb**2 + 1e-8)
+    diff = out2[:, 1] - out2[:, 0]
+    assert np.allclose(got.weight, np.where(seen, emb2 @ diff, 0), atol=2e-3)
+    assert np.isclose(got.bias, b2[1] - b2[0], atol=2e-3)
