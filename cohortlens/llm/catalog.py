@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlens.llm import (fingerprints, lattice, mixing, packing, quality, repair, setsketch, tokencounts, toxicity,
-                            urlfilter, warc)
+from cohortlens.llm import (fingerprints, lattice, mixing, packing, quality, repair, setsketch, spelling, tokencounts,
+                            toxicity, urlfilter, warc)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_mixing": mixing.op9,
         "op10_packing": packing.op10,
         "op12_repair": repair.op12,
+        "op13_spelling": spelling.op13,
     }
 
 
