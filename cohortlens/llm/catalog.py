@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlens.llm import (fingerprints, lattice, mixing, packing, quality, repair, setsketch, spelling, tokencounts,
+from cohortlens.llm import (fingerprints, hnsw, lattice, mixing, packing, quality, repair, setsketch, spelling, tokencounts,
                             toxicity, urlfilter, warc)
 
 
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lattice": lattice.op8,
         "op9_mixing": mixing.op9,
         "op10_packing": packing.op10,
+        "op11_hnsw": hnsw.op11,
         "op12_repair": repair.op12,
         "op13_spelling": spelling.op13,
     }
