@@ -17,6 +17,7 @@ from __future__ import annotations
 import argparse
 import datetime as dt
 import sys
+from dataclasses import replace
 
 
 def _config(a):
@@ -28,10 +29,13 @@ def _config(a):
         given["packs"] = tuple(a.pack)
     if a.tier:
         given["tiers"] = tuple(a.tier)
+    rules = {}
     if a.internal_email:
-        from dataclasses import replace
-
-        given["segment"] = replace(base.segment, internal_emails=tuple(a.internal_email))
+        rules["internal_emails"] = tuple(a.internal_email)
+    if a.exclude_device_type:
+        rules["excluded_device_types"] = tuple(a.exclude_device_type)
+    if rules:
+        given["segment"] = replace(base.segment, **rules)
     return base.with_(**given)
 
 
@@ -62,6 +66,8 @@ def _parser() -> argparse.ArgumentParser:
     t.add_argument("--pack", action="append", default=[], help="SKU pattern of a pack (repeat; replaces the default)")
     t.add_argument("--tier", action="append", default=[], help="subscription tier (repeat; replaces the default)")
     t.add_argument("--internal-email", action="append", default=[], help="LIKE pattern of internal accounts (repeat)")
+    t.add_argument("--exclude-device-type", action="append", type=int, default=[],
+                   help="leave out users of devices of this type (repeat)")
     for x in (r, t):
         x.add_argument("--sf-dir", required=x is r, default=None)
         x.add_argument("--out")

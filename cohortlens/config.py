@@ -26,6 +26,7 @@ PACK_PATTERNS = ("app.credits.pack1%", "app.credits.pack2%", "app.credits.pack3%
 FREE_TIER = "FREE_PREMIUM"
 PAID_TIERS = ("MOBILE_PREMIUM_S", "MOBILE_PREMIUM_M", "MOBILE_PREMIUM_L")
 PREMIUM_ARMS = (1, 2, 5)
+EXCLUDED_DEVICE_TYPES = (3,)
 EXPERIMENT_ARMS = (
     ("premium", 1), ("premium", 2), ("premium", 5), ("sales", 4),
     ("paid chats", 10), ("paid chats", 11), ("paid listing", 9),
@@ -63,6 +64,8 @@ class SegmentRules:
     subscriptions: bool = False
     excluded_tier: str = FREE_TIER
     arms: tuple[int, ...] = ()
+    # employers linked to a device of one of these types are left out (null-aware NOT IN)
+    excluded_device_types: tuple[int, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -154,3 +157,6 @@ PAID_B = ReportConfig(SEG_PAID_B, D(2016, 11, 28), D(2017, 2, 13), D(2016, 12, 5
                       rank_mode="timestamp", name="paid_b")
 # spine end on a Tuesday, as in the premium script: last week is the Monday before
 PREMIUM = ReportConfig(SEG_PREMIUM, D(2016, 12, 5), D(2017, 2, 14), D(2016, 12, 5), name="premium")
+# the premium arm with the device rule that the premium script holds disabled
+PREMIUM_DEVICES = PREMIUM.with_(segment=replace(SEG_PREMIUM, excluded_device_types=EXCLUDED_DEVICE_TYPES),
+                                name="premium_devices")

@@ -71,7 +71,8 @@ def employer_filter(rules: SegmentRules):
     return pred & like_all_not("email", rules.internal_emails)
 
 
-def exclude_holders(df: DataFrame, holders: DataFrame, key: str = "employer_id") -> DataFrame:
+def exclude_holders(df: DataFrame, holders: DataFrame, key: str = "employer_id",
+                    only: tuple[str, DataFrame] | None = None) -> DataFrame:
     """``key NOT IN (SELECT user_id FROM holders)`` with SQL NULL semantics.
 
     Spark plans a literal NOT IN as a null-aware anti join, which can
@@ -82,18 +83,40 @@ def exclude_holders(df: DataFrame, holders: DataFrame, key: str = "employer_id")
     anti-joined with.  The NULL rules are two scalar subqueries: a NULL
     holder id empties the result; a NULL key is kept only when the holder
     list is empty.
+
+    ``only`` = (column of ``holders``, table with that column) makes the list a join of two
+    tables: a holder row counts if its column is in the table.  The second table meets only
+    the rows that the candidates (or the NULL rule) have left of the first.
     """
-    ids = holders.select(F.col("user_id").alias("_holder_id"))
+    column, listed = only or (None, None)
+    ids = holders.select(F.col("user_id").alias("_holder_id"), *([column] if only else []))
+
+    def counted(rows: DataFrame) -> DataFrame:
+        return rows.join(listed, column, "left_semi") if only else rows
+
     df = materialize(df, "candidates")
     cand = broadcast_if_small(df.select(F.col(key).alias("_holder_id")))
-    matched = broadcast_if_small(materialize(ids.join(cand, "_holder_id", "left_semi"), "matched_holders"))
+    matched = counted(ids.join(cand, "_holder_id", "left_semi")).select("_holder_id")
+    matched = broadcast_if_small(materialize(matched, "matched_holders"))
     kept = df.join(matched, F.col(key) == F.col("_holder_id"), "left_anti")
-    null_probe = ids.where(F.col("_holder_id").isNull()).select(F.lit(1).alias("_n")).limit(1)
-    any_probe = ids.select(F.lit(1).alias("_a")).limit(1)
+    null_probe = counted(ids.where(F.col("_holder_id").isNull())).select(F.lit(1).alias("_n")).limit(1)
+    any_probe = counted(ids).select(F.lit(1).alias("_a")).limit(1)
     return kept.where(null_probe.scalar().isNull()
                       & (F.col(key).isNotNull() | any_probe.scalar().isNull()))
 
 
+def exclude_device_types(df: DataFrame, src: Sources, types: tuple[int, ...]) -> DataFrame:
+    """Employers NOT IN the users linked to a device of one of ``types``, with SQL NULL semantics.
+
+    The devices of those types are written once and broadcast to the links if they are small.
+    A link without a device in ``devices`` does not count.
+    """
+    if src.device_links is None or src.devices is None:
+        raise ValueError("excluded_device_types needs the tables refs_devices_users and devices")
+    listed = small_side(src.devices.where(F.col("type").isin(list(types))).select(F.col("id").alias("device_id")), "devices")
+    return exclude_holders(df, src.device_links, only=("device_id", listed))
+
+
 def build_segment(src: Sources, cfg: ReportConfig, materialized: bool = True) -> Segment:
     """Segment rows and employers.
 
@@ -117,6 +140,8 @@ def build_segment(src: Sources, cfg: ReportConfig, materialized: bool = True) ->
         emp = emp.join(src.users.select(F.col("id").alias("employer_id")), "employer_id")
     if rules.holders == "exclude":
         emp = exclude_holders(emp, src.holders)
+    if rules.excluded_device_types:
+        emp = exclude_device_types(emp, src, rules.excluded_device_types)
     emp = emp.withColumn("cohort_week", week_of("registration_date")).select(*EMPLOYER_COLS)
     if materialized:
         emp = small_side(emp, "segment")

@@ -87,6 +87,13 @@ def _seg_premium(src):
     return _seg(src, C.PREMIUM).rows
 
 
+@register("segment_uk_premium_devices", lambda: O.with_(C.PREMIUM_DEVICES, "select employer_id, registration_date, "
+          "cohort_week, subscription_id, name, created, test_id from seg"))
+def _seg_premium_devices(src):
+    """The premium segment without users of the excluded device types."""
+    return _seg(src, C.PREMIUM_DEVICES).rows
+
+
 # ---------------------------------------------------------------- B2 funnel
 @register("weeks_after", lambda: O.with_(C.FREE_A, O.weeks_after_sql()))
 def _weeks_after(src):
@@ -341,6 +348,13 @@ def _report_premium_uk(src):
     return report.report_premium(src, C.PREMIUM)
 
 
+@register("report_premium_uk_devices", lambda: O.report_sql(C.PREMIUM_DEVICES, "premium", {
+          "published": "published_ep", "pwc": "publ_ep_who_chat"}))
+def _report_premium_uk_devices(src):
+    """R5 with the device rule of J9."""
+    return report.report_premium(src, C.PREMIUM_DEVICES)
+
+
 # ---------------------------------------------------------------- B7 ad hoc
 def _organic(alias="e"):
     ch = C.ORGANIC_CHANNELS

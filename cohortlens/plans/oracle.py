@@ -56,6 +56,10 @@ def _seg(cfg: ReportConfig) -> str:
         where.append(f"e.email not like {q(p)}")
     if r.holders == "exclude":
         where.append("e.employer_id not in (select user_id from user_balance)")
+    if r.excluded_device_types:
+        types = ", ".join(str(t) for t in r.excluded_device_types)
+        where.append("e.employer_id not in (select rdu.user_id from refs_devices_users rdu join devices dv "
+                     f"on rdu.device_id = dv.id where dv.type in ({types}))")
     where.append(f"{wk('e.registration_date')} >= {d(cfg.cohort_from)}")
     if cfg.cohort_to:
         where.append(f"{wk('e.registration_date')} <= {d(cfg.cohort_to)}")

@@ -68,12 +68,18 @@ VIEW_SQL: dict[str, str] = {
                         (2, 'app.credits.pack2'), (3, 'app.credits.pack2.v2'),
                         (4, 'app.credits.pack3'), (5, 'app.credits.pack3.v2'),
                         (6, 'app.other')) as t(id, sku)""",
+    "refs_devices_users": """
+  select o_custkey as user_id, l_suppkey as device_id
+  from {lineitem} join {orders} on l_orderkey = o_orderkey
+  where l_linenumber = 1 and o_orderpriority = '1-URGENT'""",
+    "devices": """
+  select s_suppkey as id, cast(s_nationkey % 8 as int) as type from {supplier}""",
     "experiment_arms": """
   select * from (values ('premium', 1), ('premium', 2), ('premium', 5), ('sales', 4),
                         ('paid chats', 10), ('paid chats', 11), ('paid listing', 9)) as t(product, test_id)""",
 }
 
-_BASE_NAMES = ("customer", "nation", "orders", "lineitem")
+_BASE_NAMES = ("customer", "nation", "orders", "lineitem", "supplier")
 
 
 def duckdb_prefix(wrap: dict[str, str] | None = None) -> str:
@@ -94,7 +100,10 @@ def duckdb_prefix(wrap: dict[str, str] | None = None) -> str:
 
 @dataclass
 class Sources:
-    """The ten marketplace inputs as DataFrames (explicit columns, no nesting)."""
+    """The marketplace inputs as DataFrames (explicit columns, no nesting).
+
+    The two device tables are needed only by segments that exclude device types.
+    """
 
     employers: DataFrame      # employers_dim
     jobs: DataFrame           # jobs_dim
@@ -106,6 +115,8 @@ class Sources:
     payments: DataFrame       # payment
     purchases: DataFrame      # purchases (id, sku); the SKU column is renamed on load
     arms: DataFrame           # experiment arm map (product, test_id)
+    device_links: DataFrame | None = None  # refs_devices_users: user_id, device_id
+    devices: DataFrame | None = None       # devices: id, type
 
     @classmethod
     def from_tables(cls, spark: SparkSession, names: dict[str, str]) -> "Sources":
@@ -118,7 +129,8 @@ class Sources:
         return cls(employers=v["employers_dim"], jobs=v["jobs_dim"], chats=v["chats_activity"],
                    holders=v["user_balance"], users=v["users"], ledger=v["user_balance_history"],
                    subscriptions=v["user_subscriptions_history"], payments=v["payment"],
-                   purchases=v["purchases"], arms=v["experiment_arms"])
+                   purchases=v["purchases"], arms=v["experiment_arms"],
+                   device_links=v.get("refs_devices_users"), devices=v.get("devices"))
 
 
 def load_sources(spark: SparkSession, sf_dir: str, wrap: dict[str, str] | None = None) -> Sources:

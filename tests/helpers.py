@@ -19,6 +19,8 @@ SCHEMAS = {
     "payment": "id bigint, user_id bigint, purchase_id int, created date",
     "purchases": "id int, sku string",
     "experiment_arms": "product string, test_id int",
+    "refs_devices_users": "user_id bigint, device_id bigint",
+    "devices": "id bigint, type int",
 }
 
 D = dt.date

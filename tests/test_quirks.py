@@ -179,3 +179,35 @@ def test_repeat_week_from_week_counts(spark):
     for r in ranked.where("pur_order > 1").collect():
         exp[r.user_id] = min(exp.get(r.user_id, r.pay_week), r.pay_week)
     assert got == exp
+
+
+def _device_segment(spark, links, devices, emps=(1, 2, 3), types=(3,)):
+    from dataclasses import replace
+
+    cfg = C.FREE_A.with_(segment=replace(C.SEG_FREE_A, excluded_device_types=types))
+    src = make_sources(spark, employers_dim=[employer(e, D(2016, 12, 6)) for e in emps],
+                       refs_devices_users=links, devices=devices)
+    return sorted((r.employer_id for r in build_segment(src, cfg).employers.collect()), key=str)
+
+
+def test_device_exclusion_and_its_null_rules(spark):
+    devices = [(10, 3), (11, 1), (12, 4), (13, None), (None, 3)]
+    # 1 uses an excluded device, 2 another one, 3 one that is not in the table
+    links = [(1, 10), (1, 11), (2, 11), (2, 13), (3, 99), (3, None)]
+    assert _device_segment(spark, links, devices) == [2, 3]
+    assert _device_segment(spark, links, devices, types=(1, 4)) == [3]
+    # a NULL user of an excluded device empties the result; of another device it does not
+    assert _device_segment(spark, [*links, (None, 10)], devices) == []
+    assert _device_segment(spark, [*links, (None, 11)], devices) == [2, 3]
+    # a NULL employer is kept only if the list is empty
+    assert _device_segment(spark, links, devices, emps=(2, None)) == [2]
+    assert _device_segment(spark, [(2, 11)], devices, emps=(2, None)) == [2, None]
+    assert _device_segment(spark, [], [], emps=(1, 2)) == [1, 2]
+
+
+def test_device_exclusion_needs_its_tables(spark):
+    from dataclasses import replace
+
+    src = replace(make_sources(spark, employers_dim=[employer(1, D(2016, 12, 6))]), devices=None)
+    with pytest.raises(ValueError, match="refs_devices_users"):
+        build_segment(src, C.PREMIUM_DEVICES)
