@@ -64,7 +64,7 @@ def first_payments(pay: DataFrame, cfg: ReportConfig) -> DataFrame:
         "user_id", *[F.col(f"_m.{c}").alias(c) for c in ("id", "sku", "pay_week", "cohort_week")])
 
 
-def repeat_weeks(pay: DataFrame, entity: str = "user_id", week: str = "pay_week") -> DataFrame:
+def repeat_weeks(pay: DataFrame, entity: str = "user_id", week: str = "pay_week", count=None) -> DataFrame:
     """Week of each user's first repeat payment (order number 2), without ranking rows.
 
     Under both ranking rules order number 1 lies in the user's earliest
@@ -72,8 +72,9 @@ def repeat_weeks(pay: DataFrame, entity: str = "user_id", week: str = "pay_week"
     when w1 holds two or more payments, else the user's second distinct
     week.  Computed from per-(user, week) counts, whose size per user is
     bounded by the number of calendar weeks, not by the payment volume.
+    ``count``: number of payments of a group of ``pay``'s rows (default: the rows).
     """
-    per_week = pay.groupBy("cohort_week", entity, week).agg(F.count(F.lit(1)).alias("_n"))
+    per_week = pay.groupBy("cohort_week", entity, week).agg((F.count(F.lit(1)) if count is None else count).alias("_n"))
     per_user = per_week.groupBy("cohort_week", entity).agg(
         F.min(week).alias("_w1"),
         F.min_by("_n", week).alias("_n1"),
@@ -138,16 +139,19 @@ def _weekly(pay: DataFrame, cfg: ReportConfig) -> DataFrame:
                      & (wk >= F.col("cohort_week"))).withColumnRenamed("pay_week", "activity_week")
 
 
-def pack_orders_raw(pay: DataFrame, cfg: ReportConfig) -> DataFrame:
-    """Orders per pack, grouped by the hidden SKU, then de-duplicated."""
+def pack_orders_raw(pay: DataFrame, cfg: ReportConfig, count=None) -> DataFrame:
+    """Orders per pack, grouped by the hidden SKU, then de-duplicated.
+
+    ``count``: number of orders of a group of ``pay``'s rows (default: distinct ids).
+    """
     counts = _weekly(pay, cfg).groupBy("cohort_week", "activity_week", "sku").agg(
-        F.count_distinct("id").alias("_n"))
+        (F.count_distinct("id") if count is None else count).alias("_n"))
     return _pattern_columns(counts, "sku", cfg.packs, cfg.pack_names)
 
 
-def pack_orders_pivot(pay: DataFrame, cfg: ReportConfig) -> DataFrame:
+def pack_orders_pivot(pay: DataFrame, cfg: ReportConfig, count=None) -> DataFrame:
     """Sum of M18 per cohort and week."""
-    return _sum_columns(pack_orders_raw(pay, cfg), cfg.pack_names)
+    return _sum_columns(pack_orders_raw(pay, cfg, count), cfg.pack_names)
 
 
 def first_purchasers(pay: DataFrame, cfg: ReportConfig) -> DataFrame:
@@ -174,14 +178,16 @@ def first_orders_raw(pay: DataFrame, cfg: ReportConfig) -> DataFrame:
     return firsts.unionByName(nulls, allowMissingColumns=True).distinct()
 
 
-def first_orders_pivot(pay: DataFrame, cfg: ReportConfig) -> DataFrame:
+def first_orders_pivot(pay: DataFrame, cfg: ReportConfig, first: DataFrame | None = None) -> DataFrame:
     """Sum of M24.
 
     Only first payments carry values (grouped by hidden SKU, then
     de-duplicated); every other (cohort, week) with a payment keeps its
     row with NULL sums, as the grouping over all payments does.
+    ``first``: the users' first payments, if known.
     """
-    counts = _weekly(first_payments(pay, cfg), cfg).groupBy("cohort_week", "activity_week", "sku").agg(
+    first = first_payments(pay, cfg) if first is None else first
+    counts = _weekly(first, cfg).groupBy("cohort_week", "activity_week", "sku").agg(
         F.count_distinct("id").alias("_n"))
     weeks = _weekly(pay, cfg).select("cohort_week", "activity_week").distinct()
     raw = _pattern_columns(counts, "sku", cfg.packs, cfg.first_names).unionByName(weeks, allowMissingColumns=True)
@@ -206,6 +212,6 @@ def ranked_family_payments(pay: DataFrame, cfg: ReportConfig) -> DataFrame:
     return keyed_scan(pay, "user_id", order, "pur_order")
 
 
-def cum_repeat_purchasers(pay: DataFrame, cfg: ReportConfig) -> DataFrame:
+def cum_repeat_purchasers(pay: DataFrame, cfg: ReportConfig, count=None) -> DataFrame:
     """Users with a repeat payment (order number > 1) in a week <= the activity week."""
-    return cumulative_distinct(repeat_weeks(pay), cfg, "cum_unique_rep_purchasers")
+    return cumulative_distinct(repeat_weeks(pay, count=count), cfg, "cum_unique_rep_purchasers")

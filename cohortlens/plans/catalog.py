@@ -10,14 +10,18 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cohortlens import config as C
 from cohortlens.operators import adhoc, balance, funnel, orders, subscriptions
 from cohortlens.operators.segments import build_segment
+from cohortlens.operators.snapshots import BalanceState
 from cohortlens.plans import oracle as O
-from cohortlens.plans import report
+from cohortlens.plans import refresh, report
+from cohortlens.session import scratch_folder
 from cohortlens.sources.fixtures import load_sources
 
 # Parameters of the ad-hoc checks on the fixture calendar.
@@ -355,6 +359,67 @@ def _report_premium_uk_devices(src):
     return report.report_premium(src, C.PREMIUM_DEVICES)
 
 
+# ---------------------------------------------------------------- kept up to date week by week
+# Where the fixture calendar is cut into a history and weekly batches.
+HISTORY_UNTIL = dt.date(2017, 1, 23)
+REFRESH_BATCHES = ((dt.date(2017, 1, 23), dt.date(2017, 1, 30)), (dt.date(2017, 2, 6), dt.date(2017, 2, 13)),
+                   (dt.date(2017, 1, 16),))  # the last one re-opens a week
+
+
+def _weekly_state(src):
+    """The state after a history and several weekly batches, each reading its own weeks only."""
+    spark = src.jobs.sparkSession
+    state = refresh.WeeklyState(spark, scratch_folder(spark, "weekly_state"))
+    past = {name: getattr(src, name).where(F.col(column) < F.lit(HISTORY_UNTIL))
+            for name, (_, column) in state.TABLES.items()}
+    state.refresh(replace(src, **past), "history", ledger=src.ledger.where(F.col("created") < F.lit(HISTORY_UNTIL)))
+    for i, weeks in enumerate(REFRESH_BATCHES):
+        new = src.ledger.where(refresh.in_weeks("created", list(weeks)))
+        state.refresh(src, f"batch{i}", list(weeks), new if weeks[0] >= HISTORY_UNTIL else None)
+    return state
+
+
+@register("report_free_uk_refreshed", lambda: O.report_sql(C.FREE_A, "free", {"published": "published_eps",
+          "pwc": "publ_eps_who_chat", "sent": "ep_chats_sent"}))
+def _report_free_uk_refreshed(src):
+    """R1 from the weekly state."""
+    return _weekly_state(src).report_free(src, C.FREE_A)
+
+
+@register("report_paid_uk_refreshed", lambda: O.report_sql(C.PAID_A, "paid", {"published": "published_ep",
+          "pwc": "publ_ep_who_chat", "orders": "orders"}))
+def _report_paid_uk_refreshed(src):
+    """R3 from the weekly state."""
+    return _weekly_state(src).report_paid(src, C.PAID_A)
+
+
+@register("report_paid_es_refreshed", lambda: O.report_sql(C.PAID_B, "paid", {"published": "published_ep",
+          "pwc": "publ_ep_who_chat", "orders": "total_orders"}))
+def _report_paid_es_refreshed(src):
+    """R4 from the weekly state (payments ranked by time)."""
+    return _weekly_state(src).report_paid(src, C.PAID_B, orders_name="total_orders")
+
+
+@register("report_premium_uk_refreshed", lambda: O.report_sql(C.PREMIUM, "premium", {"published": "published_ep",
+          "pwc": "publ_ep_who_chat"}))
+def _report_premium_uk_refreshed(src):
+    """R5 from the weekly state."""
+    return _weekly_state(src).report_premium(src, C.PREMIUM)
+
+
+@register("running_balance_refreshed", lambda: O.with_(C.PAID_A, "select id, user_id, balance_change, created, "
+          "cast(balance as bigint) as balance from balance"))
+def _running_balance_refreshed(src):
+    """M28 kept up to date: a history, newer rows, and late rows that re-open users."""
+    spark = src.ledger.sparkSession
+    state = BalanceState(spark, scratch_folder(spark, "balance_state"))
+    late, past = F.col("id") % 7 == 0, F.col("created") < F.lit(HISTORY_UNTIL)
+    state.apply(src.ledger.where(past & ~late), "history")
+    state.apply(src.ledger.where(~past & ~late), "newer")
+    state.apply(src.ledger.where(late), "late")
+    return state.balances()
+
+
 # ---------------------------------------------------------------- B7 ad hoc
 def _organic(alias="e"):
     ch = C.ORGANIC_CHANNELS

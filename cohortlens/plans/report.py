@@ -82,16 +82,47 @@ def _funnel_metrics(src: Sources, seg: Segment, cumulative: bool, pairs: DataFra
     return out
 
 
+def free_columns(sent_name: str) -> list[tuple[str, str]]:
+    return [("registrations", "registrations"), ("published_eps", "published_ep"), ("listings", "listings"),
+            ("publ_eps_who_chat", "publ_ep_who_chat"), ("ep_chat_sessions", "ep_chat_sessions"),
+            (sent_name, "ep_chats_sent")]
+
+
+def paid_columns(cfg: ReportConfig, orders_name: str) -> list[tuple[str, str]]:
+    cols = [("registrations", "registrations"), ("published_ep", "published_ep"), ("listings", "listings"),
+            ("publ_ep_who_chat", "publ_ep_who_chat"), ("cum_publ_ep_who_chat", "cum_publ_ep_who_chat"),
+            ("ep_chat_sessions", "ep_chat_sessions"), ("ep_chat_messages_sent", "ep_chats_sent"),
+            ("cum_eps_who_reached_0_credits", "cum_eps_who_reached_0_credits"),
+            ("purchasing_eps", "purchasing_eps"), ("unique_purchasing_eps", "unique_purchasing_eps"),
+            (orders_name, "total_orders")]
+    return cols + [(n, n) for n in cfg.pack_names + cfg.first_names] + [
+        ("cum_unique_rep_purchasers", "cum_unique_rep_purchasers")]
+
+
+def premium_columns(cfg: ReportConfig) -> list[tuple[str, str]]:
+    cols = [("registrations", "registrations"), ("published_ep", "published_ep"), ("listings", "listings"),
+            ("publ_ep_who_chat", "publ_ep_who_chat"), ("ep_chat_sessions", "ep_chat_sessions"),
+            ("ep_chat_messages_sent", "ep_chats_sent"), ("purchasing_eps", "purchasing_eps"),
+            ("unique_purchasing_eps", "unique_purchasing_eps"), ("orders", "total_orders")]
+    return cols + [(n, n) for n in cfg.tier_names + cfg.first_tier_names] + [
+        ("cum_unique_rep_purchasers", "cum_unique_rep_purchasers")]
+
+
+def subscription_metrics(seg: Segment, reuse: bool = True, ev: DataFrame | None = None) -> list[DataFrame]:
+    ev = ev if ev is not None else _keep(subscriptions.paid_tier_events(seg), "subscriptions", reuse)
+    return [subscriptions.sub_totals(ev, seg.cfg), subscriptions.sub_first_purchasers(ev, seg.cfg),
+            subscriptions.sub_order_pivot(ev, seg.cfg), subscriptions.sub_first_orders_pivot(ev, seg.cfg),
+            subscriptions.sub_cum_repeat_purchasers(ev, seg.cfg)]
+
+
 def report_free(src: Sources, cfg: ReportConfig, sent_name: str = "ep_chats_sent",
                 reuse: bool = True) -> DataFrame:
     """Free-user report (9 columns)."""
     seg = shared_segment(src, cfg, reuse)
-    cols = [("registrations", "registrations"), ("published_eps", "published_ep"), ("listings", "listings"),
-            ("publ_eps_who_chat", "publ_ep_who_chat"), ("ep_chat_sessions", "ep_chat_sessions"),
-            (sent_name, "ep_chats_sent")]
     jobs = _good_jobs(src, seg, reuse)
     pairs = _chat_pairs(src, seg, reuse, jobs)
-    return assemble(seg, _funnel_metrics(src, seg, cumulative=False, pairs=pairs, jobs=jobs), cols)
+    return assemble(seg, _funnel_metrics(src, seg, cumulative=False, pairs=pairs, jobs=jobs),
+                    free_columns(sent_name))
 
 
 def report_paid(src: Sources, cfg: ReportConfig, orders_name: str = "orders", reuse: bool = True) -> DataFrame:
@@ -112,15 +143,7 @@ def report_paid(src: Sources, cfg: ReportConfig, orders_name: str = "orders", re
         orders.first_orders_pivot(pay, cfg),
         orders.cum_repeat_purchasers(pay, cfg),
     ]
-    cols = [("registrations", "registrations"), ("published_ep", "published_ep"), ("listings", "listings"),
-            ("publ_ep_who_chat", "publ_ep_who_chat"), ("cum_publ_ep_who_chat", "cum_publ_ep_who_chat"),
-            ("ep_chat_sessions", "ep_chat_sessions"), ("ep_chat_messages_sent", "ep_chats_sent"),
-            ("cum_eps_who_reached_0_credits", "cum_eps_who_reached_0_credits"),
-            ("purchasing_eps", "purchasing_eps"), ("unique_purchasing_eps", "unique_purchasing_eps"),
-            (orders_name, "total_orders")]
-    cols += [(n, n) for n in cfg.pack_names + cfg.first_names]
-    cols += [("cum_unique_rep_purchasers", "cum_unique_rep_purchasers")]
-    return assemble(seg, metrics, cols, order=("cohort_week", "activity_week", "weeks_after"))
+    return assemble(seg, metrics, paid_columns(cfg, orders_name), order=("cohort_week", "activity_week", "weeks_after"))
 
 
 def report_premium(src: Sources, cfg: ReportConfig, reuse: bool = True) -> DataFrame:
@@ -130,18 +153,6 @@ def report_premium(src: Sources, cfg: ReportConfig, reuse: bool = True) -> DataF
     built = build_concurrently({
         "pairs": lambda: _chat_pairs(src, seg, reuse, jobs),
         "ev": lambda: _keep(subscriptions.paid_tier_events(seg), "subscriptions", reuse)})
-    ev = built["ev"]
-    metrics = _funnel_metrics(src, seg, cumulative=False, pairs=built["pairs"], jobs=jobs) + [
-        subscriptions.sub_totals(ev, cfg),
-        subscriptions.sub_first_purchasers(ev, cfg),
-        subscriptions.sub_order_pivot(ev, cfg),
-        subscriptions.sub_first_orders_pivot(ev, cfg),
-        subscriptions.sub_cum_repeat_purchasers(ev, cfg),
-    ]
-    cols = [("registrations", "registrations"), ("published_ep", "published_ep"), ("listings", "listings"),
-            ("publ_ep_who_chat", "publ_ep_who_chat"), ("ep_chat_sessions", "ep_chat_sessions"),
-            ("ep_chat_messages_sent", "ep_chats_sent"), ("purchasing_eps", "purchasing_eps"),
-            ("unique_purchasing_eps", "unique_purchasing_eps"), ("orders", "total_orders")]
-    cols += [(n, n) for n in cfg.tier_names + cfg.first_tier_names]
-    cols += [("cum_unique_rep_purchasers", "cum_unique_rep_purchasers")]
-    return assemble(seg, metrics, cols, order=("cohort_week", "activity_week", "weeks_after", "published_ep"))
+    metrics = _funnel_metrics(src, seg, cumulative=False, pairs=built["pairs"], jobs=jobs) + subscription_metrics(
+        seg, ev=built["ev"])
+    return assemble(seg, metrics, premium_columns(cfg), order=("cohort_week", "activity_week", "weeks_after", "published_ep"))

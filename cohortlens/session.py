@@ -75,6 +75,13 @@ def delete_intermediates(spark: SparkSession) -> int:
     return len(paths)
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path under the shared checkpoint folder; ``delete_intermediates`` removes what is written there."""
+    path = os.path.join(ensure_checkpoint_dir(spark), "cohortlens", f"{name}-{uuid.uuid4().hex}")
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once as Parquet under the shared checkpoint folder and read it back.
 
@@ -85,8 +92,7 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     range-partitioned scan, which must see identical partitions.
     """
     spark = df.sparkSession
-    path = os.path.join(ensure_checkpoint_dir(spark), "cohortlens", f"{name}-{uuid.uuid4().hex}")
-    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    path = scratch_folder(spark, name)
     df.write.mode("error").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
