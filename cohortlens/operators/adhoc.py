@@ -98,8 +98,8 @@ def chat_ratio(src: Sources, week: dt.date | None = None) -> DataFrame:
 
 
 def balance_ledger(src: Sources) -> DataFrame:
-    """T5: the running balance, sorted by user and time."""
-    return running_balance(src.ledger).orderBy("user_id", "created", "id")
+    """T5: the running balance, sorted by user, time and id (NULLs last) in the ranges that the scan has made."""
+    return running_balance(src.ledger, ordered_by=["id"])
 
 
 def pack_buyers(src: Sources, cohort_from: dt.date) -> DataFrame:

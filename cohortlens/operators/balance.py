@@ -16,15 +16,15 @@ from cohortlens.sources.fixtures import Sources
 LEDGER_COLS = ("id", "user_id", "balance_change", "created")
 
 
-def running_balance(ledger: DataFrame) -> DataFrame:
+def running_balance(ledger: DataFrame, ordered_by: list[str] | None = None) -> DataFrame:
     """``sum(balance_change) over (partition by user_id order by created)``.
 
     The default RANGE frame: ledger rows of one user with the same
     ``created`` share one balance (Q7); amounts keep their type, and a sum
-    over NULLs only is NULL.  Computed with the skew-safe scan.
+    over NULLs only is NULL.  Computed with the skew-safe scan; ``ordered_by``: see there.
     """
     return keyed_scan(ledger.select(*LEDGER_COLS), "user_id", ["created"], "balance",
-                      mode="range", value="balance_change")
+                      mode="range", value="balance_change", ordered_by=ordered_by)
 
 
 def zero_credit_rows(src: Sources, seg: Segment) -> DataFrame:

@@ -143,11 +143,13 @@ def build_segment(src: Sources, cfg: ReportConfig, materialized: bool = True) ->
     if rules.excluded_device_types:
         emp = exclude_device_types(emp, src, rules.excluded_device_types)
     emp = emp.withColumn("cohort_week", week_of("registration_date")).select(*EMPLOYER_COLS)
+    if repeats:  # written once, with the number of rows of each employer
+        emp = emp.groupBy(*EMPLOYER_COLS).agg(F.count(F.lit(1)).alias("_times"))
     if materialized:
         emp = small_side(emp, "segment")
-    once = emp.distinct() if repeats else emp
-    if materialized and repeats:
-        once = small_side(once, "segment_employers")
+    once = emp.select(*EMPLOYER_COLS)
+    if repeats:
+        emp = emp.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_times")))).select(*EMPLOYER_COLS)
 
     if not rules.subscriptions:
         return Segment(rows=emp, employers=once, cfg=cfg)

@@ -95,3 +95,32 @@ def test_null_amounts_only(spark):
     df = spark.createDataFrame([(1, 1, None), (1, 2, None), (1, 3, 4), (1, 4, None)], "user_id bigint, t int, v int")
     got = keyed_scan(df, "user_id", ["t"], "s", mode="range", value="v", num_partitions=3).orderBy("t").collect()
     assert [r["s"] for r in got] == [None, None, 4, 4]
+
+
+@pytest.mark.parametrize("parts", [1, 6, 11])
+def test_kept_order_is_global_and_needs_one_range_exchange(spark, data, parts):
+    got = keyed_scan(data, "user_id", ["t"], "s", mode="range", value="v", num_partitions=parts, ordered_by=["id"])
+    rows = [(r["user_id"] is None, r["user_id"], r["t"], r["id"]) for r in got.collect()]
+    assert rows == sorted(rows, key=lambda r: (r[0], r[1] or 0, r[2], r[3])) and len(rows) == data.count()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan
+    plain = keyed_scan(data, "user_id", ["t"], "s", mode="range", value="v", num_partitions=parts)
+    assert got.exceptAll(plain).count() == 0
+
+
+def test_no_exchange_by_user_for_the_offsets(spark, data):
+    """What is exchanged for the offsets are one row a partition; no exchange is on the user."""
+    import re
+
+    got = keyed_scan(data, "user_id", ["t"], "s", mode="range", value="v", num_partitions=6, ordered_by=[])
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\([^)]*user_id", plan)
+
+
+def test_a_key_over_many_partitions_and_keys_that_fill_one(spark):
+    rows = [(1, i, 1) for i in range(50)] + [(2, i, 1) for i in range(3)] + [(None, i, 1) for i in range(40)]
+    df = spark.createDataFrame(rows, "user_id bigint, t int, v int")
+    for parts in (2, 9, 30):
+        got = keyed_scan(df, "user_id", ["t"], "s", mode="range", value="v", num_partitions=parts)
+        assert all(r["s"] == r["t"] + 1 for r in got.collect())
