@@ -29,14 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import materialize, non_empty, table
+from cohortlens.llm.common import materialize, mix2, non_empty, splitmix, table
 
 LETTERS = r"[A-Za-zÀ-ÿ]"
 LEAST = 7  # code points of a word
 TWICE = 2  # occurrences of a word
 RATIO = 10
 SPOILT = 31
-BLOCK = 4096
+BLOCK = 1 << 15
+CHUNK = 1 << 16  # rows of whole groups that a task matches at a time
+PAIRS = 1 << 18  # candidate pairs verified at a time
+WIDE = 64  # letters of the words that are matched in matrices; longer ones are met one by one
 FEW = 100_000  # rows of a side that is broadcast
 STEPS = 5  # doublings that reach the end of 2^5 > 19 steps
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -145,59 +148,170 @@ def near(r: str, s: str) -> bool:
     return r[k:] == s[k + 1:] if m < len(s) else k < m and r[k + 1:] == s[k + 1:]
 
 
-def _meet(index: list, probes: list) -> Iterator[tuple[tuple, tuple]]:
-    """Near pairs (probe, index row) of a bucket; rows are (last, word, n)."""
-    by_length: dict[int, list] = {}
-    for p in probes:
-        by_length.setdefault(len(p[1]), []).append(p)
-    for length, some in by_length.items():
+def _letters(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(code points end to end, first one of each word and the end) of words without letters above U+00FF.
+
+    In UTF-8 such a letter is one byte below 0x80, or 0xC3 and the code point less 0x40.
+    """
+    column = column.cast(pa.string())
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
+    raw = np.frombuffer(column.buffers()[2], np.uint8)[at[0]:at[-1]]
+    lead = raw == 0xC3
+    before = np.concatenate([[0], np.cumsum(lead)])
+    return np.where(raw >= 0x80, raw + np.uint8(0x40), raw)[~lead], at - at[0] - before[at - at[0]]
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Whole groups of rows with equal (key, bi, bj), about ``rows`` at a time."""
+    held, n = [], 0
+    for b in non_empty(batches):
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            both = pa.Table.from_batches(held)
+            keys = [both.column(c).to_numpy() for c in ("key", "bi", "bj")]
+            other = np.flatnonzero(np.logical_or.reduce([k != k[-1] for k in keys]))
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if cut:
+                yield both.slice(0, cut)
+            held, n = both.slice(cut).to_batches(), both.num_rows - cut
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+class _Words:
+    """Rows of a chunk: letters as a padded matrix and hashes of all prefixes, for words of up to ``WIDE`` letters."""
+
+    BASE = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, part: pa.Table):
+        flat, at = _letters(part.column("word").combine_chunks())
+        self.size = np.diff(at)
+        width = int(min(self.size.max(), WIDE)) + 1
+        place = at[:-1, None] + np.arange(width)
+        inside = np.arange(width) < self.size[:, None]
+        self.letter = np.where(inside, flat[np.minimum(place, len(flat) - 1)], 0).astype(np.uint8)
+        self.prefix = np.zeros((width + 1, len(self.size)), np.uint64)
+        self.power = np.ones(width + 1, np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(width):
+                self.prefix[k + 1] = self.prefix[k] * self.BASE + self.letter[:, k]
+                self.power[k + 1] = self.power[k] * self.BASE
+
+    def halves(self, rows: np.ndarray, other: np.ndarray) -> list[np.ndarray]:
+        """Hashes of the head and the tail (see ``_halves``)."""
+        m = np.minimum(self.size[rows], other)
+        head, end = m // 2, self.size[rows]
+        with np.errstate(over="ignore"):
+            tail = self.prefix[end, rows] - self.prefix[end - m + head, rows] * self.power[m - head]
+        return [self.prefix[head, rows], tail]
+
+    def less(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether words a come before words b in code-point order."""
+        x, y = self.letter[a], self.letter[b]
+        first = (x != y).argmax(1)[:, None]
+        return np.take_along_axis(x, first, 1)[:, 0] < np.take_along_axis(y, first, 1)[:, 0]
+
+    def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether exactly one edit parts the words, for lengths that differ by one at most."""
+        out = np.zeros(len(a), bool)
+        same = self.size[a] == self.size[b]
+        out[same] = (self.letter[a[same]] != self.letter[b[same]]).sum(1) == 1
+        i = np.flatnonzero(~same)
+        swap = self.size[a[i]] > self.size[b[i]]
+        short, long = np.where(swap, b[i], a[i]), np.where(swap, a[i], b[i])
+        x, y = self.letter[short], self.letter[long]
+        # equal up to some place, and from there on when the longer word skips a letter
+        up_to = np.concatenate([np.ones((len(i), 1), bool), np.logical_and.accumulate(x[:, :-1] == y[:, :-1], axis=1)], 1)
+        rest = np.logical_and.accumulate((x[:, :-1] == y[:, 1:])[:, ::-1], axis=1)[:, ::-1]
+        rest = np.concatenate([rest, np.ones((len(i), 1), bool)], 1)
+        out[i] = (up_to & rest).any(1)
+        return out
+
+
+def _meet(w: _Words, group: np.ndarray, probe: np.ndarray, other: np.ndarray, last: np.ndarray) -> Iterator[tuple]:
+    """Near pairs (probe rows, index rows) within the groups of a chunk, in slices."""
+    def keys(rows, more, partner):
+        """Of both halves: group, probe's length less the index row's, side and the half's hash in one number."""
+        place = group[rows] * 6 + (more + 1) * 2
+        return [mix2(half, splitmix((place + side).astype(np.uint64))) for side, half in enumerate(w.halves(rows, partner))]
+
+    ok = np.minimum(w.size, other) <= WIDE - 1
+    asks, held = np.flatnonzero(probe & ok), np.flatnonzero(~probe & ok)
+    if not len(asks) or not len(held):
+        return
+    of_probe = np.concatenate(keys(asks, w.size[asks] - other[asks], other[asks]))
+    of_index = np.concatenate([k for more in (-1, 0, 1) for k in keys(held, more, w.size[held] + more)])
+    order = np.argsort(of_index, kind="stable")
+    sorted_ = of_index[order]
+    lo, hi = np.searchsorted(sorted_, of_probe, "left"), np.searchsorted(sorted_, of_probe, "right")
+    met = np.flatnonzero(hi > lo)
+    count = (hi - lo)[met]
+    ends = np.cumsum(count)
+    at = 0
+    while at < len(met):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+        some, n = met[at:stop], count[at:stop]
+        a = np.repeat(asks[some % len(asks)], n)
+        place = np.repeat(lo[some], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        b = held[order[place] % len(held)]
+        at = stop
+        earlier = last[a] < last[b]
+        tie = np.flatnonzero(last[a] == last[b])
+        earlier[tie] = w.less(a[tie], b[tie])
+        a, b = a[earlier], b[earlier]
+        good = w.near(a, b)
+        yield a[good], b[good]
+
+
+def _meet_long(part: pa.Table, group: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, int]]:
+    """The same for groups of words beyond ``WIDE`` letters, one by one."""
+    kept = part.take(pa.array(rows)).select(["probe", "last", "word"]).to_pylist()
+    by: dict[int, tuple[list, list]] = {}
+    for i, r in zip(rows.tolist(), kept, strict=True):
+        by.setdefault(int(group[i]), ([], []))[r["probe"]].append((r["last"], r["word"], i))
+    for index, probes in by.values():
         heads: dict[tuple, list] = {}
-        tails: dict[tuple, list] = {}
         for s in index:
-            head, tail = _halves(s[1], length)
-            heads.setdefault((len(s[1]), head), []).append(s)
-            tails.setdefault((len(s[1]), tail), []).append(s)
-        sizes = {k for k, _ in heads}
-        for p in some:
-            for k in sizes:
-                head, tail = _halves(p[1], k)
-                for found in (heads.get((k, head), ()), tails.get((k, tail), ())):
-                    for s in found:
+            for length in (len(s[1]) - 1, len(s[1]), len(s[1]) + 1):
+                for side, half in enumerate(_halves(s[1], length)):
+                    heads.setdefault((len(s[1]), length, side, half), []).append(s)
+        sizes = {len(s[1]) for s in index}
+        for p in probes:
+            for k in sizes & {len(p[1]) - 1, len(p[1]), len(p[1]) + 1}:
+                for side, half in enumerate(_halves(p[1], k)):
+                    for s in heads.get((k, len(p[1]), side, half), ()):
                         if p[:2] < s[:2] and near(p[1], s[1]):
-                            yield p, s
+                            yield p[2], s[2]
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (key, bi, bj) -> word, near, near_n of every near pair, both ways."""
-    now, index, probes = None, [], []
-    out: list[tuple] = []
-
-    def flush():
-        got = pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.string()),
-                                          pa.array([x[2] for x in out], pa.int64())], names=["word", "near", "near_n"])
-        out.clear()
-        return got
-
-    def close():
-        if index and probes:
-            for p, s in _meet(index, probes):
-                out.append((p[1], s[1], s[2]))
-                out.append((s[1], p[1], p[2]))
-        index.clear()
-        probes.clear()
-
-    for b in non_empty(batches):
-        names = ("key", "bi", "bj", "probe", "last", "word", "n")
-        for key, bi, bj, probe, last, word, n in zip(*(b.column(c).to_pylist() for c in names), strict=True):
-            if now != (key, bi, bj):
-                close()
-                now = (key, bi, bj)
-                if len(out) >= 20_000:
-                    yield flush()
-            (probes if probe else index).append((last, word, n))
-    close()
-    if out:
-        yield flush()
+    for part in _chunks(batches, CHUNK):
+        part = part.combine_chunks()
+        keys = [part.column(c).to_numpy() for c in ("key", "bi", "bj")]
+        new = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+        group = np.concatenate([[0], np.cumsum(new)])
+        probe, other, last = (part.column(c).to_numpy() for c in ("probe", "other", "last"))
+        # groups without index rows or without probes give nothing
+        both = (np.bincount(group, probe) > 0) & (np.bincount(group, ~probe) > 0)
+        live = both[group]
+        part, group, probe, other, last = part.filter(pa.array(live)), group[live], probe[live], other[live], last[live]
+        if not part.num_rows:
+            continue
+        w = _Words(part)
+        pairs = list(_meet(w, group, probe, other, last))
+        wide = np.flatnonzero(other > WIDE - 1)
+        if len(wide):
+            wide = np.flatnonzero(np.isin(group, group[wide]))
+            found = list(_meet_long(part, group, wide))
+            pairs.append((np.array([a for a, _ in found], np.int64), np.array([b for _, b in found], np.int64)))
+        if not pairs:
+            continue
+        a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        left, right = pa.array(np.concatenate([a, b])), pa.array(np.concatenate([b, a]))
+        word, n = part.column("word").combine_chunks(), part.column("n").combine_chunks()
+        yield pa.RecordBatch.from_arrays([word.take(left), word.take(right), n.take(right)], names=["word", "near", "near_n"])
 
 
 def _hinted(df: DataFrame) -> DataFrame:
@@ -211,7 +325,7 @@ def _dealt(entries: DataFrame, block: int) -> DataFrame:
         return materialize(df.groupBy(key).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > block)
                            .select(F.col(key).alias("hot"), "rows"), "hot_buckets")
 
-    rows = ["probe", "word", "n", "last"]
+    rows = ["probe", "other", "word", "n", "last"]
     hot = _hinted(large(entries, "key"))
     marked = entries.join(hot, F.col("key") == F.col("hot"), "left")
     plain = marked.where("hot is null").select("key", *rows)

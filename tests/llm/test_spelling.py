@@ -128,6 +128,43 @@ def test_near_and_halves():
                 assert h == h2 or t == t2
 
 
+def test_letters_of_utf8_words():
+    import pyarrow as pa
+
+    ws = ["abcdefg", "éÀÿ×÷zz", "", "naïveté", "ÃÂÃÂ"]
+    flat, at = spelling._letters(pa.array(["xx", *ws])[1:])
+    assert [bytes(flat[a:b]).decode("latin-1") for a, b in zip(at, at[1:], strict=False)] == ws
+
+
+@pytest.mark.parametrize("chunk,pairs,wide", [(5, 3, 64), (50, 1, 9), (10**6, 10**6, 64), (300, 40, 8)])
+def test_chunks_slices_and_long_words_give_the_same_pairs(spark, monkeypatch, chunk, pairs, wide):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(chunk)
+    words = sorted({"".join("aé"[j] for j in rng.integers(0, 2, rng.integers(7, 11))) for _ in range(250)})
+    n, last = rng.integers(2, 99, len(words)), rng.integers(0, 3, len(words))
+    rows = []
+    for key in range(40):
+        other = int(rng.integers(7, 11))
+        for i in rng.integers(0, len(words), 40):
+            if len(words[i]) == other:
+                rows.append((key, 0, 0, False, other, words[i], int(n[i]), int(last[i])))
+            elif abs(len(words[i]) - other) == 1 or rng.integers(0, 2):
+                rows.append((key, 0, 0, True, other, words[i], int(n[i]), int(last[i])))
+    rows = [r for r in rows if abs(len(r[5]) - r[4]) <= 1]
+    want = set()
+    for p in rows:
+        for s in rows:
+            if p[0] == s[0] and p[3] and not s[3] and (p[7], p[5]) < (s[7], s[5]) and distance_one(p[5], s[5]):
+                want |= {(p[5], s[5], s[6]), (s[5], p[5], p[6])}
+    names = ["key", "bi", "bj", "probe", "other", "word", "n", "last"]
+    table = pa.table({c: list(v) for c, v in zip(names, zip(*rows, strict=True), strict=True)})
+    for name, value in (("CHUNK", chunk), ("PAIRS", pairs), ("WIDE", wide)):
+        monkeypatch.setattr(spelling, name, value)
+    got = [tuple(r.values()) for b in spelling._links(iter(table.to_batches(max_chunksize=7))) for r in b.to_pylist()]
+    assert set(got) == want and len(want) > 10
+
+
 def test_chains_of_forms_reach_their_root(spark):
     chain = ["rootword"]
     for i in range(17):
