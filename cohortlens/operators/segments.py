@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from cohortlens.config import ReportConfig, SegmentRules
 from cohortlens.functions.predicates import like_all_not, organic_group
 from cohortlens.functions.weeks import week_of
-from cohortlens.plans.joins import broadcast_if_small
+from cohortlens.operators.bitmaps import likely_members
+from cohortlens.plans.joins import broadcast_if_small, fits_broadcast
 from cohortlens.session import materialize
 from cohortlens.sources.fixtures import Sources
 
@@ -80,7 +81,8 @@ def exclude_holders(df: DataFrame, holders: DataFrame, key: str = "employer_id",
     written first, so their size is known; while it is within the
     broadcast bound the (large) holder table streams past them unshuffled
     and only its matches are written, which the candidates are then
-    anti-joined with.  The NULL rules are two scalar subqueries: a NULL
+    anti-joined with.  Beyond the bound a filter of the candidates' ids, 16 MB at any
+    size, is broadcast instead, and only the holders that pass it are shuffled.  The NULL rules are two scalar subqueries: a NULL
     holder id empties the result; a NULL key is kept only when the holder
     list is empty.
 
@@ -95,8 +97,10 @@ def exclude_holders(df: DataFrame, holders: DataFrame, key: str = "employer_id",
         return rows.join(listed, column, "left_semi") if only else rows
 
     df = materialize(df, "candidates")
-    cand = broadcast_if_small(df.select(F.col(key).alias("_holder_id")))
-    matched = counted(ids.join(cand, "_holder_id", "left_semi")).select("_holder_id")
+    cand = df.select(F.col(key).alias("_holder_id"))
+    # written, because Catalyst would move the semi join below the filter's join
+    near = ids if fits_broadcast(cand) else materialize(likely_members(ids, "_holder_id", cand, "_holder_id"), "likely_holders")
+    matched = counted(near.join(broadcast_if_small(cand), "_holder_id", "left_semi")).select("_holder_id")
     matched = broadcast_if_small(materialize(matched, "matched_holders"))
     kept = df.join(matched, F.col(key) == F.col("_holder_id"), "left_anti")
     null_probe = counted(ids.where(F.col("_holder_id").isNull())).select(F.lit(1).alias("_n")).limit(1)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens import config as C
-from cohortlens.operators import adhoc, balance, funnel, orders, subscriptions
+from cohortlens.operators import adhoc, balance, bitmaps, funnel, orders, subscriptions
 from cohortlens.operators.segments import build_segment
 from cohortlens.operators.snapshots import BalanceState
 from cohortlens.plans import oracle as O
@@ -420,6 +420,31 @@ def _running_balance_refreshed(src):
     return state.balances()
 
 
+# ---------------------------------------------------------------- distinct counts from bitmaps
+@register("published_bitmaps", lambda: O.with_(C.PAID_A, O.published_sql()))
+def _published_bitmaps(src):
+    """M10 with both distinct counts from one aggregation of bitmaps."""
+    jobs = funnel.good_jobs(src, _seg(src, C.PAID_A)).withColumn("week", F.trunc("job_posted_date", "week"))
+    parts = bitmaps.partials(jobs, "week", {"published_ep": "employer_id", "listings": "job_id"})
+    return bitmaps.counts(bitmaps.on_grid(parts, C.PAID_A), ["published_ep", "listings"])
+
+
+@register("orders_weekly_bitmaps", lambda: O.with_(C.PAID_A, O.weekly("pay_rows", "pay_week", "user_id", "purchasing_eps",
+          extra=", cast(count(distinct x.id) as bigint) as total_orders")))
+def _orders_weekly_bitmaps(src):
+    """M17 with both distinct counts from one aggregation of bitmaps."""
+    parts = bitmaps.partials(_pay(src), "pay_week", {"purchasing_eps": "user_id", "total_orders": "id"})
+    return bitmaps.counts(bitmaps.on_grid(parts, C.PAID_A), ["purchasing_eps", "total_orders"])
+
+
+@register("cum_publ_who_chat_bitmaps", lambda: O.with_(C.PAID_A, O.cumulative("chat_rows", "chat_week", "employer_id",
+                                                                              "cum_publ_ep_who_chat")))
+def _cum_publ_who_chat_bitmaps(src):
+    """M16 folded from the weekly partials of M15."""
+    parts = bitmaps.partials(_events(src), "chat_week", {"cum_publ_ep_who_chat": "employer_id"})
+    return bitmaps.counts(bitmaps.so_far(parts, C.PAID_A), ["cum_publ_ep_who_chat"])
+
+
 # ---------------------------------------------------------------- B7 ad hoc
 def _organic(alias="e"):
     ch = C.ORGANIC_CHANNELS

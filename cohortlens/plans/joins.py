@@ -24,12 +24,17 @@ def _plan_size_bound(df: DataFrame) -> int | None:
         return None
 
 
-def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+def fits_broadcast(df: DataFrame, max_bytes: int | None = None) -> bool:
+    """Whether the plan of ``df`` is bounded to ``max_bytes`` (default ``BROADCAST_MAX_BYTES``).  No job runs."""
+    size = _plan_size_bound(df)
+    return size is not None and size <= (BROADCAST_MAX_BYTES if max_bytes is None else max_bytes)
+
+
+def broadcast_if_small(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Hint a broadcast only for a side whose plan is bounded to ``max_bytes``.
 
     No job runs.  Beyond the bound the side is returned unhinted and AQE
     chooses from runtime shuffle sizes (sort-merge join with skew
     splitting, or a broadcast if it turns out small).
     """
-    size = _plan_size_bound(df)
-    return F.broadcast(df) if size is not None and size <= max_bytes else df
+    return F.broadcast(df) if fits_broadcast(df, max_bytes) else df

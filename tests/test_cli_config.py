@@ -11,7 +11,7 @@ from cohortlens.__main__ import main
 def test_cli_lists_every_key(capsys):
     assert main(["list"]) == 0
     keys = capsys.readouterr().out.split()
-    assert len(keys) == 61 and "report_paid_uk" in keys and keys == sorted(keys)
+    assert len(keys) == 64 and "report_paid_uk" in keys and keys == sorted(keys)
 
 
 @pytest.mark.parametrize("field", ["spine_start", "cohort_from", "cohort_to"])
