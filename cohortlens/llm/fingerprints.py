@@ -9,10 +9,12 @@ The vector has two parts:
 
 * ``STRICT`` lanes modulo 2^32, hashed from the whole paragraph: equality.
 * ``LANES`` lanes modulo 2^16.  The paragraph is cut into pieces of a few words at places
-  that its own letters choose; every piece adds +1 or -1 to every lane, by its hash.  The
+  that its own letters choose, at ``PIECE`` code points at the latest (scripts without spaces,
+  or without these letters); every piece adds +1 or -1 to every lane, by its hash.  The
   squared length of a difference of two such vectors estimates the size of the symmetric
-  difference of the two piece multisets, so ``likeness`` is
-  1 - |a - b|^2 / (|a|^2 + |b|^2), clipped to 0 .. 1.  Its error is about 1 / sqrt(LANES).
+  difference of the two piece multisets (a piece that is m times more in one counts m^2), so
+  ``likeness`` is 1 - |a - b|^2 / (|a|^2 + |b|^2), clipped to 0 .. 1.  Its error is about
+  1 / sqrt(LANES).
 
 Summing needs no Python: pieces are exploded, each contributes 64 masked shifts of its two
 64-bit hashes (two lanes to a bigint), and a partial aggregate adds them up before any row
@@ -31,7 +33,10 @@ LANES = 128
 STRICT_MOD = 1 << 32
 LANE_MOD = 1 << 16
 HEX = STRICT * 8 + LANES * 4  # length of a fingerprint
-CUTS = r" (?<=[dnrt.,;:!?|] )|\n"  # a piece ends at a line's end or at a space after one of these
+PIECE = 16
+# a piece ends at a line's end, at a space after one of some letters and marks, after a full-width mark,
+# or PIECE code points after the last end
+CUTS = r" (?<=[dnrtднртй.,;:!?|] )|\n|(?<=[。、，！？；：])|(?<=\G.{" + str(PIECE) + "})"
 _PAIR = (1 << 32) | 1
 
 
@@ -162,7 +167,8 @@ def with_next(docs: DataFrame) -> DataFrame:
         placed = rows.withColumn("at", F.explode(F.concat(F.array(own), copies)))
     else:
         placed = rows.withColumn("at", F.explode(F.array(own)))
-    placed = placed.select("at.bucket", "at.tail", "doc_id", "text")
+    # one task a range: hashed range numbers would leave some tasks empty and give others several
+    placed = placed.select("at.bucket", "at.tail", "doc_id", "text").repartitionById(len(bounds) + 1, "bucket")
     order = Window.partitionBy("bucket").orderBy("tail", F.col("doc_id").desc_nulls_last(), "text")
     return placed.withColumn("next_text", F.lead("text").over(order)).withColumn("place", F.row_number().over(order))
 
