@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import materialize, non_empty, runs, small, table
+from cohortlens.llm.common import materialize, non_empty, partitions, runs, small, table
 from cohortlens.operators.scan import keyed_scan
 
 PIECE = 4096
@@ -366,7 +366,7 @@ def repair(rows: DataFrame, piece: int | None = None) -> DataFrame:
     folded = _by(pieces, ["conv"], "conv", F.desc("piece")).mapInArrow(
         _backward, "conv bigint, piece bigint, symbols string, illegal bigint, head string, tail string, "
         "ends binary, cost bigint, final boolean")
-    options = folded.repartition("conv", "piece").mapInArrow(
+    options = folded.repartition(partitions(rows.sparkSession), "conv", "piece").mapInArrow(
         _unrolled, "conv bigint, piece bigint, illegal bigint, head string, tail string, cost bigint, "
         "audits array<string>, states array<int>")
     chosen = materialize(_by(options, ["conv"], "conv", "piece").mapInArrow(
@@ -386,7 +386,8 @@ def repair(rows: DataFrame, piece: int | None = None) -> DataFrame:
 
 
 def _by(df: DataFrame, keys: list[str], *order) -> DataFrame:
-    return df.repartition(*keys).sortWithinPartitions(*order)
+    # the rows are small for the work on them: a count of partitions keeps them from being merged by size
+    return df.repartition(partitions(df.sparkSession), *keys).sortWithinPartitions(*order)
 
 
 def op12(spark, sf_dir: str) -> DataFrame:
