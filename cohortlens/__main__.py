@@ -6,6 +6,11 @@
     python -m cohortlens report paid_a --sf-dir DIR --spine-start 2016-12-05 --spine-end 2017-02-13 \\
         --cohort-from 2016-12-05 --cohort-to 2017-01-09
     python -m cohortlens report free_b --table employers_dim=dw.employers --table jobs_dim=dw.jobs ...
+    python -m cohortlens refresh --state DIR --batch 2017-02-13 --week 2017-02-13 --sf-dir DIR
+    python -m cohortlens report paid_a --state DIR --sf-dir DIR
+
+``refresh`` reads the facts of the named weeks (all weeks, if none is named) into the weekly state;
+``report --state`` makes the report of it, so that old facts are not read again.
 
 The result is written by the executors (``--out``); ``--show`` prints the first rows only.
 On a cluster ``--checkpoint-dir`` (or ``spark.checkpoint.dir``) names the shared folder for
@@ -39,12 +44,30 @@ def _config(a):
     return base.with_(**given)
 
 
+def _sources(spark, a):
+    from cohortlens.sources.fixtures import Sources, load_sources
+
+    return Sources.from_tables(spark, dict(t.split("=", 1) for t in a.table)) if a.table else load_sources(spark, a.sf_dir)
+
+
+def _refresh(spark, a) -> None:
+    from cohortlens.plans.refresh import WeeklyState, in_weeks
+
+    src = _sources(spark, a)
+    ledger = src.ledger.where(in_weeks("created", a.week)) if a.week else src.ledger
+    wrote = WeeklyState(spark, a.state).refresh(src, a.batch, a.week or None, ledger)
+    print(f"batch {a.batch}: {'written' if wrote else 'was there already'}")
+
+
 def _report(spark, a):
     from cohortlens.plans import report
-    from cohortlens.sources.fixtures import Sources, load_sources
 
     cfg = _config(a)
-    src = Sources.from_tables(spark, dict(t.split("=", 1) for t in a.table)) if a.table else load_sources(spark, a.sf_dir)
+    src = _sources(spark, a)
+    if a.state:
+        from cohortlens.plans.refresh import WeeklyState
+
+        report = WeeklyState(spark, a.state)
     if a.name.startswith("free"):
         return report.report_free(src, cfg, sent_name="ep_chats_sent" if a.name == "free_a" else "ep_chat_messages_sent")
     if a.name == "premium":
@@ -68,6 +91,15 @@ def _parser() -> argparse.ArgumentParser:
     t.add_argument("--internal-email", action="append", default=[], help="LIKE pattern of internal accounts (repeat)")
     t.add_argument("--exclude-device-type", action="append", type=int, default=[],
                    help="leave out users of devices of this type (repeat)")
+    t.add_argument("--state", help="weekly state to report from (see refresh)")
+    f = sub.add_parser("refresh", help="read the facts of some weeks into the weekly state")
+    f.add_argument("--state", required=True, help="folder that driver and executors share")
+    f.add_argument("--batch", required=True, help="name of the batch; a name that was applied before has no effect")
+    f.add_argument("--week", action="append", type=dt.date.fromisoformat, default=[], help="Monday of a week (repeat)")
+    f.add_argument("--table", action="append", default=[], metavar="INPUT=TABLE", help="bind an input to a catalog table")
+    f.add_argument("--sf-dir")
+    f.add_argument("--master", default="local[8]")
+    f.add_argument("--checkpoint-dir", help="folder that driver and executors share")
     for x in (r, t):
         x.add_argument("--sf-dir", required=x is r, default=None)
         x.add_argument("--out")
@@ -87,13 +119,16 @@ def main(argv=None) -> int:
         for k in sorted(catalog.queries()):
             print(k)
         return 0
-    if a.cmd == "report" and not (a.sf_dir or a.table):
-        p.error("report needs --sf-dir or --table")
+    if a.cmd in ("report", "refresh") and not (a.sf_dir or a.table):
+        p.error(f"{a.cmd} needs --sf-dir or --table")
 
     from cohortlens.session import build_session, delete_intermediates
     extra = {"spark.checkpoint.dir": a.checkpoint_dir} if a.checkpoint_dir else None
     spark = build_session(a.master, extra=extra)
     try:
+        if a.cmd == "refresh":
+            _refresh(spark, a)
+            return 0
         df = catalog.queries()[a.key](spark, a.sf_dir) if a.cmd == "run" else _report(spark, a)
         if a.out:
             w = df.write.mode("overwrite")

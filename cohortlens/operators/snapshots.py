@@ -61,10 +61,12 @@ class BalanceState:
     def _closing(self, names: list[str]) -> DataFrame:
         return self.store.read("closing", self._schemas(names[0])["closing"], names[-1:]).drop("batch")
 
-    def apply(self, rows: DataFrame, batch: str) -> bool:
+    def apply(self, rows: DataFrame, batch: str, skip_known: bool = False) -> bool:
         """Add ledger rows (id, user_id, balance_change, created); False if the batch was applied before.
 
-        Rows without user are one user, as in a window's partition.  Repeated rows each count.
+        Rows without user are one user, as in a window's partition.  Repeated rows each count,
+        but with ``skip_known`` a row whose user and id an earlier batch held is not added again.
+        (Such a row re-opens its user, whose rows are then at hand; no other is looked up.)
         """
         names = self._names()
         if batch in names:
@@ -88,7 +90,10 @@ class BalanceState:
             if buckets:
                 before = self._live("ledger", names).where(F.col("bucket").isin(buckets)).join(
                     broadcast_if_small(again), user.eqNullSafe(F.col("_user")), "left_semi")
-                opened = new.unionByName(before.select(*LEDGER_COLS))
+                if skip_known:
+                    held = before.select(F.col("user_id").alias("_held"), F.col("id").alias("_id"))
+                    opened = new.join(held, user.eqNullSafe(F.col("_held")) & F.col("id").eqNullSafe(F.col("_id")), "left_anti")
+                opened = opened.unionByName(before.select(*LEDGER_COLS))
         scanned = keyed_scan(opened.select(*LEDGER_COLS), "user_id", ["created"], "balance", mode="range",
                              value="balance_change")
         if opening is not None:

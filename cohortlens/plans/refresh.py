@@ -94,9 +94,10 @@ class WeeklyState:
     def refresh(self, src: Sources, batch: str, weeks: list[dt.date] | None = None, ledger: DataFrame | None = None) -> bool:
         """Read the facts of ``weeks`` (None: of all weeks) and replace what is kept of them.
 
-        ``ledger``: the new ledger rows.  Returns whether anything was written.
+        ``ledger``: the new ledger rows; rows of earlier batches among them, by user and id, are
+        not added again.  Returns whether anything was written.
         """
-        wrote = self.balances.apply(ledger, batch) if ledger is not None else False
+        wrote = self.balances.apply(ledger, batch, skip_known=True) if ledger is not None else False
         if self.store.has(batch):
             return wrote
         held = []

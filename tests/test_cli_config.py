@@ -52,3 +52,20 @@ def test_reports_with_windows_from_the_command_line(spark, tmp_path, name, windo
 def test_report_needs_an_input():
     with pytest.raises(SystemExit):
         main(["report", "free_a"])
+
+
+def test_refresh_then_report_from_the_state(spark, tmp_path, capsys):
+    from cohortlens import config as C
+    from cohortlens.__main__ import main
+    from cohortlens.plans import report
+    from cohortlens.sources.fixtures import load_sources
+
+    state, sf = str(tmp_path / "state"), "/root/testdata/sf0.001"
+    assert main(["refresh", "--state", state, "--batch", "all", "--sf-dir", sf]) == 0
+    assert main(["refresh", "--state", state, "--batch", "again", "--week", "2017-01-02", "--sf-dir", sf]) == 0
+    assert main(["refresh", "--state", state, "--batch", "again", "--week", "2017-01-02", "--sf-dir", sf]) == 0
+    assert "was there already" in capsys.readouterr().out
+    assert main(["report", "paid_a", "--state", state, "--sf-dir", sf, "--out", str(tmp_path / "r")]) == 0
+    got = spark.read.parquet(str(tmp_path / "r"))
+    full = report.report_paid(load_sources(spark, sf), C.PAID_A)
+    assert sorted(map(str, got.collect())) == sorted(map(str, full.collect()))

@@ -64,6 +64,15 @@ def test_a_batch_is_applied_once_and_a_broken_one_again(spark, tmp_path):
     assert [r[-1] for r in rows(state.balances())] == [5, 7]
 
 
+def test_rows_of_earlier_batches_are_not_added_again(spark, tmp_path):
+    state = BalanceState(spark, f"{tmp_path}/b")
+    one = [(1, 1, 5, D(2017, 1, 2)), (2, 1, -5, D(2017, 1, 9)), (3, None, 1, D(2017, 1, 9)), (4, 2, 1, None)]
+    state.apply(ledger_of(spark, one), "a")
+    late = [(5, 1, 2, D(2017, 1, 3)), (6, 9, 1, D(2017, 1, 9)), (6, 9, 1, D(2017, 1, 9))]
+    state.apply(ledger_of(spark, [*one[1:], *late]), "b", skip_known=True)
+    assert rows(state.balances()) == rows(balance.running_balance(ledger_of(spark, one + late)).select(*state.balances().columns))
+
+
 def test_new_rows_do_not_read_the_old_ledger(spark, tmp_path, monkeypatch):
     state = BalanceState(spark, f"{tmp_path}/b")
     state.apply(ledger_of(spark, [(i, i % 3, 1, D(2017, 1, 2)) for i in range(9)]), "a")
