@@ -34,7 +34,7 @@ def zero_credit_rows(src: Sources, seg: Segment) -> DataFrame:
     per user, so the result is the same as scanning the whole ledger.
     """
     emp = seg.employers.select(F.col("employer_id").alias("user_id"), "cohort_week")
-    ledger = src.ledger.select(*LEDGER_COLS).join(emp.select("user_id"), "user_id", "left_semi")
+    ledger = seg.facts(src.ledger.select(*LEDGER_COLS), "user_id").join(emp.select("user_id"), "user_id", "left_semi")
     bal = running_balance(ledger).where(F.col("balance") == 0)
     rows = seg.rows.select(F.col("employer_id").alias("user_id"), "cohort_week")
     return bal.join(rows, "user_id").select(

@@ -81,17 +81,23 @@ def _place(key: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
 
 
-def likely_members(rows: DataFrame, column: str, members: DataFrame, member: str) -> DataFrame:
-    """The rows whose ``column`` may be among the ``members``: all that are, and few others.
+def member_filter(members: DataFrame, member: str) -> DataFrame:
+    """A written Bloom filter of an id column: one hash, ``FILTER_BITS`` bits, at most 4,096 rows of 4 KB.
 
-    A Bloom filter with one hash and ``FILTER_BITS`` bits (7 % false positives at ten million
-    members): its 4,096 rows of 4 KB are broadcast, so ``rows`` are cut before they are shuffled.
-    NULLs are not members.
+    At ten million members 7 % of all other ids pass it.
     """
     at = _place(F.col(member))
     held = members.where(F.col(member).isNotNull()).groupBy(F.floor(at / _BUCKET_BITS).alias("_bucket")).agg(
         F.bitmap_construct_agg(at % _BUCKET_BITS).alias("_bits"))
-    held = materialize(held, "member_filter")
+    return materialize(held, "member_filter")
+
+
+def likely_members(rows: DataFrame, column: str, held: DataFrame) -> DataFrame:
+    """The rows whose ``column`` may be among the members of a filter: all that are, and few others.
+
+    The filter is broadcast (16 MB, whatever the number of members), so ``rows`` are cut before
+    they are shuffled.  NULLs are not members.
+    """
     asked = rows.where(F.col(column).isNotNull()).withColumn("_at", _place(F.col(column)))
     found = asked.join(F.broadcast(held), F.floor(F.col("_at") / _BUCKET_BITS) == F.col("_bucket"))
     return found.where(_bit(F.col("_bits"), F.col("_at") % _BUCKET_BITS) == 1).select(*rows.columns)

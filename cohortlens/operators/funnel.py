@@ -9,6 +9,7 @@ from cohortlens.config import ReportConfig
 from cohortlens.functions.weeks import spine_weeks_col, week_of, weeks_after
 from cohortlens.operators.cumulative import cumulative_distinct, first_event_weeks, weekly_distinct
 from cohortlens.operators.segments import Segment, small_side
+from cohortlens.plans.joins import fits_broadcast
 from cohortlens.sources.fixtures import Sources
 
 
@@ -45,7 +46,7 @@ def good_jobs(src: Sources, seg: Segment, at_segment_grain: bool = False) -> Dat
     """
     jobs = src.jobs.where(F.col("good_job") == 1).select("job_id", "job_posted_date", "employer_id")
     side = seg.rows if at_segment_grain else seg.employers
-    return jobs.join(side.select("employer_id", "cohort_week"), "employer_id")
+    return seg.facts(jobs).join(side.select("employer_id", "cohort_week"), "employer_id")
 
 
 def published(src: Sources, seg: Segment, jobs: DataFrame | None = None) -> DataFrame:
@@ -76,6 +77,7 @@ def chat_events(src: Sources, seg: Segment, gated: DataFrame | None = None) -> D
     gated = gated if gated is not None else gated_employers(src, seg)
     chats = src.chats.where(F.col("employer_messages") > 0).select(
         "employer_id", "jobseeker_id", week_of("message_date").alias("chat_week"), "employer_messages")
+    chats = chats if fits_broadcast(gated) else seg.facts(chats)
     return chats.join(gated, "employer_id")
 
 

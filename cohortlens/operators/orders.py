@@ -41,7 +41,7 @@ def family_payments(src: Sources, seg: Segment, employers: DataFrame | None = No
     distinct = seg.cfg.rank_mode == "week"
     emp = employers if employers is not None else seg.employers if distinct else seg.rows
     pay = src.payments.select("id", "user_id", "purchase_id", "created")
-    pay = pay.join(family_catalogue(src, seg.cfg), "purchase_id")
+    pay = seg.facts(pay.join(family_catalogue(src, seg.cfg), "purchase_id"), "user_id")
     pay = pay.join(emp.select(F.col("employer_id").alias("user_id"), "cohort_week"), "user_id")
     pay = pay.withColumn("pay_week", week_of("created")).select(*PAYMENT_COLS)
     return pay.distinct() if distinct else pay

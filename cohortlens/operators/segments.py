@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cohortlens.config import ReportConfig, SegmentRules
 from cohortlens.functions.predicates import like_all_not, organic_group
 from cohortlens.functions.weeks import week_of
-from cohortlens.operators.bitmaps import likely_members
+from cohortlens.operators.bitmaps import likely_members, member_filter
 from cohortlens.plans.joins import broadcast_if_small, fits_broadcast
 from cohortlens.session import materialize
 from cohortlens.sources.fixtures import Sources
@@ -32,6 +32,21 @@ class Segment:
     rows: DataFrame
     employers: DataFrame
     cfg: ReportConfig
+    _filter: DataFrame | None = None
+
+    def facts(self, fact: DataFrame, column: str = "employer_id") -> DataFrame:
+        """The rows of a fact that may belong to the segment (J1), for the join with it.
+
+        A segment within the broadcast bound is broadcast to the fact, which is returned as it
+        is.  Beyond it both sides are shuffled, so a filter of the segment's ids cuts the fact
+        first: what moves grows with the segment's share of the facts, and a hot employer's rows
+        are still split by AQE, which a layout bucketed by employer would prevent.
+        """
+        if fits_broadcast(self.employers):
+            return fact
+        if self._filter is None:
+            self._filter = member_filter(self.employers, "employer_id")
+        return likely_members(fact, column, self._filter)
 
 
 def small_side(df: DataFrame, name: str) -> DataFrame:
@@ -99,7 +114,8 @@ def exclude_holders(df: DataFrame, holders: DataFrame, key: str = "employer_id",
     df = materialize(df, "candidates")
     cand = df.select(F.col(key).alias("_holder_id"))
     # written, because Catalyst would move the semi join below the filter's join
-    near = ids if fits_broadcast(cand) else materialize(likely_members(ids, "_holder_id", cand, "_holder_id"), "likely_holders")
+    near = ids if fits_broadcast(cand) else materialize(
+        likely_members(ids, "_holder_id", member_filter(cand, "_holder_id")), "likely_holders")
     matched = counted(near.join(broadcast_if_small(cand), "_holder_id", "left_semi")).select("_holder_id")
     matched = broadcast_if_small(materialize(matched, "matched_holders"))
     kept = df.join(matched, F.col(key) == F.col("_holder_id"), "left_anti")

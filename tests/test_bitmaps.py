@@ -70,7 +70,7 @@ def test_filter_passes_every_member_and_few_others(spark, monkeypatch):
     asked = spark.range(-1000, 30000).withColumn("x", F.lit(1)).unionByName(spark.createDataFrame([(None, 1)], "id bigint, x int"))
     for bits, most in ((1 << 27, 40), (1 << 17, 1500)):
         monkeypatch.setattr(bitmaps, "FILTER_BITS", bits)
-        got = {r["id"] for r in bitmaps.likely_members(asked, "id", members, "m").collect()}
+        got = {r["id"] for r in bitmaps.likely_members(asked, "id", bitmaps.member_filter(members, "m")).collect()}
         true = {i * 7 - 900 for i in range(3000)}
         assert true <= got and len(got - true) <= most and None not in got
 
@@ -100,3 +100,30 @@ def test_not_in_beyond_the_broadcast_bound_shuffles_few_holders(spark, monkeypat
     plans = dict(seen)
     assert "_bits" in plans["likely_holders"] and "hashpartitioning" not in plans["likely_holders"]
     assert "SortMergeJoin" in plans["matched_holders"] and "Range (0, 5000" not in plans["matched_holders"]
+
+
+@pytest.mark.parametrize("key", ["published", "chat_pairs", "orders_weekly", "cum_zero_credit"])
+def test_facts_are_cut_before_the_shuffle_beyond_the_bound(spark, monkeypatch, key):
+    """A segment too large to broadcast: the same result, and the fact passes its filter below any exchange."""
+    from cohortlens.operators import scan
+    from cohortlens.plans import catalog
+    from tests.conftest import SF0001
+
+    want = rows(catalog.queries()[key](spark, SF0001))
+    plans = []
+    for module in (segments, scan):
+        real = module.materialize
+        monkeypatch.setattr(module, "materialize", lambda df, name="stage", real=real: plans.append(
+            df._jdf.queryExecution().executedPlan().toString()) or real(df, name))
+    monkeypatch.setattr(joins, "BROADCAST_MAX_BYTES", 0)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = catalog.queries()[key](spark, SF0001)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        got = rows(df)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == want and got
+    cut = [p for p in plans if "_bits" in p and "SortMergeJoin" in p]
+    assert cut and all(p.index("Exchange") < p.index("_bits") for p in cut)
