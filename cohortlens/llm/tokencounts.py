@@ -107,13 +107,19 @@ def op5(spark, sf_dir: str) -> DataFrame:
     ``space-1`` counts, for all documents that hold punctuation standing alone (it no longer
     counts); 4. exact copies are deleted under both versions: of equal texts the smallest
     doc_id stays.  Batch 3 is sent again after batch 4 and changes nothing.
+
+    A document is a doc_id: rows without one are no documents, and of rows that share one the
+    row with the largest SHA-256 of its text counts (then the largest source, then lang; nulls
+    are smallest).  Null texts have no tokens and are copies of nothing; null sources and
+    languages are groups of their own.  Other columns are ignored; no rows give no rows.
     """
     docs = table(spark, sf_dir, "documents")
     alone = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D\p{L}\p{N}]+(?![^\x20\x09-\x0D])"
     counted = materialize(docs.select(
         "doc_id", "source", "lang", space_tokens(F.col("text")).alias("spaces"), run_tokens(F.col("text")).alias("runs"),
         F.coalesce(F.regexp_count("text", F.lit(alone)), F.lit(0)).cast("bigint").alias("alone"),
-        F.sha2("text", 256).alias("digest")), "counted")
+        F.sha2("text", 256).alias("digest")).where("doc_id is not null").groupBy("doc_id").agg(
+        F.max(F.struct("digest", "source", "lang", "spaces", "runs", "alone")).alias("d")).select("doc_id", "d.*"), "counted")
     first = counted.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     copies = counted.where("digest is not null").join(first, "digest").where("doc_id <> first").select(
         "doc_id", F.explode(F.array(F.lit(SPACES), F.lit(RUNS))).alias("version"), "source", "lang")
@@ -134,8 +140,12 @@ def op5(spark, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = r"""
-WITH kept AS (
-  SELECT source, lang, text FROM documents
+WITH single AS (
+  SELECT doc_id, source, lang, text FROM documents WHERE doc_id IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY sha256(text) DESC NULLS LAST,
+    source DESC NULLS LAST, lang DESC NULLS LAST) = 1
+), kept AS (
+  SELECT source, lang, text FROM single
   QUALIFY text IS NULL OR row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1
 ), words AS (
   SELECT source, lang, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM kept

@@ -191,3 +191,20 @@ def test_no_records(spark):
     assert warc.resolve(spark.createDataFrame([], REC)).count() == 0
     only = spark.createDataFrame([("a", "revisit", "http://a/x", 5, '"1"', None, None, None, 1)], REC)
     assert [r["status"] for r in warc.resolve(only).collect()] == ["orphan"]
+
+
+# ------------------------------------------------------------------ token counts of odd tables
+def test_token_counts_equal_their_sql_on_odd_and_empty_tables(spark, tmp_path):
+    from tests.llm.helpers import ROWS, odd
+
+    more = [(1, "zeta ... other text", "es", "s9", 1), (1, None, None, None, None), (11, "one", "en", None, 3), (12, "one", "en", "s1", 3),
+            (13, None, "en", "s1", 0), (14, None, "en", "s1", 0), (15, "- a -- b !", None, "s2", 1), (15, "- a -- b !", "en", "s2", 1)]
+    for name, rows in (("a", ROWS + more), ("b", [])):
+        odd(spark, rows).coalesce(1).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        df = tokencounts.op5(spark, f"{tmp_path}/{name}")
+        c = duckdb.connect()
+        c.execute(f"create view documents as select * from read_parquet('{tmp_path}/{name}/documents.parquet/*.parquet')")
+        cols = ["source", "lang", "version", "documents", "tokens"]
+        got = sorted((tuple(r) for r in df.select(cols).collect()), key=key)
+        assert got == sorted(c.execute(f"select {', '.join(cols)} from ({tokencounts.OP5_SQL})").fetchall(), key=key)
+        assert bool(got) == bool(rows)
