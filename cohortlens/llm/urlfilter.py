@@ -1,7 +1,8 @@
 """URL filters: pattern rules found through their rarest literal token.
 
 A rule is a regular expression over ``host + path`` with a verdict.  Its literal tokens are
-the alphanumeric runs that must stand whole in every url it fits.  The rarest of them in the
+the alphanumeric runs that must stand whole in every url it fits; they are read off the parsed
+expression (``literal_tokens``).  The rarest of them in the
 urls at hand (counted by Spark) indexes the rule; a url's tokens fetch the rules indexed by
 one of them, and only those run their regular expressions.  A rule without such a token is a
 candidate for every url.
@@ -14,6 +15,8 @@ first, the longest wins, ties by the smaller rule.  Then the pattern rules of th
 from __future__ import annotations
 
 import re
+from re import _constants as _re
+from re import _parser
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +29,7 @@ RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
          ("block", "com/de/")]
 # The method's own rules: words that block where they stand alone in the host.
 WORDS = ["adult", "casino", "gambling", "malware", "phishing", "porn", "torrent", "viagra", "xxx"]
-PATTERNS = [(w, rf"^[^/]*\b{w}\b[^/]*(/|$)", [w]) for w in WORDS]
+PATTERNS = [(w, rf"^[^/]*\b{w}\b[^/]*(/|$)") for w in WORDS]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _TOKEN = "[^A-Za-z0-9]+"
 
@@ -43,14 +46,54 @@ def prefix_rule(rule: str) -> tuple[str, str, list[str]]:
     return rule, rf"^([^/]*\.)?{quoted}", sorted({t for t in whole if t})
 
 
+def literal_tokens(pattern: str) -> list[str]:
+    """Alphanumeric ASCII runs that stand whole in every text the expression fits.
+
+    A run counts if its letters are literals that must appear, with a word boundary, an end of
+    the text or another literal on either side.  What may be left out, repeated or chosen ends a
+    run without being such a side, so some tokens may be missed but none is wrong.  Flags and
+    syntax that the parser does not know give no tokens.
+    """
+    try:
+        tree = _parser.parse(pattern)
+    except (re.error, OverflowError):
+        return []
+    if tree.state.flags & (re.IGNORECASE | re.VERBOSE | re.MULTILINE):
+        return []
+    side, open_ = "side", "open"  # a certain end of a token; anything
+    sides = (_re.AT_BEGINNING, _re.AT_BEGINNING_STRING, _re.AT_END, _re.AT_END_STRING, _re.AT_BOUNDARY)
+
+    def flat(items):
+        for op, value in items:
+            if op is _re.LITERAL:
+                c = chr(value)
+                yield c if c.isascii() and c.isalnum() else side
+            elif op is _re.AT and value in sides:
+                yield side
+            elif op is _re.SUBPATTERN and not value[1] and not value[2]:
+                yield from flat(value[3])
+            else:
+                yield open_
+
+    out, run, left = set(), "", open_
+    for x in [*flat(tree), open_]:
+        if x in (side, open_):
+            if run and left is side and x is side:
+                out.add(run)
+            run, left = "", x
+        else:
+            run += x
+    return sorted(out)
+
+
 def rule_table(spark, rules: list[tuple[str, str]] | None = None, patterns=None) -> DataFrame:
     """rule, pattern, tokens, verdict, rank: higher ranks decide first."""
     rows = []
     for verdict, rule in RULES if rules is None else rules:
         name, pattern, tokens = prefix_rule(rule)
         rows.append((name, pattern, tokens, verdict, len(name) + 1))
-    for name, pattern, tokens in PATTERNS if patterns is None else patterns:
-        rows.append((name, pattern, tokens, "block", 0))
+    for name, pattern, *_ in PATTERNS if patterns is None else patterns:
+        rows.append((name, pattern, literal_tokens(pattern), "block", 0))
     return spark.createDataFrame(rows, "rule string, pattern string, tokens array<string>, verdict string, rank int")
 
 
