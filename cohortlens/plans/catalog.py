@@ -362,20 +362,21 @@ def _report_premium_uk_devices(src):
 # ---------------------------------------------------------------- kept up to date week by week
 # Where the fixture calendar is cut into a history and weekly batches.
 HISTORY_UNTIL = dt.date(2017, 1, 23)
-REFRESH_BATCHES = ((dt.date(2017, 1, 23), dt.date(2017, 1, 30)), (dt.date(2017, 2, 6), dt.date(2017, 2, 13)),
+REFRESH_BATCHES = ((dt.date(2017, 1, 23), dt.date(2017, 1, 30), dt.date(2017, 2, 6), dt.date(2017, 2, 13)),
                    (dt.date(2017, 1, 16),))  # the last one re-opens a week
 
 
-def _weekly_state(src):
-    """The state after a history and several weekly batches, each reading its own weeks only."""
+def _weekly_state(src, ledger=False):
+    """The state after a history and weekly batches, each reading its own weeks only."""
     spark = src.jobs.sparkSession
     state = refresh.WeeklyState(spark, scratch_folder(spark, "weekly_state"))
     past = {name: getattr(src, name).where(F.col(column) < F.lit(HISTORY_UNTIL))
             for name, (_, column) in state.TABLES.items()}
-    state.refresh(replace(src, **past), "history", ledger=src.ledger.where(F.col("created") < F.lit(HISTORY_UNTIL)))
+    old = src.ledger.where(F.col("created") < F.lit(HISTORY_UNTIL))
+    state.refresh(replace(src, **past), "history", ledger=old if ledger else None)
     for i, weeks in enumerate(REFRESH_BATCHES):
         new = src.ledger.where(refresh.in_weeks("created", list(weeks)))
-        state.refresh(src, f"batch{i}", list(weeks), new if weeks[0] >= HISTORY_UNTIL else None)
+        state.refresh(src, f"batch{i}", list(weeks), new if ledger and weeks[0] >= HISTORY_UNTIL else None)
     return state
 
 
@@ -390,14 +391,14 @@ def _report_free_uk_refreshed(src):
           "pwc": "publ_ep_who_chat", "orders": "orders"}))
 def _report_paid_uk_refreshed(src):
     """R3 from the weekly state."""
-    return _weekly_state(src).report_paid(src, C.PAID_A)
+    return _weekly_state(src, ledger=True).report_paid(src, C.PAID_A)
 
 
 @register("report_paid_es_refreshed", lambda: O.report_sql(C.PAID_B, "paid", {"published": "published_ep",
           "pwc": "publ_ep_who_chat", "orders": "total_orders"}))
 def _report_paid_es_refreshed(src):
     """R4 from the weekly state (payments ranked by time)."""
-    return _weekly_state(src).report_paid(src, C.PAID_B, orders_name="total_orders")
+    return _weekly_state(src, ledger=True).report_paid(src, C.PAID_B, orders_name="total_orders")
 
 
 @register("report_premium_uk_refreshed", lambda: O.report_sql(C.PREMIUM, "premium", {"published": "published_ep",
