@@ -10,11 +10,13 @@ warehouse tables instead (``Sources.from_tables``).
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlens.sources.tables import read_tables
+from cohortlens.sources.tables import read_table
 
 
 # Fixture view definitions (FIXTURES.md "View text").
@@ -126,20 +128,46 @@ class Sources:
 
     @classmethod
     def _from_views(cls, v: dict[str, DataFrame]) -> "Sources":
-        return cls(employers=v["employers_dim"], jobs=v["jobs_dim"], chats=v["chats_activity"],
-                   holders=v["user_balance"], users=v["users"], ledger=v["user_balance_history"],
-                   subscriptions=v["user_subscriptions_history"], payments=v["payment"],
-                   purchases=v["purchases"], arms=v["experiment_arms"],
-                   device_links=v.get("refs_devices_users"), devices=v.get("devices"))
+        return cls(**{f: v.get(view) if f in ("device_links", "devices") else v[view] for f, view in FIELD_VIEWS.items()})
+
+
+FIELD_VIEWS = {"employers": "employers_dim", "jobs": "jobs_dim", "chats": "chats_activity", "holders": "user_balance",
+               "users": "users", "ledger": "user_balance_history", "subscriptions": "user_subscriptions_history",
+               "payments": "payment", "purchases": "purchases", "arms": "experiment_arms",
+               "device_links": "refs_devices_users", "devices": "devices"}
+
+
+class FixtureSources(Sources):
+    """Sources whose views are made when they are first asked for, so that a query analyses its own inputs only."""
+
+    def __init__(self, view: Callable[[str], DataFrame] | None = None, **given: DataFrame):
+        self._view = view
+        for field, df in given.items():  # dataclasses.replace gives all of them
+            setattr(self, field, df)
+
+
+def _lazily(field: str, view: str) -> None:
+    made = cached_property(lambda self: self._view(view))
+    made.__set_name__(FixtureSources, field)
+    setattr(FixtureSources, field, made)
+
+
+for _field, _name in FIELD_VIEWS.items():
+    _lazily(_field, _name)
 
 
 def load_sources(spark: SparkSession, sf_dir: str, wrap: dict[str, str] | None = None) -> Sources:
     """Fixture views over ``sf_dir`` (lazy: nothing runs until an action)."""
-    base = read_tables(spark, sf_dir, _BASE_NAMES)
-    views = {}
-    for name, sql in VIEW_SQL.items():
-        used = {n: base[n] for n in _BASE_NAMES if "{" + n + "}" in sql}
-        views[name] = spark.sql(sql, **used) if used else spark.sql(sql)
-        if wrap and name in wrap:
-            views[name] = spark.sql(wrap[name], src=views[name])
-    return Sources._from_views(views)
+    base: dict[str, DataFrame] = {}
+
+    def table(name: str) -> DataFrame:
+        if name not in base:
+            base[name] = read_table(spark, sf_dir, name)
+        return base[name]
+
+    def view(name: str) -> DataFrame:
+        sql = VIEW_SQL[name]
+        df = spark.sql(sql, **{n: table(n) for n in _BASE_NAMES if "{" + n + "}" in sql})
+        return spark.sql(wrap[name], src=df) if wrap and name in wrap else df
+
+    return FixtureSources(view)

@@ -29,8 +29,3 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Parquet scan of ``<sf_dir>/<name>.parquet`` (lazy; pruned and filtered by Catalyst)."""
     read = spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else spark.read
     return read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-
-
-def read_tables(spark: SparkSession, sf_dir: str, names=("customer", "nation", "orders", "lineitem")
-                ) -> dict[str, DataFrame]:
-    return {n: read_table(spark, sf_dir, n) for n in names}
