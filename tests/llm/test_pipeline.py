@@ -14,7 +14,7 @@ def test_queries_are_registered():
     import __spark_entry__ as E
 
     names = set(E.queries())
-    assert {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in names if n.startswith("op")}
+    assert {f"op{n}" for n in range(1, 14)} == {n.split("_")[0] for n in names if n.startswith("op")}
     assert "pipeline" in names and set(E.oracle_sql()) <= names and set(catalog.oracle_sql()) <= set(E.oracle_sql())
     assert [n for n, _ in cp.STAGES] == ["toxicity", "quality", "near_dedup", "mixing", "packing"]
 
