@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.llm.common import fold, materialize, non_empty, small, table
 from cohortlens.llm.setsketch import ShingleHasher
+from cohortlens.plans.joins import broadcast_if_small
 
 FEATURES = 384
 SIGMA = 2.0  # kernel width in units of sqrt(number of statistics)
@@ -151,6 +152,11 @@ def isotonic(value: np.ndarray, good: np.ndarray, total: np.ndarray) -> tuple[np
     return at, np.array([(b[1] + 1e-3) / (b[2] + 2e-3) for b in blocks])
 
 
+def _training_labels(labels: DataFrame) -> DataFrame:
+    """Labels that may train: outside fold 2 of 4, not null."""
+    return labels.where((fold(F.col("doc_id"), 4) != 2) & F.col("quality").isNotNull())
+
+
 def train_on(stats: DataFrame, labels: DataFrame) -> Model:
     """Model from labels outside fold 2 of 4: folds 0 and 1 fit, fold 3 calibrates.
 
@@ -158,10 +164,8 @@ def train_on(stats: DataFrame, labels: DataFrame) -> Model:
     lowest label.  No usable labels: every score is 0.5; one class or an empty fold: the
     share of label 1.
     """
-    part = fold(F.col("doc_id"), 4)
-    known = (labels.where((part != 2) & F.col("quality").isNotNull())
-             .groupBy("doc_id").agg(F.min("quality").cast("double").alias("y")))
-    rows = materialize(stats.join(known, "doc_id").select("stats", "y", (part == 3).alias("calibrate")), "labelled")
+    known = _training_labels(labels).groupBy("doc_id").agg(F.min("quality").cast("double").alias("y"))
+    rows = materialize(stats.join(known, "doc_id").select("stats", "y", (fold(F.col("doc_id"), 4) == 3).alias("calibrate")), "labelled")
     fit = rows.where(~F.col("calibrate"))
     i = range(len(STATS))
     got = fit.agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("y"),
@@ -220,8 +224,13 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are predicted good, with all their columns."""
-    model = train_on(document_stats(docs), labels)
+    """The rows of ``docs`` that are predicted good, with all their columns.
+
+    Statistics for training are computed for the documents with a training label only; the
+    same model as over the statistics of all documents.
+    """
+    ids = broadcast_if_small(_training_labels(labels).select("doc_id"))
+    model = train_on(document_stats(docs.join(ids, "doc_id", "left_semi")), labels)
     return docs.mapInArrow(functools.partial(_good, model=model), docs.schema)
 
 
