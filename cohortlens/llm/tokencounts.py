@@ -2,15 +2,20 @@
 
 A change batch holds rows (doc_id, version, op, source, lang, tokens, seq).  ``upsert`` sets a
 document's count under a tokenizer version (an insert, or a revised count), ``delete`` takes
-it away.  Applying a batch looks up the touched documents' latest counts only, and appends
+it away.  Applying a batch looks up the touched documents' latest state and appends
 
 * signed deltas (documents, tokens) per group: minus the old count, plus the new one,
   pre-aggregated before they are shuffled, so a hot source is a few rows per task;
-* the touched documents' new state.
+* the touched documents' new state, in folders by a hash of doc_id (``BUCKETS``), so that a
+  small batch reads the folders of its own documents only.
 
 Both are written under a folder of their own; the batch counts from the moment its one-row
 commit record exists.  A failed attempt leaves nothing that a reader sees, and a batch that
 is already committed is not applied again.  Totals are the sum of committed deltas.
+
+A compaction is a commit too: the latest state of every document and the summed deltas.
+Readers start at the last one, so what is read and listed does not grow with the number of
+batches; ``apply`` compacts after ``compact_every`` batches.
 """
 
 from __future__ import annotations
@@ -25,69 +30,118 @@ from cohortlens.llm.common import materialize, table
 from cohortlens.session import ensure_checkpoint_dir
 
 GROUP = ["source", "lang", "version"]
-STATE = "doc_id bigint, version string, source string, lang string, tokens bigint, live boolean, batch int"
-DELTA = "source string, lang string, version string, documents bigint, tokens bigint"
-COMMIT = "batch_id string, number int, folder string"
+KEY = ["doc_id", "version"]
+BUCKETS = 64
+STATE = ("doc_id bigint, version string, source string, lang string, tokens bigint, live boolean, seq bigint, batch int, "
+         "part string, bucket int")
+DELTA = "source string, lang string, version string, documents bigint, tokens bigint, part string"
+COMMIT = "batch_id string, number int, part string, base boolean"
 SPACES, RUNS = "space-1", "runs-1"  # tokenizer versions
 
 
+def _bucket(doc_id):
+    return F.pmod(F.xxhash64(doc_id), F.lit(BUCKETS)).cast("int")
+
+
 class Rollup:
     """Token totals under ``folder`` (shared by driver and executors), one writer at a time."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, compact_every: int = 32):
+        self.spark, self.folder, self.compact_every = spark, folder.rstrip("/"), compact_every
 
-    def commits(self) -> list:
-        """Committed batches, one small record each."""
+    def _log(self) -> DataFrame:
         spark, path = self.spark, f"{self.folder}/commits"
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
         if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-            return []
-        return sorted(spark.read.schema(COMMIT).parquet(path).collect(), key=lambda r: r["number"])
+            return spark.createDataFrame([], COMMIT)
+        return spark.read.schema(COMMIT).parquet(path)
+
+    def commits(self) -> list:
+        """The last compaction and the batches after it: at most ``compact_every`` small records and one."""
+        log = self._log()
+        start = log.where("base").agg(F.coalesce(F.max("number"), F.lit(0)))
+        return sorted(log.where(F.col("number") >= start.first()[0]).collect(), key=lambda r: r["number"])
 
     def _read(self, what: str, schema: str, commits: list) -> DataFrame:
-        folders = [f"{r['folder']}/{what}" for r in commits]
-        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+        if not commits:
+            return self.spark.createDataFrame([], schema)
+        root = f"{self.folder}/{what}"
+        return (self.spark.read.schema(schema).option("basePath", root)
+                .parquet(*[f"{root}/part={r['part']}" for r in commits]))
+
+    def _write_state(self, state: DataFrame, part: str) -> None:
+        (state.withColumn("bucket", _bucket(F.col("doc_id"))).hint("rebalance", "bucket")
+         .write.partitionBy("bucket").parquet(f"{self.folder}/state/part={part}"))
+
+    def _commit(self, batch_id: str | None, number: int, part: str, base: bool) -> None:
+        (self.spark.createDataFrame([(batch_id, number, part, base)], COMMIT).coalesce(1)
+         .write.mode("append").parquet(f"{self.folder}/commits"))
+
+    def state(self, commits: list, buckets: list[int] | None = None) -> DataFrame:
+        """State rows of these commits, several a document; of ``buckets`` only, if given."""
+        rows = self._read("state", STATE, commits)
+        return rows if buckets is None else rows.where(F.col("bucket").isin(buckets))
 
     def apply(self, batch_id: str, changes: DataFrame) -> bool:
         """Apply and commit a batch; False (and no change) if it is committed already.
 
         Of several changes of a document and version the highest ``seq`` counts (ties: a
-        delete, else the larger count).  Rows without doc_id or version, with another op, or
-        upserts without a count are no changes.  Deleting what is not there does nothing.
-        Null sources and languages are groups of their own.
+        delete, else the larger count; null is lowest).  A change with a lower ``seq`` than
+        the one that the document's state comes from is stale, whichever batch brings it; at
+        equal ``seq`` the later batch counts.  Rows without doc_id or version, with another
+        op, or upserts without a count are no changes.  Deleting what is not there leaves the
+        totals alone.  Null sources and languages are groups of their own.
         """
-        done = self.commits()
-        if any(r["batch_id"] == batch_id for r in done):
+        if not self._log().where(F.col("batch_id") == batch_id).isEmpty():
             return False
-        key = ["doc_id", "version"]
+        done = self.commits()
+        number = done[-1]["number"] + 1 if done else 1
         valid = changes.where("doc_id is not null and version is not null and "
                               "(op = 'delete' or (op = 'upsert' and tokens is not null))")
-        last = (valid.groupBy(*key).agg(F.max(F.struct(
-            "seq", (F.col("op") == "delete").alias("gone"), "tokens", "source", "lang")).alias("c"))
-            .select(*key, "c.gone", "c.tokens", "c.source", "c.lang"))
-        folder = f"{self.folder}/data/{uuid.uuid4().hex}"
-        last.write.parquet(f"{folder}/changes")
-        last = self.spark.read.schema(last.schema).parquet(f"{folder}/changes")
-        old = (self._read("state", STATE, done).join(last.select(*key), key, "left_semi")
-               .groupBy(*key).agg(F.max(F.struct("batch", "live", "tokens", "source", "lang")).alias("s"))
-               .where("s.live").select(*key, "s.tokens", "s.source", "s.lang"))
-        minus = old.select(*GROUP, F.lit(-1).alias("documents"), (-F.col("tokens")).alias("tokens"))
-        plus = last.where("not gone").select(*GROUP, F.lit(1).alias("documents"), "tokens")
-        deltas = minus.unionByName(plus).groupBy(*GROUP).agg(
-            F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
-        deltas.write.parquet(f"{folder}/deltas")
-        (last.select("doc_id", "version", "source", "lang", "tokens", (~F.col("gone")).alias("live"),
-                     F.lit(len(done) + 1).alias("batch")).write.parquet(f"{folder}/state"))
-        self.spark.createDataFrame([(batch_id, len(done) + 1, folder)], COMMIT).coalesce(1).write.mode("append").parquet(
-            f"{self.folder}/commits")
+        last = materialize(
+            valid.groupBy(*KEY).agg(F.max(F.struct(
+                F.col("seq").cast("bigint").alias("seq"), (F.col("op") == "delete").alias("gone"), "tokens", "source",
+                "lang")).alias("c")), "changes")
+        touched = [r[0] for r in last.select(_bucket(F.col("doc_id"))).distinct().collect()]  # BUCKETS rows at most
+        old = (self.state(done, touched).join(last.select(*KEY), KEY, "left_semi")
+               .groupBy(*KEY).agg(F.max(F.struct("batch", "live", "tokens", "source", "lang", "seq")).alias("s")))
+        stale = F.coalesce(F.col("s.seq") > F.col("c.seq"), F.col("s.seq").isNotNull() & F.col("c.seq").isNull())
+        met = materialize(last.join(old, KEY, "left").where(~stale), "met")
+        minus = met.where("s.live").select("s.source", "s.lang", "version", F.lit(-1).cast("bigint").alias("documents"),
+                                           (-F.col("s.tokens")).alias("tokens"))
+        plus = met.where("not c.gone").select("c.source", "c.lang", "version", F.lit(1).cast("bigint").alias("documents"),
+                                              F.col("c.tokens").cast("bigint").alias("tokens"))
+        part = uuid.uuid4().hex
+        self._summed(minus.unionByName(plus)).write.parquet(f"{self.folder}/deltas/part={part}")
+        self._write_state(met.select(*KEY, "c.source", "c.lang", F.col("c.tokens").cast("bigint").alias("tokens"),
+                                     (~F.col("c.gone")).alias("live"), "c.seq", F.lit(number).alias("batch")), part)
+        self._commit(batch_id, number, part, False)
+        if len(done) >= self.compact_every:
+            self.compact()
         return True
 
+    def compact(self) -> bool:
+        """Commit the latest state and the summed deltas as a new start; False if there is nothing to fold."""
+        done = self.commits()
+        if len(done) < 2:
+            return False
+        part, number = uuid.uuid4().hex, done[-1]["number"] + 1
+        self._summed(self._read("deltas", DELTA, done)).write.parquet(f"{self.folder}/deltas/part={part}")
+        latest = self.state(done).groupBy(*KEY).agg(
+            F.max(F.struct("batch", "source", "lang", "tokens", "live", "seq")).alias("s"))
+        self._write_state(latest.select(*KEY, "s.source", "s.lang", "s.tokens", "s.live", "s.seq", "s.batch"), part)
+        self._commit(None, number, part, True)
+        return True
+
+    @staticmethod
+    def _summed(deltas: DataFrame) -> DataFrame:
+        """source, lang, version, documents, tokens; groups that come to nothing have no row."""
+        return (deltas.groupBy(*GROUP).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
+                .where("documents <> 0 or tokens <> 0"))
+
     def totals(self) -> DataFrame:
         """source, lang, version, documents, tokens; groups without documents have no row."""
-        return (self._read("deltas", DELTA, self.commits()).groupBy(*GROUP)
-                .agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
-                .where("documents <> 0 or tokens <> 0"))
+        return self._summed(self._read("deltas", DELTA, self.commits()))
 
 
 def space_tokens(text):

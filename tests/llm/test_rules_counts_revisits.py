@@ -158,6 +158,76 @@ def test_failed_attempt_leaves_nothing_and_can_be_sent_again(spark, tmp_path, mo
     assert r.apply("one", rows) and totals(r) == {("a", "en", "v1"): (1, 10)}
 
 
+def test_random_batches_equal_a_plain_ledger(spark, tmp_path):
+    """Stale, tied and null seqs over batches that are compacted every third; brute force on one dict."""
+    rnd = random.Random(8)
+    roll, state = tokencounts.Rollup(spark, f"file://{tmp_path}/roll", compact_every=3), {}
+    for number in range(8):
+        rows = [(rnd.randint(1, 12), rnd.choice(["v1", "v2"]), rnd.choice(["upsert", "upsert", "delete"]), rnd.choice(["a", "b", None]),
+                 rnd.choice(["en", None]), rnd.randint(0, 50), rnd.choice([None, 1, 2, 3, 4])) for _ in range(rnd.randint(0, 14))]
+        least = lambda x: (x is not None, x or 0)
+        best = {}
+        for doc, version, op, source, lang, tokens, seq in rows:
+            rank = (least(seq), op == "delete", tokens, (source is not None, source or ""), (lang is not None, lang or ""))
+            if (doc, version) not in best or rank > best[doc, version][0]:
+                best[doc, version] = (rank, (op, source, lang, tokens, seq))
+        for k, (_, change) in best.items():
+            if k not in state or least(change[4]) >= least(state[k][4]):
+                state[k] = change
+        assert roll.apply(f"b{number}", batch(spark, rows))
+        want = {}
+        for (_, version), (op, source, lang, tokens, _) in state.items():
+            if op == "upsert":
+                n, t = want.get((source, lang, version), (0, 0))
+                want[source, lang, version] = (n + 1, t + tokens)
+        assert totals(roll) == want
+        assert len(roll.commits()) <= 4
+    assert roll.compact() and totals(roll) == want and len(roll.commits()) == 1 and not roll.compact()
+    assert not roll.apply("b0", batch(spark, rows)), "batches before a compaction stay committed"
+
+
+def test_a_small_batch_reads_its_own_folders_of_the_state(spark, tmp_path):
+    roll = tokencounts.Rollup(spark, f"file://{tmp_path}/roll")
+    roll.apply("one", batch(spark, [(i, "v1", "upsert", "a", "en", i, 0) for i in range(2000)]))
+    whole = roll.state(roll.commits())
+    some = roll.state(roll.commits(), [5, 9])
+    assert whole.select("bucket").distinct().count() == tokencounts.BUCKETS
+    assert {r["bucket"] for r in some.select("bucket").distinct().collect()} == {5, 9}
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters", 1)[1][:120]
+
+
+def test_a_batch_that_died_leaves_nothing(spark, tmp_path, monkeypatch):
+    roll = tokencounts.Rollup(spark, f"file://{tmp_path}/roll")
+    roll.apply("one", batch(spark, [(1, "v1", "upsert", "a", "en", 3, 0)]))
+    monkeypatch.setattr(roll, "_commit", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    two = batch(spark, [(1, "v1", "delete", None, None, None, 1), (2, "v1", "upsert", "a", "en", 9, 0)])
+    with pytest.raises(OSError):
+        roll.apply("two", two)
+    with pytest.raises(OSError):
+        tokencounts.Rollup.apply(roll, "two", two)
+    monkeypatch.undo()
+    assert totals(roll) == {("a", "en", "v1"): (1, 3)}
+    assert roll.apply("two", two) and totals(roll) == {("a", "en", "v1"): (1, 9)}
+
+
+def test_page_records_of_odd_pages(spark, tmp_path):
+    rows = [(1, "http://a/x", "<p>"), (1, "http://a/x", "<p>"), (None, "http://a/x", "<p>"), (2, None, "<p>"), (3, "http://a/x", None),
+            (4, "no url", ""), (5, "https://www.A/x.html", "é" * 50_000), (None, None, None)]
+    for name, some in (("a", rows), ("b", [])):
+        pages = spark.createDataFrame(some, "page_id bigint, url string, html string").withColumns(
+            {c: F.lit("x") for c in ("ts", "kind", "curl", "slice", "found", "headers")})
+        pages.coalesce(1).write.parquet(f"{tmp_path}/{name}/pages.parquet")
+        got = warc.op3(spark, f"{tmp_path}/{name}").collect()
+        assert len(got) == 2 * len(some)  # two revisits a row, whatever it holds
+        for r in got:
+            if r["record_id"] is None or r["canonical_url"] is None:
+                assert r["status"] == "orphan" and r["headers"] is None
+    last = {r["record_id"]: r["status"] for r in warc.op3(spark, f"{tmp_path}/a").collect()}
+    # page 5 is the newest capture of a/x that the last visits meet; page 3 has nothing to prove with
+    assert (last["5-c"], last["1-c"], last["3-c"], last["1-a"]) == ("resolved", "mismatch", "unproved", "orphan")
+
+
 def test_token_functions(spark):
     rows = [None, "", " \t", "a b,c 12 !! é東", "x" * 100_000]
     df = spark.createDataFrame([(t,) for t in rows], "text string").select(
