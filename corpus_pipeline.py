@@ -11,7 +11,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.llm import mixing, packing, quality, setsketch, toxicity
@@ -33,21 +33,21 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (operator 4, five words, 0.8).
 
-    Rows are told apart by doc_id and text.  Of a group the row with the smallest doc_id
-    stays, then the one with the smallest name; rows without doc_id come last.  Of rows equal
-    in both, one stays.  Rows without words are linked with nothing, and all of them stay.
+    Every row gets a number of its own, written with it, so that no two rows can be mixed up
+    and a lost task finds the same numbers again.  Of a group the row with the smallest
+    doc_id stays (rows without doc_id come last), then the smallest MD5 of the text, then of
+    the other columns.  Rows without words are linked with nothing, and all of them stay.
     """
     words = F.coalesce(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False))
-    named = docs.where(words).withColumn("__id", F.xxhash64("doc_id", "text"))
+    named = materialize(docs.where(words).withColumn("__id", F.monotonically_increasing_id()), "named")
     found = setsketch.near_duplicates(named.select(F.col("__id").alias("doc_id"), "text"), k=5, percent=80)
-    group = found.select(F.col("doc_id").alias("__id"), F.col("component_id").alias("__group")).distinct()
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__id"))
-    kept = (named.select("doc_id", "__id").distinct().join(group, "__id").groupBy("__group").agg(least.alias("first"))
-            .select(F.col("first.__id").alias("__id")))
-    first = Window.partitionBy("__id").orderBy("text")
-    one = (named.join(kept, "__id", "left_semi").withColumn("__row", F.row_number().over(first))
-           .where("__row = 1").select(docs.columns))
-    return one.unionByName(docs.where(~words))
+    group = found.select(F.col("doc_id").alias("__id"), F.col("component_id").alias("__group"))
+    rest = F.to_json(F.struct(*[c for c in docs.columns if c != "text"]))
+    order = named.select("__id", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.md5("text").alias("text"),
+                                          F.md5(rest).alias("rest"), "__id").alias("__order"))
+    kept = order.join(group, "__id").groupBy("__group").agg(F.min("__order").alias("first")).select(
+        F.col("first.__id").alias("__id"))
+    return named.join(kept, "__id", "left_semi").select(docs.columns).unionByName(docs.where(~words))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
