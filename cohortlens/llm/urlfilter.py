@@ -21,8 +21,8 @@ from re import _parser
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import table
-from cohortlens.plans.joins import broadcast_if_small
+from cohortlens.llm.common import materialize, partitions, table
+from cohortlens.plans.joins import broadcast_if_small, fits_broadcast
 
 # Fixed values of the query: host and path of each rule.
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"),
@@ -104,6 +104,19 @@ def host_and_path(url):
             F.regexp_extract(url, r"://[^/?#]*([^?#]*)", 1))
 
 
+def _met(tokens: DataFrame, index: DataFrame) -> DataFrame:
+    """Urls with the rules that their tokens fetch.
+
+    A rule index beyond the broadcast bound is shuffled.  Some tokens, the empty one first,
+    stand in very many urls: each token's urls are cut into slices, and its rules go to all.
+    """
+    if fits_broadcast(index):
+        return tokens.join(F.broadcast(index), "token")
+    slices = partitions(tokens.sparkSession)
+    return (tokens.withColumn("slice", F.pmod(F.xxhash64("url"), F.lit(slices)).cast("int"))
+            .join(index.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))), ["token", "slice"]))
+
+
 def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """page_id, host, path, rule, verdict for every row of ``pages`` (page_id, url).
 
@@ -123,9 +136,9 @@ def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
     rarest = (literals.join(counts, "token", "left")
               .groupBy("rule", "rank").agg(F.min(F.struct(F.coalesce("urls", F.lit(0)).alias("urls"), "token")).alias("r"))
               .select("rule", "rank", F.coalesce("r.token", F.lit("")).alias("token")))
-    index = rarest.join(rules.select("rule", "rank", "pattern", "verdict"), ["rule", "rank"])
+    index = materialize(rarest.join(rules.select("rule", "rank", "pattern", "verdict"), ["rule", "rank"]), "rule_index")
     tokens = named.select("url", "subject", F.explode("tokens").alias("token"))
-    hits = tokens.join(broadcast_if_small(index), "token").where(F.expr("subject rlike pattern"))
+    hits = _met(tokens, index).where(F.expr("subject rlike pattern"))
     best = hits.groupBy("url").agg(F.min(F.struct((-F.col("rank")).alias("order"), "rule", "verdict")).alias("best"))
     return (pages.select("page_id", "url").join(best, "url", "left")
             .select("page_id", host.alias("host"), path.alias("path"),

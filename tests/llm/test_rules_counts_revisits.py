@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.llm import catalog, tokencounts, urlfilter, warc
+from cohortlens.plans import joins
 from tests.llm.helpers import SF
 
 
@@ -66,7 +67,10 @@ def test_judge_odd_urls(spark):
     assert urlfilter.judge(pages.limit(0), urlfilter.rule_table(spark)).count() == 0
 
 
-def test_many_rules_and_rules_without_a_token(spark):
+@pytest.mark.parametrize("bound", [None, 0])
+def test_many_rules_and_rules_without_a_token(spark, monkeypatch, bound):
+    if bound is not None:  # the index is shuffled instead
+        monkeypatch.setattr(joins, "BROADCAST_MAX_BYTES", bound)
     rnd = random.Random(2)
     hosts = [f"{a}.{b}" for a in ("aa", "bb", "cc") for b in ("com", "net")]
     rules = list({f"{rnd.choice(hosts)}/{rnd.choice(['', 'x', 'x/', 'y/z', 'y'])}": rnd.choice(["allow", "block"]) for _ in range(30)}.items())
